@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,15 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+def careful(spark: SparkSession) -> None:
+    """Hold what goes to Python at once to a few MB, however long the texts are."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", str(spark.conf.get(name, "-1")))[0])
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -57,7 +57,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges that hold about `most` bytes each, one row at least."""
     _, offsets = buffers(column)
     at, n = 0, len(offsets) - 1

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import careful
 from ._text import Words, code_points, slices
 
 SEED, COMMON, THRESHOLD, WHOLE, BLOCK_WORDS = 3, 0.01, 0.5, 8, 1_000_000
@@ -143,6 +144,7 @@ def _seed_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, common: float = COMMON, seed: int = SEED, whole: int = WHOLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score (share of the item's words), start and end in code points of each leak."""
     spark = docs.sparkSession
+    careful(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tests = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     words = tests.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slots, written
+from ._spark import careful, slots, written
 from ._text import mix
 
 LEVELS, KEEP = 3, 64
@@ -135,6 +135,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     join on the partition's number.
     """
     spark = docs.sparkSession
+    careful(spark)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ranged = base.repartitionByRange(slots(spark), "k").sortWithinPartitions("k", "t")
     extra = ", kind int, part int, t string"

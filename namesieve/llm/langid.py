@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import careful
+
 PROFILE, SAMPLE_DOCS, MOST_LANGS = 400, 4000, 5000
 
 
@@ -67,6 +69,7 @@ def ranked(text: str, profile: int = PROFILE) -> np.ndarray:
 
 def fit(docs: DataFrame, training: Column, profile: int = PROFILE, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
     """Profiles by language from the documents that `training` selects."""
+    careful(docs.sparkSession)
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if len(sizes) > MOST_LANGS:
@@ -122,6 +125,8 @@ def judge(texts: list[str | None], profiles: dict[str, list[int]], profile: int
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of docs, with the language and the score of each text."""
+    careful(docs.sparkSession)
+
     @F.pandas_udf(f"`{lang}` string, `{score}` double")
     def run(texts: "pd.Series") -> "pd.DataFrame":
         found = judge(texts.tolist(), profiles, profile)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import careful
 from ._text import Words, mix
 
 ORDER, BACKOFF = 2, 0.4
@@ -65,6 +66,7 @@ def _own(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_chars: int = CHUNK_CHARS, bucket_ngrams: int = BUCKET_NGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score."""
+    careful(docs.sparkSession)
     size = docs.agg(F.sum(F.length(text_col)).alias("chars")).first().chars or 0
     chunks = -(-size // chunk_chars) or 1
     buckets = -(-size * order // (5 * bucket_ngrams)) or 1

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, written
+from ._spark import careful, components, written
 from ._text import Words, mix, slices, stream
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SHARE = 5, 0.8, 16, 4, 0.01
@@ -247,6 +247,7 @@ def _close_pairs(left: DataFrame, texts: DataFrame, weights: Weights, threshold:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links (verified links between different texts; copies are not expanded)."""
+    careful(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     weights = Weights(*_frequent(base, shingle, share), share)
     marks = written(_signatures(base, weights, shingle, bands, rows))

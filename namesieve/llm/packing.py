@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import slots, written
-from .tokens import Encoder
+from ._spark import careful, slots, written
+from .tokens import encoder
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -40,11 +40,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, i
     the whole pieces after it leave.
     """
 
+    careful(docs.sparkSession)
+
     def cut(batches):
-        encoder = Encoder(tokenizer)
+        tokens = encoder(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0)
-            for a, ids, rows in encoder.documents(batch.column(1), end_id):
+            for a, ids, rows in tokens.documents(batch.column(1), end_id):
                 n = np.diff(rows)
                 count = np.maximum(-(-n // size), 1)
                 owner = np.repeat(np.arange(len(n)), count)

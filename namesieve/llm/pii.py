@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import careful
+
 #: The kinds in the order of the listing.
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *KINDS]
@@ -231,6 +233,7 @@ def added_spans(texts: list[str], known: list[list[tuple[int, int, int]]], model
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
     """Train on about `sample_docs` documents, drawn by a hash of doc_id from those with a digit or an @."""
+    careful(docs.sparkSession)
     some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
     n = some.count()
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
@@ -255,6 +258,8 @@ def find_spans(texts: list[str], model: dict[str, np.ndarray], sure: float = SUR
 
 def detect(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
     """Counts and spans of every document, in one pass without a shuffle."""
+    careful(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
@@ -282,6 +287,8 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redacted(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", sure: float = SURE) -> DataFrame:
     """The same columns, with personal data in the text replaced; a null text stays null."""
+    careful(docs.sparkSession)
+
     @F.pandas_udf("string")
     def run(texts: "pd.Series") -> "pd.Series":
         given = [t or "" for t in texts.tolist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import careful, written
 from ._text import Words, code_points, mix, slices, stream
 
 LEAST_WORDS = 10
@@ -70,6 +70,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, **columns: str) -> DataFrame:
     """doc_id, start, end, words, keeper of each run of repeats; keeper: the document that keeps its first unit."""
+    careful(docs.sparkSession)
     table = written(units(docs, **columns))
     seen = table.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("digest", "keeper")
     again = table.join(seen, "digest").where("doc_id > keeper")

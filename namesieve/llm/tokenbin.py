@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_folder, slots
-from .tokens import Encoder
+from ._spark import careful, shared_folder, slots
+from .tokens import encoder
 
 LEAST = -(1 << 63)
 
@@ -50,6 +50,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     One shuffle, by range of doc_id.  What comes to the driver is a row for each shard.
     """
     spark = docs.sparkSession
+    careful(spark)
     at = _local(folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
 
     def shard(batches):
@@ -58,13 +59,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         ctx = TaskContext.get()
         os.makedirs(at, exist_ok=True)
         name = f"{at}/ids-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
-        encoder = Encoder(tokenizer)
-        kind = np.uint16 if len(encoder.width) <= 1 << 16 else np.uint32
+        tokens = encoder(tokenizer)
+        kind = np.uint16 if len(tokens.width) <= 1 << 16 else np.uint32
         ids_of, sizes, total = [], [], 0
         with open(f"{name}.tmp", "wb") as f:
             for batch in batches:
                 ids_of.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                for _, ids, rows in encoder.documents(batch.column(1), end_id):
+                for _, ids, rows in tokens.documents(batch.column(1), end_id):
                     f.write(ids.astype(kind).tobytes())
                     sizes.append(np.diff(rows))
                     total += len(ids)

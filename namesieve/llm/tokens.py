@@ -13,6 +13,7 @@ nothing is cut, which costs time and no correctness.
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 
 from ._text import buffers, slices
 
-CACHE = 400_000
+CACHE = 150_000
 #: Classes of bytes: other, letter, punctuation, digit, blank or line feed.
 _X, _L, _P, _N, _W = range(5)
 _CLASS = np.zeros(256, np.uint8)
@@ -149,3 +150,9 @@ class Encoder:
                 ids = np.insert(ids, rows[1:], np.uint32(end_id))
                 rows = rows + np.arange(len(rows))
             yield a, ids, rows
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process, which tasks that follow each other share."""
+    return Encoder(path)
