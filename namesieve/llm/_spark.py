@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -38,11 +37,10 @@ def free(name: str, taken: list[str]) -> str:
 
 def careful(spark: SparkSession) -> None:
     """Hold what goes to Python at once to a few MB, however long the texts are."""
-    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
-        name = f"spark.sql.execution.arrow.{name}"
-        now = int(re.match(r"-?\d+", str(spark.conf.get(name, "-1")))[0])
-        if not 0 < now <= most:
-            spark.conf.set(name, str(most))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 2000:
+        spark.conf.set(rows, "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def slots(spark: SparkSession) -> int:
