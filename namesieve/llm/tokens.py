@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 from ._text import buffers, slices
 
-CACHE = 150_000
+CACHE = 400_000
 #: Classes of bytes: other, letter, punctuation, digit, blank or line feed.
 _X, _L, _P, _N, _W = range(5)
 _CLASS = np.zeros(256, np.uint8)
@@ -29,6 +29,8 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = _L
 _CLASS[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27]] = _P
 _CLASS[48:58] = _N
 _CLASS[[10, 32]] = _W
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 
 
 def _classes(raw: np.ndarray) -> np.ndarray:
@@ -59,6 +61,10 @@ class Encoder:
         self.width, self.closes = np.zeros(size, np.int64), np.zeros(size, bool)
         for token, i in vocab.items():
             self.width[i], self.closes[i] = len(token), bool(self.word_ends) and token.endswith(self.word_ends)
+        self.cuts = np.zeros(64, bool)
+        self.cuts[[x << 3 | y for x, y in ((_L, _P), (_P, _L), (_L, _W), (_P, _W), (_N, _W))]] = True
+        if self.lower:  # white space is dropped, and capitals are as good as small letters
+            self.cuts[[_W << 3 | y for y in (_L, _P, _N)]] = True
         self.limit = cache
         self._reset()
 
@@ -89,7 +95,7 @@ class Encoder:
             if self.word_ends:
                 ends = np.flatnonzero(self.closes[ids]) + 1
             else:
-                bytes_ = np.cumsum([len(u.encode()) for u in some])
+                bytes_ = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
                 reached = np.cumsum(self.width[ids])
                 ends = np.searchsorted(reached, bytes_) + 1
                 if len(ids) and not np.array_equal(reached[ends - 1], bytes_):
@@ -105,23 +111,21 @@ class Encoder:
     def _places(self, units: list[str]) -> np.ndarray:
         if len(self.known) > self.limit:
             self._reset()
-        new = [u for u in units if u not in self.known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        found = list(map(self.known.get, units))
+        if None in found:
+            self._learn([u for u, i in zip(units, found, strict=True) if i is None])
+            found = map(self.known.__getitem__, units)
+        return np.fromiter(found, np.int32, len(units))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw, offsets = buffers(column)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         kind = _classes(raw)
-        a, b = kind[:-1], kind[1:]
         cut = np.zeros(len(raw) + 1, bool)
-        cut[1:-1] = (a == _L) & (b == _P) | (a == _P) & (b == _L) | ((a == _L) | (a == _P) | (a == _N)) & (b == _W)
-        if self.lower:  # white space is dropped, and capitals are as good as small letters
-            cut[1:-1] |= (a == _W) & ((b == _L) | (b == _P) | (b == _N))
-            small, given = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw), raw
-            raw = small
+        cut[1:-1] = self.cuts[(kind[:-1] << 3) | kind[1:]]
+        if self.lower:
+            raw, given = _SMALL[raw], raw
         for token in self.special:  # stays whole, and with the capitals that keep a text from being it
             whole, mark = raw.tobytes(), token.encode()
             at = whole.find(mark)
@@ -135,16 +139,19 @@ class Encoder:
         units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = pc.dictionary_encode(units)
         at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        start, length = self.ends[at], self.ends[at + 1] - self.ends[at]
+        start = self.ends[at]
+        length = self.ends[at + 1] - start
         done = np.concatenate(([0], np.cumsum(length)))
-        ids = self.ids[np.repeat(start - done[:-1], length) + np.arange(done[-1])]
+        where = np.repeat(start - done[:-1], length)
+        where += np.arange(len(where))
+        ids = self.ids[where]
         return ids, done[np.searchsorted(cuts, offsets)]
 
     def documents(self, column: pa.Array | pa.ChunkedArray, end_id: int | None):
         """For blocks of rows: first row, ids with the end id after each row, row offsets."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        for a, b in slices(column):
+        for a, b in slices(column, 6 << 20):
             ids, rows = self.encode(column.slice(a, b - a))
             if end_id is not None:
                 ids = np.insert(ids, rows[1:], np.uint32(end_id))
