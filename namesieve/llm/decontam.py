@@ -97,13 +97,15 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 def _leaks(w: Words, items: Items, threshold: float, whole: int) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end word), the best for each row and item."""
     row, at, seed = items.hits(w)
+    if not len(row):
+        return []
     size = np.diff(items.at)[seed]
     which = np.repeat(items.at[:-1][seed] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     row, at, item, place = np.repeat(row, size), np.repeat(at, size), items.item[which], items.place[which]
     order = np.lexsort((at, item, row))
     row, at, item, place = row[order], at[order], item[order], place[order]
     length = np.array([len(x) for x in items.words], np.int64)
-    far = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]])) if len(row) else np.zeros(0, bool)
+    far = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for a, b in zip(np.flatnonzero(far), np.append(np.flatnonzero(far)[1:], len(row)), strict=True):
         r, i = int(row[a]), int(item[a])
