@@ -99,19 +99,19 @@ def _digest(ids: list, texts: list[str], following: list[str]) -> dict[str, pa.A
     both = sketches([*texts, *edited, *following[-1:]])
     own, changed = both[: len(texts)], both[len(texts) : 2 * len(texts)]
     after = [*own[1:], both[-1]]
-    text = lambda s: s.astype(">u4").tobytes().hex()
+    raw = lambda s: s.astype(">u4").tobytes()
     return {
         "doc_id": pa.array(ids, pa.int64()),
         "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-        "fingerprint": pa.array([text(s) for s in own]),
-        "edited_fingerprint": pa.array([text(s) for s in changed]),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited], pa.binary()),
+        "fingerprint": pa.array([raw(s) for s in own], pa.binary()),
+        "edited_fingerprint": pa.array([raw(s) for s in changed], pa.binary()),
         "near_edited": pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)]),
         "near_next": pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)]),
     }
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS, keep: int = KEEP) -> DataFrame:
@@ -144,7 +144,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        ends = lambda ids, texts, kind: pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), **{c: pa.nulls(1, t) for c, t in (("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))}, "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "t": pa.array(texts)})
+        ends = lambda ids, texts, kind: pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), **{c: pa.nulls(1, t) for c, t in (("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()))}, "kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "t": pa.array(texts)})
         held: tuple[list, list] = ([], [])
         begun = False
         for batch in batches:
@@ -165,8 +165,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     table = written(ranged.mapInArrow(run, _RESULT + extra))
     ends = table.where("kind > 0").select("kind", "part", "doc_id", "t")
     parts = sorted(r.part for r in ends.where("kind = 1").select("part").collect())  # a number for each partition
+    shown = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
     if not parts:
-        return spark.createDataFrame([], _RESULT)
+        return spark.createDataFrame([], _RESULT).withColumns(shown)
     follow = spark.createDataFrame(list(zip(parts, [*parts[1:], parts[0]], strict=True)), "part int, after int")
     last = ends.where("kind = 2").select("part", "doc_id", "t").join(follow, "part")
     last = last.join(ends.where("kind = 1").select(F.col("part").alias("after"), F.col("t").alias("n")), "after").select("doc_id", "t", "n")
@@ -177,4 +178,4 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_pydict(_digest([i], [t], [n]))
 
     out = table.where("kind = 0").select(*_RESULT.replace(",", "").split()[::2]).union(last.mapInArrow(close, _RESULT))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LEAST)))
+    return out.withColumns(shown | {"doc_id": F.nullif("doc_id", F.lit(_LEAST))})
