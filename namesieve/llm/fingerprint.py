@@ -54,7 +54,9 @@ def _level(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low &= np.uint64(0) - low
         label = (np.bitwise_count(low - np.uint64(1)).astype(np.uint64) << np.uint64(1)) | (label & low != 0)
     peak = first.copy()
-    peak[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    after = np.append(label[1:], np.uint64(0))
+    after[:-1][first[1:]] = 0  # what follows in the batch is another text
+    peak[1:] |= (label[1:] > label[:-1]) & (label[1:] >= after[1:])
     peak[1:] &= ~first[:-1] | first[1:]
     starts = np.flatnonzero(peak)
     return _names(x, starts), first[starts]
