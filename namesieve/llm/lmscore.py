@@ -3,10 +3,10 @@
 Documents are dealt into chunks by a hash of doc_id.  Each chunk's distinct
 n-grams and their counts go, as blocks of sorted 64-bit hashes, to the partition
 of the count table that their hash names; there the counts of all chunks are
-summed, and each chunk gets back the n-grams that other chunks hold too (for the
-others, its own counts are the corpus counts).  Joined to its documents by
-chunk, they give every n-gram's count without the document's own occurrences,
-and the logarithms are summed per document.
+summed, and each chunk gets back a bit for each of its n-grams and the sum where
+other chunks hold it too (for the others, its own counts are the corpus counts).
+Joined to its documents by chunk, they give every n-gram's count without the
+document's own occurrences, and the logarithms are summed per document.
 
     S(w | context) = c(context w) / c(context)         if c(context w) > 0
                      `backoff` S(w | shorter context)  else; a text's first
@@ -54,6 +54,17 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h[h > 0], return_counts=True)
 
 
+def _small(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as single bytes, and those that do not fit apart."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].tobytes()
+
+
+def _whole(small: bytes, large: bytes) -> np.ndarray:
+    n = np.frombuffer(small, np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(large, np.int64)
+    return n
+
+
 def _own(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each position, how often its n-gram occurs in its row."""
     order = np.lexsort((h, row))
@@ -73,33 +84,32 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chu
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int"))
 
-    def count(table: pa.Table) -> pa.Table:
-        grams = Grams(table["text"].combine_chunks(), order)
+    def held(grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk's distinct n-grams in the order of their hashes, and their counts; the first counts all words."""
         h, n = (np.concatenate(x) for x in zip(*(_distinct(x) for x in grams.by_order), strict=True))
         h, n = np.append(h, _ALL), np.append(n, len(grams.by_order[0]))
         by = np.argsort(h, kind="stable")
-        h, n = h[by], n[by].astype(np.int64)
+        return h[by], n[by].astype(np.int64)
+
+    def count(table: pa.Table) -> pa.Table:
+        h, n = held(Grams(table["text"].combine_chunks(), order))
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        # counts are mostly small: what exceeds a byte goes apart
+        coded = [_small(n[cut[b] : cut[b + 1]]) for b in some]
         return pa.table({
             "bucket": pa.array(some, pa.int32()),
             "chunk": pa.array([table["chunk"][0].as_py()] * len(some), pa.int32()),
             "h": pa.array([h[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-            "n": pa.array([np.minimum(n[cut[b] : cut[b + 1]], 255).astype(np.uint8).tobytes() for b in some], pa.binary()),
-            "large": pa.array([(x := n[cut[b] : cut[b + 1]])[x >= 255].tobytes() for b in some], pa.binary()),
+            "n": pa.array([x for x, _ in coded], pa.binary()),
+            "large": pa.array([x for _, x in coded], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
         """Sums of one partition of the count table, and what each chunk lacks of them."""
         parts = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
-        own = []
-        for x, large in zip(table["n"].to_pylist(), table["large"].to_pylist(), strict=True):
-            n = np.frombuffer(x, np.uint8).astype(np.int64)
-            n[n == 255] = np.frombuffer(large, np.int64)
-            own.append(n)
-        h, n = np.concatenate(parts), np.concatenate(own)
+        h = np.concatenate(parts)
+        n = np.concatenate([_whole(x, y) for x, y in zip(table["n"].to_pylist(), table["large"].to_pylist(), strict=True)])
         by = np.argsort(h, kind="stable")
         h_by = h[by]
         at = np.flatnonzero(np.append(True, h_by[1:] != h_by[:-1]))
@@ -109,26 +119,33 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chu
         back = (total != n) | (h == _ALL)
         ends = np.cumsum([len(x) for x in parts])
         cut = [slice(e - len(x), e) for e, x in zip(ends, parts, strict=True)]
-        return pa.table({"chunk": table["chunk"].cast(pa.int32()), "h": pa.array([h[c][back[c]].tobytes() for c in cut], pa.binary()), "total": pa.array([total[c][back[c]].tobytes() for c in cut], pa.binary())})
+        coded = [_small(total[c][back[c]]) for c in cut]
+        return pa.table({
+            "chunk": table["chunk"].cast(pa.int32()),
+            "bucket": table["bucket"].cast(pa.int32()),
+            "size": pa.array([c.stop - c.start for c in cut], pa.int64()),
+            "back": pa.array([np.packbits(back[c]).tobytes() for c in cut], pa.binary()),
+            "total": pa.array([x for x, _ in coded], pa.binary()),
+            "large": pa.array([x for _, x in coded], pa.binary()),
+        })
 
     def score(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         grams = Grams(table["text"].combine_chunks(), order)
-        far = np.concatenate([np.frombuffer(x, np.uint64) for x in shared["h"].to_pylist()])
-        total = np.concatenate([np.frombuffer(x, np.int64) for x in shared["total"].to_pylist()])
-        by = np.argsort(far)
-        far, total = far[by], total[by]
+        h_all, total = held(grams)
+        shared = shared.sort_by("bucket")
+        sizes = shared["size"].to_pylist()
+        if sum(sizes) != len(h_all):
+            raise RuntimeError("the documents of a chunk changed between two reads of them")
+        back = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(shared["back"].to_pylist(), sizes, strict=True)]).astype(bool)
+        total[back] = np.concatenate([_whole(x, y) for x, y in zip(shared["total"].to_pylist(), shared["large"].to_pylist(), strict=True)])
         size = np.diff(grams.rows)
         row = np.repeat(np.arange(len(size)), size)
-        rest = int(total[np.searchsorted(far, _ALL)]) - size  # words of the other documents
+        rest = int(total[0]) - size  # words of the other documents
         others = []
         for h in grams.by_order:
-            known, here = _distinct(h)
-            known, here = np.append(np.uint64(0), known), np.append(0, here)
-            at = np.minimum(np.searchsorted(far, known), len(far) - 1)
-            everywhere = np.where(far[at] == known, total[at], here)
-            count = everywhere[np.searchsorted(known, h)]
+            count = total[np.searchsorted(h_all, h)]
             others.append(np.where(h > 0, count - _own(h, row), 0))
         with np.errstate(divide="ignore", invalid="ignore"):
             n = rest[row].astype(np.float64)
@@ -144,6 +161,5 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chu
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(size), "score": pa.array(sums / np.maximum(size, 1), mask=~full)})
 
     counted = dealt.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, h binary, n binary, large binary")
-    shared = counted.groupBy("bucket").applyInArrow(add, "chunk int, h binary, total binary")
-    out = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
-    return out
+    shared = counted.groupBy("bucket").applyInArrow(add, "chunk int, bucket int, size long, back binary, total binary, large binary")
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
