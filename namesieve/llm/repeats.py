@@ -73,6 +73,7 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, **columns: s
     careful(docs.sparkSession)
     table = written(units(docs, **columns))
     seen = table.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("digest", "keeper")
+    seen = written(seen)  # apart from the exchange below it, so that a hot digest's partition of the join can be split
     again = table.join(seen, "digest").where("doc_id > keeper")
     by = Window.partitionBy("doc_id").orderBy("unit", "start")
     run = again.withColumn("run", F.col("unit") - F.dense_rank().over(by))
