@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +47,26 @@ def careful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def tidy(keep_encoder: bool = False) -> None:
+    """Give memory that this Python worker no longer needs back to the system; workers live on between tasks."""
+    tokens = sys.modules.get("namesieve.llm.tokens")
+    if tokens and not keep_encoder:
+        tokens.encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run: Callable, keep_encoder: bool = False) -> Callable:
+    """A function of Arrow batches that tidies up before and after its partition."""
+    def tidied(batches):
+        tidy(keep_encoder)
+        yield from run(batches)
+        tidy(keep_encoder)
+
+    return tidied
+
+
 def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

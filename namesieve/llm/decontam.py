@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful
+from ._spark import careful, frugal
 from ._text import Words, code_points, slices
 
 SEED, COMMON, THRESHOLD, WHOLE, BLOCK_WORDS = 3, 0.01, 0.5, 8, 1_000_000
@@ -135,7 +135,7 @@ def _seed_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
     count = np.zeros(len(items.seed), np.int64)
     n_docs = 0
-    for r in docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(frugal(run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         if r.seed < 0:
             n_docs = r.n
         else:
@@ -171,5 +171,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                         zero = points[w.offsets[row]]
                         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(row + a)), "item_id": pa.array(items.ids[item]), "score": pa.array(score), "start": pa.array(points[w.start[first]] - zero), "end": pa.array(points[w.end[end - 1]] - zero)})
 
-        out = out.union(base.mapInArrow(run, schema))
+        out = out.union(base.mapInArrow(frugal(run), schema))
     return out

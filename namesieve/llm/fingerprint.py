@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful, slots, written
+from ._spark import careful, frugal, slots, written
 from ._text import mix
 
 LEVELS, KEEP = 3, 64
@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = sketches([t or "" for t in part.column(1).to_pylist()], levels, keep)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "names": pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, names array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), "doc_id long, names array<long>")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if begun:
             yield ends(*held, 2)
 
-    table = written(ranged.mapInArrow(run, _RESULT + extra))
+    table = written(ranged.mapInArrow(frugal(run), _RESULT + extra))
     ends = table.where("kind > 0").select("kind", "part", "doc_id", "t")
     parts = sorted(r.part for r in ends.where("kind = 1").select("part").collect())  # a number for each partition
     shown = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
@@ -179,5 +179,5 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for i, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_pydict(_digest([i], [t], [n]))
 
-    out = table.where("kind = 0").select(*_RESULT.replace(",", "").split()[::2]).union(last.mapInArrow(close, _RESULT))
+    out = table.where("kind = 0").select(*_RESULT.replace(",", "").split()[::2]).union(last.mapInArrow(frugal(close), _RESULT))
     return out.withColumns(shown | {"doc_id": F.nullif("doc_id", F.lit(_LEAST))})

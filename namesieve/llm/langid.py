@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import careful
+from ._spark import careful, frugal, tidy
 
 PROFILE, SAMPLE_DOCS, MOST_LANGS = 400, 4000, 5000
 
@@ -82,8 +82,8 @@ def fit(docs: DataFrame, training: Column, profile: int = PROFILE, sample_docs:
 
     def count(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
                 by: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     by.setdefault(lang, []).append(ngrams(text))
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, training: Column, profile: int = PROFILE, sample_docs:
                     g, n = np.unique(np.concatenate(grams), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g), "n": pa.array(n)})
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(frugal(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= profile)
     out: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").collect():  # at most languages x profile rows
@@ -129,6 +129,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROF
 
     @F.pandas_udf(f"`{lang}` string, `{score}` double")
     def run(texts: "pd.Series") -> "pd.DataFrame":
+        tidy()
         found = judge(texts.tolist(), profiles, profile)
         return pd.DataFrame(dict(zip((lang, score), found, strict=True)))
 

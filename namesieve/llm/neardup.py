@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful, components, written
+from ._spark import careful, components, frugal, written
 from ._text import Words, mix, slices, stream
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SHARE = 5, 0.8, 16, 4, 0.01
@@ -136,7 +136,7 @@ def _frequent(docs: DataFrame, shingle: int, share: float) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_pydict({"h": pa.array(seen[at[often]].view(np.int64))})
 
     n_docs = docs.count()
-    found = docs.mapInArrow(local, "h long").distinct()
+    found = docs.mapInArrow(frugal(local), "h long").distinct()
     maybe = np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
 
     def exact(batches):
@@ -151,7 +151,7 @@ def _frequent(docs: DataFrame, shingle: int, share: float) -> tuple[np.ndarray,
 
     if not len(maybe):
         return maybe, np.zeros(0, np.int64), n_docs
-    rows = docs.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_docs).collect()
+    rows = docs.mapInArrow(frugal(exact), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_docs).collect()
     rows = sorted((r.h, r.n) for r in rows)  # at most (shingles of a mean document) / share
     return maybe[[h for h, _ in rows]], np.array([n for _, n in rows], np.int64), n_docs
 
@@ -173,7 +173,7 @@ def _signatures(docs: DataFrame, weights: Weights, shingle: int, bands: int, row
                 count[full] = bands
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "bands": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(band[full].ravel()))})
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(frugal(run), "doc_id long, k1 long, k2 long, bands array<long>")
 
 
 def similarities(a: pa.Array, b: pa.Array, weights: Weights, shingle: int = SHINGLE) -> np.ndarray:
@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
 def _close_pairs(left: DataFrame, texts: DataFrame, weights: Weights, threshold: float, shingle: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _close_pairs(left: DataFrame, texts: DataFrame, weights: Weights, threshold:
         a, b = docs[one[x]], docs[two[y]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    sets = texts.mapInArrow(packed, "doc_id long, ids binary, w binary")
+    sets = texts.mapInArrow(frugal(packed), "doc_id long, ids binary, w binary")
     blocks = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = left.select("bucket", "doc_id", "comp").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

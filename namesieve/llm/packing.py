@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import careful, slots, written
+from ._spark import careful, frugal, slots, written
 from .tokens import encoder
 
 
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, i
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(cut, keep_encoder=True), schema)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -131,7 +131,7 @@ def assign(parts: DataFrame, size: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols | {"sequence_id": pa.array(row[:, 3] + rank - row[:, 1]), "offset": pa.array(row[:, 4])})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(place), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, with_ids: bool = False, **columns: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful
+from ._spark import careful, frugal, tidy
 
 #: The kinds in the order of the listing.
 KINDS = ["email", "ip", "card", "phone"]
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id",
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_pydict({"t": pa.array(_windows(text), pa.string())})
 
-    texts = some.where(draw < min(1.0, sample_docs / max(n, 1))).select("t").mapInArrow(windows, "t string")
+    texts = some.where(draw < min(1.0, sample_docs / max(n, 1))).select("t").mapInArrow(frugal(windows), "t string")
     return train(sorted(r.t for r in texts.collect()))
 
 
@@ -272,7 +272,7 @@ def detect(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id"
                     | {"base_sha256": pa.array([hashlib.sha256(written_spans(s).encode()).hexdigest() for s in known]), "spans": pa.array([written_spans(s + x) for s, x in zip(known, added, strict=True)]), "n_added": pa.array([len(x) for x in added], pa.int64())}
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), _SCHEMA)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -291,6 +291,7 @@ def redacted(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "tex
 
     @F.pandas_udf("string")
     def run(texts: "pd.Series") -> "pd.Series":
+        tidy()
         given = [t or "" for t in texts.tolist()]
         known, added = find_spans(given, model, sure)
         return pd.Series([redact(t, a + b) for t, a, b in zip(given, known, added, strict=True)], dtype=object)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import careful, written
+from ._spark import careful, frugal, written
 from ._text import Words, code_points, mix, slices, stream
 
 LEAST_WORDS = 10
@@ -65,7 +65,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     out = {"doc_id": batch.column(0).take(pa.array(found["row"] + a)), "digest": pa.array(found["digest"])}
                     yield pa.RecordBatch.from_pydict(out | {c: pa.array(found[c].astype(np.int32)) for c in ("unit", "start", "end", "words")})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, digest long, unit int, start int, end int, words int")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), "doc_id long, digest long, unit int, start int, end int, words int")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, **columns: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import careful, shared_folder, slots
+from ._spark import careful, frugal, shared_folder, slots
 from .tokens import encoder
 
 LEAST = -(1 << 63)
@@ -82,7 +82,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 
     ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ordered = ordered.repartitionByRange(shards or slots(spark), "k").sortWithinPartitions("k", "t")
-    rows = ordered.mapInArrow(shard, "part long, path string, n_docs long, n_ids long, bits long").collect()
+    rows = ordered.mapInArrow(frugal(shard, keep_encoder=True), "part long, path string, n_docs long, n_ids long, bits long").collect()
     manifest, base = [], 0
     for r in sorted(rows):
         manifest.append(r.asDict() | {"base": base})
@@ -126,4 +126,4 @@ def read_token_files(spark: SparkSession, manifest: list[dict], with_ids: bool =
                         out["ids"] = pa.LargeListArray.from_arrays(pa.array(cut), pa.array(part.astype(np.int64))).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(out)
 
-    return shards.repartition(min(len(manifest), 4096)).mapInArrow(read, schema)
+    return shards.repartition(min(len(manifest), 4096)).mapInArrow(frugal(read), schema)
