@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm import decontam, langid, neardup, packing, pii
-from namesieve.llm._spark import written
+from namesieve.llm._spark import free, written
 from namesieve.llm.queries import tokenizer_path
 
 
@@ -17,8 +17,9 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that language ID can place; lang becomes what it says where the source names none."""
     profiles = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
-    named = langid.predict(docs, profiles, lang="_lang_pred", score="_lang_score")
-    kept = named.where("_lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "_lang_pred"))
+    found, score = free("found", docs.columns), free("score", docs.columns)
+    named = langid.predict(docs, profiles, lang=found, score=score)
+    kept = named.where(F.col(found) != "und").withColumn("lang", F.coalesce("lang", found))
     return _as_documents(kept, docs)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import careful, frugal, tidy
+from ._spark import careful, free, frugal, tidy
 
 PROFILE, SAMPLE_DOCS, MOST_LANGS = 400, 4000, 5000
 
@@ -124,7 +124,7 @@ def judge(texts: list[str | None], profiles: dict[str, list[int]], profile: int
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs, with the language and the score of each text."""
+    """All columns of docs, with the language and the score of each text, which take the place of columns of their names."""
     careful(docs.sparkSession)
 
     @F.pandas_udf(f"`{lang}` string, `{score}` double")
@@ -133,8 +133,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROF
         found = judge(texts.tolist(), profiles, profile)
         return pd.DataFrame(dict(zip((lang, score), found, strict=True)))
 
-    taken = [c for c in docs.columns if c not in (lang, score)]
-    return docs.select(*taken, run(F.coalesce(F.col(text_col), F.lit(""))).alias("_judged")).select(*taken, f"_judged.{lang}", f"_judged.{score}")
+    taken = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
+    both = free("judged", taken)
+    judged = docs.select(*taken, run(F.coalesce(F.col(text_col), F.lit(""))).alias(both))
+    return judged.select(*taken, F.col(both)[lang].alias(lang), F.col(both)[score].alias(score))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
