@@ -42,5 +42,6 @@ def hash20(text: Column) -> Column:
 
 
 def phrase(text: Column, words: int = 4) -> Column:
-    """The first words of a text."""
-    return F.substring_index(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", words)
+    """The first words of a text; reads no further than they reach."""
+    head = F.regexp_extract(text, rf"^\s*(\S+(?:\s+\S+){{0,{words - 1}}})", 1)
+    return F.regexp_replace(head, r"\s+", " ")

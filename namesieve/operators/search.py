@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.minhash import batch_encode, matrix
 from ..functions.text import hash20
-from ..functions.vector import cosine, dot
 from ..params import EL_MATCH, EPS, HASH_MOD, MASK_HIGH, MASK_LOW, TAU
 from . import kmeans, scaler
 from .index import Index
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, CLUSTER_BLOCK = 16_384, 2048
 
 
 def check_tau(tau: float) -> None:
@@ -61,38 +60,67 @@ def hits_linear(queries: DataFrame, database: DataFrame, tau: float = TAU, block
     blocks = -(-n // block)
     for b in range(blocks):
         part = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else numbered
-        rows = sorted(part.collect())
-        if not rows:
+        rows = part.toArrow()
+        if not rows.num_rows:
             continue
-        ids, q = np.array([r.query_id for r in rows]), np.array([r.v for r in rows], np.float64)
-        root = np.sqrt(np.array([r.n2_50 for r in rows], np.float64))
+        ids, q, root = rows["query_id"].to_numpy(), matrix(rows["v"], EL_MATCH), np.sqrt(rows["n2_50"].to_numpy().astype(np.float64))
 
         def run(batches, ids=ids, q=q, root=root):
             for batch in batches:
-                for i in range(0, batch.num_rows, 1024):
-                    some = batch.slice(i, 1024)
-                    x = matrix(some.column(1), EL_MATCH)
-                    length = np.sqrt(some.column(2).to_numpy().astype(np.float64))[:, None] * root
-                    cos = (x @ q.T) / np.where(length == 0, 1, length)
-                    row, col = np.nonzero(cos - tau > EPS)
+                for i in range(0, batch.num_rows, 256):
+                    some = batch.slice(i, 256)
+                    row, col, cos = _above(matrix(some.column(1), EL_MATCH), np.sqrt(some.column(2).to_numpy().astype(np.float64)), q, root, tau)
                     if len(row):
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[col]), "id": some.column(0).take(pa.array(row)), "cos": pa.array(cos[row, col])})
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[col]), "id": some.column(0).take(pa.array(row)), "cos": pa.array(cos)})
 
         out = out.union(database.select("id", F.slice("sig", 1, EL_MATCH).alias("v"), "n2_50").mapInArrow(run, schema))
     return out
 
 
-def candidates(queries: DataFrame, index: Index, nprobe: int = 1) -> DataFrame:
-    """Queries (query_id, name) paired with the members of their nearest clusters, with their cosine.
+def _above(x: np.ndarray, x_root: np.ndarray, q: np.ndarray, q_root: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of q, cosine) of the pairs above the threshold; products of signatures are exact in doubles."""
+    length = x_root[:, None] * q_root
+    cos = (x @ q.T) / np.where(length == 0, 1, length)
+    row, col = np.nonzero(cos - tau > EPS)
+    return row, col, cos[row, col]
 
-    Centroid choice is an Arrow product with k centroids; the pairing is an
-    equi-join on cluster_id, whose large clusters adaptive execution splits.
-    """
+
+def probe(queries: DataFrame, index: Index, nprobe: int = 1) -> DataFrame:
+    """(query_id, cluster_id, q50, q2): the nearest clusters of queries (query_id, name), an Arrow product with k centroids."""
     encoded = batch_encode(queries.select("query_id", "name"))
     probed = kmeans.assign(scaler.standardised(encoded, index.mean, index.scale), index.centroids, nprobe=nprobe)
-    probed = probed.select("query_id", F.col("name").alias("query_name"), "cluster_id", "score", F.slice("sig", 1, EL_MATCH).alias("q50"), F.col("n2_50").alias("q2"))
-    cos = cosine(dot(F.col("q50"), F.col("sig50")), F.col("q2"), F.col("n2_50"))
-    return probed.join(index.members, "cluster_id", "left").withColumn("cos", cos).drop("q50", "q2", "sig50", "n2_50")
+    return probed.select("query_id", "cluster_id", F.slice("sig", 1, EL_MATCH).alias("q50"), F.col("n2_50").alias("q2"))
+
+
+def hits_clustered(asked: DataFrame, members: DataFrame, tau: float = TAU, block: int = CLUSTER_BLOCK) -> DataFrame:
+    """(query_id, cluster_id, column_index, cos) above the threshold, of probed queries and the members of their clusters.
+
+    Both sides of a cluster are cut into blocks, each pair of blocks is one
+    matrix product in a task of its own, and only hits leave it: a large
+    cluster is spread over tasks, and no pair is ever a row.
+    """
+    check_tau(tau)
+    blocks = lambda df, name: df.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    each = blocks(members, "mb").join(blocks(asked, "qb"), "cluster_id")
+    key = ["cluster_id", "m", "q"]
+    left = members.select("cluster_id", "column_index", "sig50", "n2_50").join(each, "cluster_id")
+    left = left.withColumns({"m": F.floor(F.col("column_index") / block).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("qb") - 1))}).drop("mb", "qb")
+    right = asked.select("cluster_id", "query_id", "q50", "q2").join(each, "cluster_id")
+    right = right.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"), "m": F.explode(F.sequence(F.lit(0), F.col("mb") - 1))}).drop("mb", "qb")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "cluster_id": pa.array([], pa.int32()), "column_index": pa.array([], pa.int32()), "cos": pa.array([], pa.float64())})
+        root = lambda c: np.sqrt(c.to_numpy().astype(np.float64))
+        row, col, cos = _above(matrix(x["sig50"], EL_MATCH), root(x["n2_50"]), matrix(y["q50"], EL_MATCH), root(y["q2"]), tau)
+        return pa.table({"query_id": y["query_id"].take(pa.array(col)), "cluster_id": pa.array(np.full(len(row), x["cluster_id"][0].as_py(), np.int32)), "column_index": x["column_index"].take(pa.array(row)).cast(pa.int32()), "cos": pa.array(cos)})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id bigint, cluster_id int, column_index int, cos double")
+
+
+def scored(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every probed query with its hits, or with nulls."""
+    return asked.select("query_id", "cluster_id").join(hits, ["query_id", "cluster_id"], "left")
 
 
 def judge(scored: DataFrame, max_size: int, tau: float = TAU, early_stop: bool = True) -> DataFrame:
@@ -120,7 +148,8 @@ def first_hit(judged: DataFrame, members: DataFrame) -> DataFrame:
 
 def screen(queries: DataFrame, index: Index, tau: float = TAU, early_stop: bool = True, nprobe: int = 1) -> DataFrame:
     """Both rounds for all queries (query_id, name)."""
-    return judge(candidates(queries, index, nprobe), index.max_size, tau, early_stop)
+    asked = probe(queries, index, nprobe)
+    return judge(scored(asked, hits_clustered(asked, index.members, tau)), index.max_size, tau, early_stop)
 
 
 def selector_product(selectors: DataFrame, members: DataFrame) -> DataFrame:

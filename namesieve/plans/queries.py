@@ -191,8 +191,7 @@ def _one_round(spark, d):
 def _two_round(spark, d):
     members, asked = _one_round(spark, d)
     most = members.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    scored = asked.join(members, "cluster_id", "left").withColumn("cos", cosine(dot(F.col("q50"), F.col("sig50")), F.col("q2"), F.col("n2_50")))
-    return search.judge(scored, most), members
+    return search.judge(search.scored(asked, search.hits_clustered(asked, members)), most), members
 
 
 def two_round_catch(spark, d):
