@@ -40,6 +40,7 @@ from ._text import Words, mix, slices, stream
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SHARE = 5, 0.8, 16, 4, 0.01
 STARS, BLOCK, COLUMNS = 2, 256, 4096
+LOCAL_DOCS, LOCAL_SHINGLES = 2000, 8_000_000
 _BITS = 16
 
 
@@ -127,16 +128,26 @@ class Sampler:
 
 def _frequent(docs: DataFrame, shingle: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Shingles in `share` of the documents or more, their counts, and the number of documents."""
+    def often(held: list[np.ndarray], n: int) -> pa.RecordBatch:
+        seen = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])) if len(seen) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_pydict({"h": pa.array(seen[at[np.diff(np.append(at, len(seen))) >= share * n]].view(np.int64))})
+
     def local(batches):
+        held, n = [], 0
         for batch in batches:
-            for a, b in slices(batch.column(1), 16 << 20):
-                seen = np.sort(Sets(batch.column(1).slice(a, b - a), shingle).hash)
-                at = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])) if len(seen) else np.zeros(0, np.int64)
-                often = np.diff(np.append(at, len(seen))) >= share * (b - a)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(seen[at[often]].view(np.int64))})
+            for a, b in slices(batch.column(1)):
+                held.append(Sets(batch.column(1).slice(a, b - a), shingle).hash)
+                n += b - a
+                if n >= LOCAL_DOCS or sum(map(len, held)) >= LOCAL_SHINGLES:
+                    yield often(held, n)
+                    held, n = [], 0
+        if n:
+            yield often(held, n)
 
     n_docs = docs.count()
-    found = docs.mapInArrow(frugal(local), "h long").distinct()
+    # of few documents every shingle is frequent, so tiny partitions are read together
+    found = docs.coalesce(max(1, n_docs // LOCAL_DOCS)).mapInArrow(frugal(local), "h long").distinct()
     maybe = np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
 
     def exact(batches):
