@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.minhash import matrix
 from ..params import KMEANS_ROUNDS, KMEANS_SHIFT, NEAR_ZERO, SEED, seed_positions
 
+MOST_CLUSTERS = 50_000
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=-1, keepdims=True)
@@ -74,6 +76,8 @@ def fit(points: DataFrame, k: int, seed: int = SEED, rounds: int = KMEANS_ROUNDS
         raise ValueError("no rows to cluster")
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
+    if min(k, n) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters: centroids are held by the driver and every task")
     where = seed_positions(n, min(k, n), seed)
     rows = {r[0]: r[1] for r in points.where(F.col(id_col).isin(where)).select(id_col, vector).collect()}
     if len(rows) < len(where):
