@@ -46,7 +46,7 @@ def _classes(raw: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """encode(column) -> (ids of all rows, row offsets); about `cache` units are kept between calls."""
+    """encode(column) -> (ids of all rows, row offsets); about `cache` units, and eight times as many ids, are kept between calls."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -103,13 +103,14 @@ class Encoder:
             if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
                 self._keep(some, ids, ends)
         rest = [u for u in new if u not in self.known]
-        if rest:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        for at in range(0, len(rest), 10_000):
+            some = rest[at : at + 10_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self._keep(rest, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), np.cumsum(lengths))
+            self._keep(some, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), np.cumsum(lengths))
 
     def _places(self, units: list[str]) -> np.ndarray:
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.ends[-1] > 8 * self.limit:
             self._reset()
         found = list(map(self.known.get, units))
         if None in found:
@@ -136,22 +137,26 @@ class Encoder:
                 at = whole.find(mark, at + 1)
         cut[offsets] = True
         cuts = np.flatnonzero(cut)
-        units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        del kind, cut
+        units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = pc.dictionary_encode(units)
         at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        start = self.ends[at]
-        length = self.ends[at + 1] - start
-        done = np.concatenate(([0], np.cumsum(length)))
-        where = np.repeat(start - done[:-1], length)
-        where += np.arange(len(where))
-        ids = self.ids[where]
-        return ids, done[np.searchsorted(cuts, offsets)]
+        del units, coded
+        ends = self.ends.astype(np.int32)
+        start = ends[at]
+        length = ends[at + 1] - start
+        del at
+        done = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length, out=done[1:])
+        where = np.repeat(start - done[:-1].astype(np.int32), length)
+        where += np.arange(len(where), dtype=np.int32)
+        return self.ids[where], done[np.searchsorted(cuts, offsets)]
 
     def documents(self, column: pa.Array | pa.ChunkedArray, end_id: int | None):
         """For blocks of rows: first row, ids with the end id after each row, row offsets."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        for a, b in slices(column, 6 << 20):
+        for a, b in slices(column, 3 << 20):
             ids, rows = self.encode(column.slice(a, b - a))
             if end_id is not None:
                 ids = np.insert(ids, rows[1:], np.uint32(end_id))
