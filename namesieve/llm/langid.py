@@ -133,6 +133,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROF
         found = judge(texts.tolist(), profiles, profile)
         return pd.DataFrame(dict(zip((lang, score), found, strict=True)))
 
+    # a filter on what it returns would otherwise be pushed below it, and judge every text again in a second worker
+    run = run.asNondeterministic()
     taken = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
     both = free("judged", taken)
     judged = docs.select(*taken, run(F.coalesce(F.col(text_col), F.lit(""))).alias(both))
