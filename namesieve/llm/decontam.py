@@ -1,13 +1,13 @@
 """Benchmark decontamination.
 
-Word n-grams of the test items are seeds.  A first pass counts in how many
-documents each seed occurs; seeds above `common` of all documents are left
-aside unless they are among the rarer half of their item's, so every item keeps
-at least half of its seeds.  A second pass finds the seeds in whole documents,
-gathers the hits of an item that lie near each other, and aligns the item with
-the words around them by Smith-Waterman (match 1, mismatch and gap -1).  A
-score of `threshold` of the item's words or more is a leak, edited or not; items
-of fewer than `whole` words must match whole.
+Word n-grams of the test items are seeds, and every seed counts, however many
+documents hold it: a passage that was copied into many of them is a leak in each.
+One pass finds the seeds in whole documents, gathers the hits of an item that
+lie near each other, and aligns the item with the words around them by
+Smith-Waterman (match 1, mismatch and gap -1).  The number of the item's words
+that stand there bounds the score from above, so chance hits of common seeds are
+not aligned.  A score of `threshold` of the item's words or more is a leak,
+edited or not; items of fewer than `whole` words must match whole.
 
 Items are sent to the executors in blocks of at most `block_words` words each,
 so what is broadcast is bounded; the corpus is never shuffled.  Null texts hold
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._spark import careful, frugal
 from ._text import Words, code_points, slices
 
-SEED, COMMON, THRESHOLD, WHOLE, BLOCK_WORDS = 3, 0.01, 0.5, 8, 1_000_000
+SEED, THRESHOLD, WHOLE, BLOCK_WORDS = 3, 0.5, 8, 1_000_000
 
 
 class Items:
@@ -43,27 +43,9 @@ class Items:
         self.seed, self.at = np.unique(grams[order], return_index=True)
         self.at = np.append(self.at, len(grams))
         self.short = sorted({len(x) for x in self.words if 0 < len(x) < n})
-        self._filter()
-
-    def _filter(self) -> None:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.seed >> np.uint64(44)).astype(np.int64)] = True
 
-    def keep(self, count: np.ndarray, n_docs: int, common: float) -> None:
-        """Leave common seeds aside, but never the rarer half of an item's."""
-        each = np.repeat(np.arange(len(self.seed)), np.diff(self.at))
-        df = count[each]
-        use = df <= common * n_docs
-        order = np.lexsort((self.place, df, self.item))
-        items, start, size = np.unique(self.item[order], return_index=True, return_counts=True)
-        rank = np.arange(len(order)) - np.repeat(start, size)
-        use[order[rank < np.repeat((size + 1) // 2, size)]] = True
-        self.item, self.place, each = self.item[use], self.place[use], each[use]
-        kept, self.at = np.unique(each, return_index=True)
-        self.at = np.append(self.at, len(each))
-        self.seed = self.seed[kept]
-        self._filter()
-
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, word number in the batch, seed number) of all seeds in the rows."""
         found = []
@@ -112,38 +94,17 @@ def _leaks(w: Words, items: Items, threshold: float, whole: int) -> list[tuple[i
         m = int(length[i])
         low = max(int(w.rows[r]), int((at[a:b] - place[a:b]).min()) - m // 2)
         high = min(int(w.rows[r + 1]), int((at[a:b] - place[a:b]).max()) + m + m // 2)
-        words = w.hash[low:high]
+        words, least = w.hash[low:high], threshold * m if m >= whole else m
+        if np.isin(items.words[i], words).sum() < least:  # no alignment matches more of the item's words
+            continue
         score, end = smith_waterman(items.words[i], words)
-        if score >= (threshold * m if m >= whole else m) and score > best.get((r, i), (0,))[0]:
+        if score >= least and score > best.get((r, i), (0,))[0]:
             _, back = smith_waterman(items.words[i][::-1], words[:end][::-1])
             best[r, i] = (score, low + end - back, low + end)
     return [(r, i, s / len(items.words[i]), a, b) for (r, i), (s, a, b) in best.items()]
 
 
-def _seed_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many documents each seed is, and how many documents there are; the driver gets a row for each seed."""
-    def run(batches):
-        total = np.zeros(len(items.seed), np.int64)
-        n = 0
-        for batch in batches:
-            n += batch.num_rows
-            for a, b in slices(batch.column(1)):
-                row, _, seed = items.hits(Words(batch.column(1).slice(a, b - a)))
-                total += np.bincount(np.unique(row * len(items.seed) + seed) % max(len(items.seed), 1), minlength=len(items.seed))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"seed": pa.array(np.append(some, -1)), "n": pa.array(np.append(total[some], n))})
-
-    count = np.zeros(len(items.seed), np.int64)
-    n_docs = 0
-    for r in docs.mapInArrow(frugal(run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        if r.seed < 0:
-            n_docs = r.n
-        else:
-            count[r.seed] = r.n
-    return count, n_docs
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, common: float = COMMON, seed: int = SEED, whole: int = WHOLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, whole: int = WHOLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score (share of the item's words), start and end in code points of each leak."""
     spark = docs.sparkSession
     careful(spark)
@@ -158,7 +119,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         items = Items([r.i for r in rows], [r.t for r in rows], seed)
         if not len(items.seed):
             continue
-        items.keep(*_seed_counts(base, items), common)
 
         def run(batches, items=items):
             for batch in batches:

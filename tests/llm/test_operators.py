@@ -300,6 +300,18 @@ def test_leaks_whole_edited_and_none(spark, docs, none):
     assert decontam.find_leaks(none, tests).count() == 0 and decontam.find_leaks(df, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n_docs", "copies"), [(200, 3), (20, 1), (20, 15)])
+def test_edited_item_in_many_documents_is_a_leak(spark, n_docs, copies):
+    """Each fifth word replaced: no seed of the rest may be left aside as common, nor in a small table."""
+    rnd = random.Random(12)
+    words = [f"item{i}" for i in range(30)]
+    edited = " ".join(f"edit{i}" if i % 5 == 2 else x for i, x in enumerate(words))
+    rows = [(i, f"{prose(rnd, 20)} {edited} {prose(rnd, 20)}" if i < copies else prose(rnd, 60)) for i in range(n_docs)]
+    tests = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in got) == [(i, 7, 0.6) for i in range(copies)]
+
+
 def test_repeats_keep_the_earliest(docs, corpus, none):
     got = by_id(repeats.remove_repeats(docs))
     text = {i: t or "" for i, t, *_ in corpus}
