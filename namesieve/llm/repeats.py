@@ -4,14 +4,16 @@ Units are lines and, within them, sentences and the stretches between
 capitalised words, so a passage that was pasted into the middle of a line falls
 into units of its own.  A unit's digest is a 64-bit hash of its words
 (lower case, without punctuation).  For each digest the unit with the least
-(doc_id, number) is the first; another document's later unit repeats it.  Runs of
-neighbouring repeats of at least `least_words` words go, earlier documents keep
-theirs, and offsets in code points refer to the original text.
+(document, number) is the first; every other one, of the same document too,
+repeats it.  Runs of neighbouring repeats of at least `least_words` words go, the
+first units stay, and offsets in code points refer to the original text.
 
 Digests are grouped with a partial minimum, so a digest that a third of all
-units share costs each task one row; only digests of two documents or more are
-joined back.  Null texts are empty, rows that share a doc_id count as one
-document, documents without words keep their text, extra columns are ignored.
+units share costs each task one row; only digests of two units or more are
+joined back.  Null texts are empty, documents without words keep their text,
+extra columns are ignored.  Rows that share a doc_id, or have none, are documents
+of their own (in the order of a hash of their texts, those without a doc_id last);
+only where there are such rows the table is sorted and written with a rank.
 """
 
 from __future__ import annotations
@@ -52,40 +54,65 @@ def _units(column: pa.Array) -> dict[str, np.ndarray]:
     new_row = np.append(True, row[first][1:] != row[first][:-1])
     number = np.arange(len(first)) - np.repeat(np.flatnonzero(new_row), np.diff(np.append(np.flatnonzero(new_row), len(first))))
     base = points[w.offsets[:-1]][row[first]]
-    return {"row": row[first], "unit": number, "start": points[w.start[first]] - base, "end": points[w.end[last]] - base, "words": size, "digest": digest.view(np.int64)}
+    return {"row": row[first], "unit": number, "start": points[w.start[first]] - base, "end": points[w.end[last]] - base, "words": size, "digest": digest.view(np.int64), "later": _later(row[first], digest)}
+
+
+def _later(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Which units repeat an earlier one of their row."""
+    order = np.lexsort((digest, row))  # stable, so the first of equals comes first
+    out = np.zeros(len(row), bool)
+    out[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+    return out
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, unit, start, end, words, digest of all units; no shuffle."""
+    """doc_id, unit, start, end, words, digest, later (repeats a unit of its row) of all units; no shuffle."""
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 found = _units(batch.column(1).slice(a, b - a))
                 if found:
-                    out = {"doc_id": batch.column(0).take(pa.array(found["row"] + a)), "digest": pa.array(found["digest"])}
+                    out = {"doc_id": batch.column(0).take(pa.array(found["row"] + a)), "digest": pa.array(found["digest"]), "later": pa.array(found["later"])}
                     yield pa.RecordBatch.from_pydict(out | {c: pa.array(found[c].astype(np.int32)) for c in ("unit", "start", "end", "words")})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), "doc_id long, digest long, unit int, start int, end int, words int")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), "doc_id long, digest long, later boolean, unit int, start int, end int, words int")
+
 
+def _ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, rank of each row; ranks are distinct and in the order of doc_id."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return base.withColumn("rank", F.col("doc_id"))
+    return written(base.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("rank", F.monotonically_increasing_id()))
 
-def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, **columns: str) -> DataFrame:
+
+def _spans(ranked: DataFrame, least_words: int) -> DataFrame:
+    """rank, start, end, words, keeper of each run of repeats; keeper: the rank of the row that keeps its first unit."""
+    table = written(units(ranked, "rank").withColumnRenamed("doc_id", "rank"))
+    seen = table.groupBy("digest").agg(F.min("rank").alias("keeper"), F.max("rank").alias("other"), F.max("later").alias("within")).where("keeper < other or within").select("digest", "keeper")
+    seen = written(seen)  # apart from the exchange below it, so that a hot digest's partition of the join can be split
+    again = table.join(seen, "digest").where("rank > keeper or later")
+    by = Window.partitionBy("rank").orderBy("unit")
+    run = again.withColumn("run", F.col("unit") - F.row_number().over(by))
+    spans = run.groupBy("rank", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min_by("keeper", "unit").alias("keeper"))
+    return spans.where(F.col("words") >= least_words).select("rank", "start", "end", "words", "keeper")
+
+
+def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, words, keeper of each run of repeats; keeper: the document that keeps its first unit."""
     careful(docs.sparkSession)
-    table = written(units(docs, **columns))
-    seen = table.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper < other").select("digest", "keeper")
-    seen = written(seen)  # apart from the exchange below it, so that a hot digest's partition of the join can be split
-    again = table.join(seen, "digest").where("doc_id > keeper")
-    by = Window.partitionBy("doc_id").orderBy("unit", "start")
-    run = again.withColumn("run", F.col("unit") - F.dense_rank().over(by))
-    spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min_by("keeper", "unit").alias("keeper"))
-    return spans.where(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "keeper")
+    ranked = _ranked(docs, id_col, text_col)
+    names = ranked.select("rank", "doc_id")
+    keepers = names.select(F.col("rank").alias("keeper"), F.col("doc_id").alias("kept_by"))
+    return _spans(ranked, least_words).join(names, "rank").join(keepers, "keeper").select("doc_id", "start", "end", "words", F.col("kept_by").alias("keeper"))
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without its repeats, and the removed spans (start, end) in the original text."""
-    spans = repeated_spans(docs, least_words, id_col=id_col, text_col=text_col)
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(spans, "doc_id", "left")
+    careful(docs.sparkSession)
+    ranked = _ranked(docs, id_col, text_col)
+    spans = _spans(ranked, least_words).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    base = ranked.select("rank", "doc_id", F.coalesce("text", F.lit("")).alias("text")).join(spans, "rank", "left")
     start = F.aggregate(
         F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")),
         F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),

@@ -323,6 +323,26 @@ def test_repeats_keep_the_earliest(docs, corpus, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_within_a_document_and_in_rows_of_one_number_go(spark):
+    rnd = random.Random(13)
+    line = prose(rnd, 12).capitalize() + ".\n"
+    one, two, rest = (prose(rnd, 15).capitalize() + ".\n" for _ in range(3))
+    rows = [(1, one + line + two + line + rest + line), (2, line * 1000), (5, one + two), (7, rest.lower() + "q"), (7, rest.lower() + "q"), (None, line + "Zebra"), (None, "Only here"), (8, None)]
+    got = collections.defaultdict(list)
+    for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id].append(re.findall(r"\w+", r.text))
+    words = lambda t: re.findall(r"\w+", t)
+    assert got[1] == [words(one + line + two + rest)]
+    assert got[2] == [[]] and got[5] == [[]] and got[8] == [[]]
+    assert sorted(got[7]) == [["q"], ["q"]] or sorted(got[7]) == [[], ["q"]]
+    assert sorted(got[None]) == [["Only", "here"], ["Zebra"]]
+    alone = spark.createDataFrame([(4, line * 1000)], "doc_id long, text string")
+    assert words(repeats.remove_repeats(alone).first().text) == words(line)
+    twice = spark.createDataFrame([(4, one + two), (4, one + two), (None, one)], "doc_id long, text string")
+    assert sorted((words(r.text) for r in repeats.remove_repeats(twice).collect()), key=len) == [[], [], words(one + two)]
+    assert {(r.doc_id, r.keeper) for r in repeats.repeated_spans(twice).collect()} == {(4, 4), (None, 4)}
+
+
 def test_url_rules(spark):
     urls = ["http://Net/", "https://a.NET/x", "https://m.example.net/en/1?q#f", "https://example.net/english", "http://b.example.com/de/", "http://example.com/de", "ftp://x.org/fr/2", "http://myexample.com/de/1", "no scheme", None, "http://", "http://x.net?a=/", "http://x.org#/fr/", "http://planet/", "x://a.com:80/b"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
