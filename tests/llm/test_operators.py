@@ -343,6 +343,24 @@ def test_repeats_within_a_document_and_in_rows_of_one_number_go(spark):
     assert {(r.doc_id, r.keeper) for r in repeats.repeated_spans(twice).collect()} == {(4, 4), (None, 4)}
 
 
+def test_repeated_lines_go_whole_however_short(spark):
+    """The other lines are new in each document, so no run of repeats reaches ten words."""
+    rnd = random.Random(14)
+    new = lambda: " ".join(f"n{rnd.getrandbits(60)}" for _ in range(6))
+    rows, want = [], []
+    for i in range(12):
+        a, b = new(), new()
+        rows.append((i, f"{a}\n\u00bfThe and Été (the).  Home page!\n{b}\nMenu"))
+        want.append(rows[0][1] if i == 0 else f"{a}\n{b}\n")
+    rows += [(20, "Menu\n" * 50 + "say Menu in a line\n--\n--"), (21, "menu")]
+    want += ["say Menu in a line\n--\n--", ""]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
+    for r in got:
+        at = [x for s in r.removed for x in s]
+        assert at == sorted(at)
+
+
 def test_url_rules(spark):
     urls = ["http://Net/", "https://a.NET/x", "https://m.example.net/en/1?q#f", "https://example.net/english", "http://b.example.com/de/", "http://example.com/de", "ftp://x.org/fr/2", "http://myexample.com/de/1", "no scheme", None, "http://", "http://x.net?a=/", "http://x.org#/fr/", "http://planet/", "x://a.com:80/b"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
