@@ -15,12 +15,14 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that language ID can place; lang becomes what it says where the source names none."""
+    """Keep the documents that are near enough to a learned language; lang becomes what language ID says where the source names none or is clearly contradicted."""
     profiles = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
-    found, score = free("found", docs.columns), free("score", docs.columns)
-    named = langid.predict(docs, profiles, lang=found, score=score)
-    kept = named.where(F.col(found) != "und").withColumn("lang", F.coalesce("lang", found))
-    return _as_documents(kept, docs)
+    found, score, size, lead = (free(c, docs.columns) for c in ("found", "score", "size", "lead"))
+    named = written(langid.predict(docs, profiles, lang=found, score=score, size=size, lead=lead))  # judged once, for the limits and the choice
+    limits = langid.limits(named, ~langid.held_out(), "lang", found, score)
+    kept = named.where(langid.placed(limits, found, score, size))
+    clear = F.col(lead) > langid.spread(size)  # a label of another language fits no better than the next one
+    return _as_documents(kept.withColumn("lang", F.when(clear | F.col("lang").isNull(), F.col(found)).otherwise(F.col("lang"))), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

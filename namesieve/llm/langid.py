@@ -14,6 +14,8 @@ Prediction is one pass without a shuffle over whole texts.
 
 `und` and score 0: null text, a text without a letter, or no training text at
 all.  Score: 1 less the distance as a share of the greatest possible one.
+`placed` rejects a text whose score is below what the training texts of its
+language reach, less the spread that so few n-grams leave.
 Null languages teach nothing, repeated rows are judged alike, extra columns
 are ignored, an empty table gives no rows.
 """
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from ._spark import careful, free, frugal, tidy
 
 PROFILE, SAMPLE_DOCS, MOST_LANGS = 400, 4000, 5000
+LOWEST, SPREAD = 0.001, 1.2  # share of training texts below the limit; three times the deviation of one n-gram's part in a score
 
 
 @cache
@@ -101,17 +104,24 @@ def fit(docs: DataFrame, training: Column, profile: int = PROFILE, sample_docs:
 
 def judge(texts: list[str | None], profiles: dict[str, list[int]], profile: int = PROFILE) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
+    return _judged(texts, profiles, profile)[:2]
+
+
+def _judged(texts: list[str | None], profiles: dict[str, list[int]], profile: int) -> tuple[list[str], list[float], list[int], list[float]]:
+    """Language, score, number of n-grams, and lead in score on the next language of each text."""
     langs = sorted(profiles)
     every = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(profiles[x], np.int64) for x in langs)]))
     place = np.full((len(langs), len(every) + 1), -1, np.int32)
     for k, lang in enumerate(langs):
         place[k, np.searchsorted(every, profiles[lang])] = np.arange(len(profiles[lang]))
-    names, scores = [], []
+    names, scores, sizes, leads = [], [], [], []
     for text in texts:
         grams = ranked(text or "", profile)
+        sizes.append(len(grams))
         if not len(grams) or not langs:
             names.append("und")
             scores.append(0.0)
+            leads.append(0.0)
             continue
         at = np.minimum(np.searchsorted(every, grams), max(len(every) - 1, 0))
         at = np.where(every[at] == grams, at, len(every))
@@ -120,25 +130,46 @@ def judge(texts: list[str | None], profiles: dict[str, list[int]], profile: int
         best = int(out.argmin())
         names.append(langs[best])
         scores.append(1.0 - float(out[best]) / (profile * len(grams)))
-    return names, scores
+        leads.append(float(min([*np.delete(out, best), profile * len(grams)]) - out[best]) / (profile * len(grams)))
+    return names, scores, sizes, leads
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs, with the language and the score of each text, which take the place of columns of their names."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], profile: int = PROFILE, text_col: str = "text", lang: str = "lang_pred", score: str = "score", size: str | None = None, lead: str = "lead") -> DataFrame:
+    """All columns of docs, with the language and the score of each text, and, if `size` names a column, by how many n-grams it was judged and its lead on the next language; they take the place of columns of their names."""
     careful(docs.sparkSession)
+    added = [lang, score] + [size, lead] * bool(size)
 
-    @F.pandas_udf(f"`{lang}` string, `{score}` double")
+    @F.pandas_udf(", ".join(f"`{c}` {kind}" for c, kind in zip(added, ("string", "double", "long", "double"), strict=False)))
     def run(texts: "pd.Series") -> "pd.DataFrame":
         tidy()
-        found = judge(texts.tolist(), profiles, profile)
-        return pd.DataFrame(dict(zip((lang, score), found, strict=True)))
+        found = _judged(texts.tolist(), profiles, profile)
+        return pd.DataFrame(dict(zip(added, found, strict=False)))
 
     # a filter on what it returns would otherwise be pushed below it, and judge every text again in a second worker
     run = run.asNondeterministic()
-    taken = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
+    taken = [c for c in docs.columns if c.lower() not in {x.lower() for x in added}]
     both = free("judged", taken)
     judged = docs.select(*taken, run(F.coalesce(F.col(text_col), F.lit(""))).alias(both))
-    return judged.select(*taken, F.col(both)[lang].alias(lang), F.col(both)[score].alias(score))
+    return judged.select(*taken, *(F.col(both)[c].alias(c) for c in added))
+
+
+def limits(named: DataFrame, training: Column, lang_col: str, lang: str, score: str, lowest: float = LOWEST) -> dict[str, float]:
+    """By language, the score that all but `lowest` of its training texts reach; named: what `predict` gave."""
+    known = named.where(training & (F.col(lang_col) == F.col(lang)))
+    return {r.lang: r.least for r in known.groupBy(F.col(lang).alias("lang")).agg(F.percentile_approx(score, lowest, 10000).alias("least")).collect()}
+
+
+def spread(size: str) -> Column:
+    """How far chance may move the score of a text of so many n-grams."""
+    return F.lit(SPREAD) / F.sqrt(F.greatest(F.col(size), F.lit(1)))
+
+
+def placed(limit: dict[str, float], lang: str, score: str, size: str) -> Column:
+    """Whether a text is near enough to its nearest language; one that shares no n-gram with the profiles never is."""
+    least = F.lit(0.0)
+    if limit:
+        least = F.coalesce(F.create_map(*(F.lit(x) for pair in sorted(limit.items()) for x in pair))[F.col(lang)], least)
+    return (F.col(lang) != "und") & (F.col(score) > 0) & (F.col(score) >= least - spread(size))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from namesieve.llm import decontam, fingerprint, langid, lmscore, neardup, packing, pii, queries, repeats, tokenbin, urlrules
 from namesieve.llm._spark import components
 from namesieve.llm._text import Words, code_points
@@ -224,6 +225,21 @@ def test_language_profiles(spark, none):
     assert len(grams) == len(set(grams)) == 7
 
 
+def test_language_stage_drops_what_no_profile_fits(spark):
+    rnd = random.Random(21)
+    sounds = {"aa": ("ta", "ko", "mi", "lu"), "bb": ("schu", "rf", "xel", "ont"), "zz": ("gwy", "ddl", "pqe", "yff"), "ru": ("\u0447\u0442", "\u043e\u043b", "\u0438\u0437")}
+    text = lambda lang, n=40: " ".join("".join(rnd.choice(sounds[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(("aa", "bb")[i % 2], 5 + i % 60), ("aa", "bb")[i % 2]) for i in range(300)]
+    rows += [(i, text("zz"), None) for i in range(400, 410)] + [(i, text("ru"), None) for i in range(410, 415)]
+    rows += [(500, text("aa"), None), (501, text("bb", 400), "aa"), (502, "12 !", "aa"), (503, None, "aa"), (504, "Tako", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(corpus_pipeline.language(spark, df, ""))
+    assert got.keys() == {*range(300), 500, 501, 504}
+    assert all(got[i].lang == ("aa", "bb")[i % 2] for i in range(300))
+    assert (got[500].lang, got[501].lang, got[504].lang) == ("aa", "bb", "bb")
+    assert got[500].asDict().keys() == {"doc_id", "text", "lang"} and corpus_pipeline.language(spark, df.limit(0), "").count() == 0
+
+
 def test_scores_equal_hand_count(spark):
     rows = [(1, "a b a b"), (2, "a b c"), (3, "d"), (4, None), (5, "?!")]
     got = by_id(lmscore.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")))
