@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a temporary one only where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one, gone at exit, only in local mode where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="namesieve-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="namesieve-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -71,8 +78,18 @@ def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def text_or_empty(c: str = "text") -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
+def identified(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart, and that column's name.
+
+    It is the doc_id where every row has one of its own; else a number given
+    once, in a written table, so that rows that share a doc_id or have none
+    are never taken for each other.
+    """
+    key, ids = free("row", docs.columns), F.col(id_col).cast("long")
+    size = docs.agg(F.count("*").alias("n"), F.count_distinct(ids).alias("distinct")).first()
+    if size.n == size.distinct:
+        return docs.withColumn(key, ids), key
+    return written(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,8 +115,6 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError("connected components did not settle in 60 rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def schema_of(**fields: pa.DataType) -> pa.Schema:
-    return pa.schema(list(fields.items()))

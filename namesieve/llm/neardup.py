@@ -1,47 +1,52 @@
 """MinHash near-dedup by improved consistent weighted sampling.
 
 A document is the weighted set of its five-word shingles, weight = (1 + ln
-occurrences) x inverse document frequency.  Frequencies are exact for shingles in `share` of
-all documents or more; all rarer ones weigh the same, ln(1 / share) + 1, so the
-table of frequent shingles has a size that does not grow with the corpus.  It is
-found in two passes: shingles frequent in some batch (every shingle frequent in
-the whole is so in one batch at least), then exact counts of these.
+occurrences) x (ln(documents / documents with the shingle) + 1).  Document
+counts are those of the whole table, for every shingle (`_counts`); what a
+document keeps of them is a code of 16 bits a shingle (exact below 32,768,
+then in steps of a thousandth of their logarithm).
 
 Improved consistent weighted sampling draws for each hash function and shingle
 r, c ~ Gamma(2, 1) and b ~ U(0, 1), here from tables addressed by a hash of the
-shingle, and takes the shingle of least ln c - r (floor(ln w / r + b) - b + 1).
-`bands` x `rows` samples are banded: at 0.8 a pair shares a band with
-probability 0.9998.
+shingle, and takes the shingle of least ln c - r (floor(ln w / r + b) - b + 1),
+with ln w rounded to steps of 0.05.  `bands` x `rows` samples are banded: at 0.8
+a pair shares a band with probability 0.9998.
 
 Candidates are verified by exact weighted Jaccard similarity on the whole
 texts.  Texts with equal words are one class from the start.  A bucket links
 its members to its least one, which keeps candidates linear; members that are
 then still in other classes meet a second leader; what then remains of buckets
-that hold several classes is compared block by block: a product of matrices
-bounds the similarity of all pairs of two blocks from above, and only pairs
-across classes that may reach the threshold leave it and are verified.  A large
-bucket is spread over many blocks, and no pair is missed.
+that hold several classes is compared block by block: those outside a bucket's
+largest class with all, a product of matrices bounding the similarity of all
+pairs of two blocks from above; only pairs across classes that may reach the
+threshold leave it and are verified.  A large bucket is spread over many blocks,
+no pair across classes is missed, and none within one is compared again.
 
 A row per document comes back: doc_id, class_id (the least doc_id of the class),
-n_links.  Null texts and texts without words are classes of their own; shorter
-texts than five words are one shingle; rows that share a doc_id count as one
-document; null doc_ids are left out; extra columns are ignored.
+n_links (verified links to other texts on the way to the class).  Null texts and
+texts without words are classes of their own; shorter texts than five words are
+one shingle; long texts are taken whole; rows that share a doc_id are documents
+of their own, as are those without (their class_id is null if no member has a
+doc_id); of equal texts the least doc_id is first; extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful, components, frugal, written
+from . import _counts
+from ._spark import careful, components, frugal, identified, tidy, written
 from ._text import Words, mix, slices, stream
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SHARE = 5, 0.8, 16, 4, 0.01
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 STARS, BLOCK, COLUMNS = 2, 256, 4096
-LOCAL_DOCS, LOCAL_SHINGLES = 2000, 8_000_000
-_BITS = 16
+_BITS, _STEP, _EXACT = 16, 0.05, 1 << 15
 
 
 class Sets:
@@ -75,124 +80,125 @@ class Sets:
         return out
 
 
-class Weights:
-    """Weight of a shingle; frequent: sorted hashes and their document counts."""
+def code(df: np.ndarray) -> np.ndarray:
+    """Document counts in 16 bits: themselves below 32,768, beyond that the logarithm in steps of a thousandth."""
+    return np.where(df < _EXACT, df, _EXACT + np.round(1000 * np.log(np.maximum(df, 1)))).astype("<u2")
+
+
+@cache
+def _log_counts() -> np.ndarray:
+    """Natural logarithm of the count behind each code."""
+    n = np.arange(1 << 16)
+    return np.where(n < _EXACT, np.log(np.maximum(n, 1)), (n - _EXACT) / 1000)
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, n_docs: int, share: float = SHARE):
-        self.frequent = frequent
-        self.rare = float(np.log(1 / share) + 1)
-        self.idf = np.append(np.log(np.maximum(n_docs, 1) / np.maximum(counts, 1)) + 1, self.rare)
 
-    def of(self, sets: Sets) -> np.ndarray:
-        often = 1 + np.log(sets.times)
-        if not len(self.frequent):
-            return often * self.rare
-        at = np.minimum(np.searchsorted(self.frequent, sets.hash), len(self.frequent) - 1)
-        return often * self.idf[np.where(self.frequent[at] == sets.hash, at, -1)]
+def weights(times: np.ndarray, codes: np.ndarray, n_docs: int) -> np.ndarray:
+    """Weights of shingles by their occurrences in the document and the codes of their document counts."""
+    return (1 + np.log(times)) * (np.maximum(np.log(n_docs) - _log_counts()[codes], 0) + 1)
 
 
 class Sampler:
-    """Consistent weighted samples of weighted sets."""
+    """Consistent weighted samples of weighted sets; values of each rounded weight are tabulated when first met."""
 
-    def __init__(self, size: int, rare: float):
+    def __init__(self, size: int):
         unit = lambda seed: (stream(seed, 1 << _BITS).astype(np.float64) + 1) / 2.0**64
         self.r = -np.log(unit(21) * unit(22))
         self.c = np.log(-np.log(unit(23) * unit(24)))
         self.b = unit(25)
         self.factor, self.salt = stream(26, size) | np.uint64(1), stream(27, size) | np.uint64(1)
-        self.rare, self.usual = rare, self._order(np.full(1 << _BITS, np.log(rare)), np.arange(1 << _BITS))
+        self.table, self.known = np.empty((0, 1 << _BITS), np.uint32), np.zeros(0, bool)
 
-    def _order(self, log_w: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The sampling value at table entries, as unsigned integers of the same order in the upper half."""
-        r = self.r[at]
-        value = (self.c[at] - r * (np.floor(log_w / r + self.b[at]) - self.b[at] + 1)).astype(np.float32)
+    def _values(self, step: int) -> np.ndarray:
+        """Sampling values of one weight at all table entries, as unsigned integers of the same order."""
+        value = (self.c - self.r * (np.floor(_STEP * step / self.r + self.b) - self.b + 1)).astype(np.float32)
         bits = value.view(np.uint32)
-        bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
-        return bits.astype(np.uint64) << np.uint64(32)
+        return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
 
-    def sample(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def sample(self, hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(size, sets): each sample names a shingle and its quantised weight."""
-        other = np.flatnonzero(weights != self.rare)
-        log_w = np.log(weights[other])
+        step = np.round(np.log(weight) / _STEP).astype(np.int64)
+        most = int(step.max(initial=0)) + 1
+        if most > len(self.known):
+            self.table = np.concatenate((self.table, np.empty((most - len(self.known), 1 << _BITS), np.uint32)))
+            self.known = np.append(self.known, np.zeros(most - len(self.known), bool))
+        for k in np.unique(step):
+            if not self.known[k]:
+                self.table[k], self.known[k] = self._values(int(k)), True
+        flat, base = self.table.ravel(), step << _BITS
         out = np.empty((len(self.factor), len(starts)), np.uint64)
-        down = np.uint64(64 - _BITS)
+        down, half = np.uint64(64 - _BITS), np.uint64(32)
         for k in range(len(self.factor)):
-            at = (hashes * self.factor[k]) >> down
-            key = self.usual[at]
-            if len(other):
-                key[other] = self._order(log_w, at[other])
-            key |= (hashes * self.salt[k]) >> np.uint64(32)
+            at = ((hashes * self.factor[k]) >> down).view(np.int64)
+            at += base
+            key = flat[at].astype(np.uint64)
+            key <<= half
+            key |= (hashes * self.salt[k]) >> half
             out[k] = np.minimum.reduceat(key, starts)
         return out
 
 
-def _frequent(docs: DataFrame, shingle: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles in `share` of the documents or more, their counts, and the number of documents."""
-    def often(held: list[np.ndarray], n: int) -> pa.RecordBatch:
-        seen = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.append(True, seen[1:] != seen[:-1])) if len(seen) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_pydict({"h": pa.array(seen[at[np.diff(np.append(at, len(seen))) >= share * n]].view(np.int64))})
+@cache
+def sampler(size: int) -> Sampler:
+    """The sampler of this process, whose tables do not depend on the data."""
+    return Sampler(size)
 
-    def local(batches):
-        held, n = [], 0
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                held.append(Sets(batch.column(1).slice(a, b - a), shingle).hash)
-                n += b - a
-                if n >= LOCAL_DOCS or sum(map(len, held)) >= LOCAL_SHINGLES:
-                    yield often(held, n)
-                    held, n = [], 0
-        if n:
-            yield often(held, n)
-
-    n_docs = docs.count()
-    # of few documents every shingle is frequent, so tiny partitions are read together
-    found = docs.coalesce(max(1, n_docs // LOCAL_DOCS)).mapInArrow(frugal(local), "h long").distinct()
-    maybe = np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
-
-    def exact(batches):
-        total = np.zeros(len(maybe), np.int64)
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                h = Sets(batch.column(1).slice(a, b - a), shingle).hash
-                at = np.minimum(np.searchsorted(maybe, h), len(maybe) - 1)
-                total += np.bincount(at[maybe[at] == h], minlength=len(maybe))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"h": pa.array(some), "n": pa.array(total[some])})
-
-    if not len(maybe):
-        return maybe, np.zeros(0, np.int64), n_docs
-    rows = docs.mapInArrow(frugal(exact), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_docs).collect()
-    rows = sorted((r.h, r.n) for r in rows)  # at most (shingles of a mean document) / share
-    return maybe[[h for h, _ in rows]], np.array([n for _, n in rows], np.int64), n_docs
-
-
-def _signatures(docs: DataFrame, weights: Weights, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1, k2, bands of each document; bands is empty for one without words."""
-    def run(batches):
-        sampler = Sampler(bands * rows, weights.rare)
-        mixer = stream(31, rows) | np.uint64(1)
-        for batch in batches:
-            for a, b in slices(batch.column(1), 2 << 20):
-                sets = Sets(batch.column(1).slice(a, b - a), shingle)
-                keys, full = sets.keys(), np.flatnonzero(np.diff(sets.rows))
-                band = np.zeros((b - a, bands), np.int64)
-                if len(full):
-                    got = sampler.sample(sets.hash, weights.of(sets), sets.rows[:-1][full]).reshape(bands, rows, -1)
-                    band[full] = mix((mix(got) * mixer[:, None]).sum(1)).view(np.int64).T
-                count = np.zeros(b - a, np.int64)
-                count[full] = bands
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "bands": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(band[full].ravel()))})
 
-    return docs.mapInArrow(frugal(run), "doc_id long, k1 long, k2 long, bands array<long>")
+def _marks(base: DataFrame, n_docs: int, chars: int, shingle: int, bands: int, rows: int, chunk_chars: int, bucket_items: int) -> DataFrame:
+    """key, k1, k2, bands, codes of each document; bands is empty for one without words."""
+    chunks, buckets = _counts.grid(chars, chars // 6, chunk_chars, bucket_items)
+    dealt = base.select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
 
+    def parts(table: pa.Table) -> list[Sets]:
+        text = table["text"].combine_chunks()
+        return [Sets(text.slice(a, b - a), shingle) for a, b in slices(text)]
 
-def similarities(a: pa.Array, b: pa.Array, weights: Weights, shingle: int = SHINGLE) -> np.ndarray:
-    """Weighted Jaccard similarity of a[i] and b[i]."""
-    x, y = Sets(a, shingle), Sets(b, shingle)
-    wx, wy = weights.of(x), weights.of(y)
-    out = np.zeros(len(a))
-    for i in range(len(a)):
+    def distinct(held: list[Sets]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_counts.short(np.concatenate([s.hash for s in held])), return_counts=True)
+
+    def count(table: pa.Table) -> pa.Table:
+        tidy()
+        return _counts.cells(*distinct(parts(table)), table["chunk"][0].as_py(), buckets)
+
+    def mark(table: pa.Table, shared: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("k1", "k2", "bands", "codes")}
+        if table.num_rows:
+            tidy()
+            held = parts(table)
+            h, own = distinct(held)
+            codes = code(_counts.totals(shared, own))
+            draw, mixer = sampler(bands * rows), stream(31, rows) | np.uint64(1)
+            for sets in held:
+                mine = codes[np.searchsorted(h, _counts.short(sets.hash))]
+                keys, full = sets.keys(), np.flatnonzero(np.diff(sets.rows))
+                band = np.zeros((len(sets.rows) - 1, bands), np.int64)
+                if len(full):
+                    got = draw.sample(sets.hash, weights(sets.times, mine, n_docs), sets.rows[:-1][full]).reshape(bands, rows, -1)
+                    band[full] = mix((mix(got) * mixer[:, None]).sum(1)).view(np.int64).T
+                size = np.zeros(len(band), np.int64)
+                size[full] = bands
+                out["k1"].append(pa.array(keys[:, 0]))
+                out["k2"].append(pa.array(keys[:, 1]))
+                out["bands"].append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(band[full].ravel())))
+                raw = mine.tobytes()
+                out["codes"].append(pa.array([raw[2 * a : 2 * b] for a, b in zip(sets.rows[:-1].tolist(), sets.rows[1:].tolist(), strict=True)], pa.binary()))
+        kinds = {"k1": pa.int64(), "k2": pa.int64(), "bands": pa.list_(pa.int64()), "codes": pa.binary()}
+        return pa.table({"key": table["key"].cast(pa.int64())} | {c: pa.chunked_array(x, kinds[c]) for c, x in out.items()})
+
+    counted = dealt.groupBy("chunk").applyInArrow(count, _counts.CELLS)
+    shared = counted.groupBy("bucket").applyInArrow(_counts.add, _counts.SHARED)
+    return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(mark, "key long, k1 long, k2 long, bands array<long>, codes binary")
+
+
+def _weighted(text: pa.Array, codes: pa.Array, n_docs: int, shingle: int) -> tuple[Sets, np.ndarray]:
+    sets = Sets(text, shingle)
+    return sets, weights(sets.times, np.frombuffer(b"".join(codes.to_pylist()), "<u2"), n_docs)
+
+
+def similarities(a: tuple[pa.Array, pa.Array], b: tuple[pa.Array, pa.Array], n_docs: int, shingle: int = SHINGLE) -> np.ndarray:
+    """Weighted Jaccard similarity of each text of a with that of b; each side: texts and codes."""
+    (x, wx), (y, wy) = _weighted(*a, n_docs, shingle), _weighted(*b, n_docs, shingle)
+    out = np.zeros(len(a[0]))
+    for i in range(len(out)):
         p, q = slice(*x.rows[i : i + 2]), slice(*y.rows[i : i + 2])
         at = np.searchsorted(y.hash[q], x.hash[p])
         at = np.minimum(at, max(q.stop - q.start - 1, 0))
@@ -203,33 +209,33 @@ def similarities(a: pa.Array, b: pa.Array, weights: Weights, shingle: int = SHIN
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float, shingle: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n_docs: int, threshold: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of similar texts."""
     def run(batches):
         for batch in batches:
             for i, j in slices(batch.column(2), 4 << 20):
                 part = batch.slice(i, j - i)
-                good = similarities(part.column(2), part.column(3), weights, shingle) >= threshold
+                good = similarities((part.column(2), part.column(3)), (part.column(4), part.column(5)), n_docs, shingle) >= threshold
                 yield part.select([0, 1]).filter(pa.array(good))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
+    one = texts.select(F.col("key").alias("a"), F.col("text").alias("x"), F.col("codes").alias("p"))
+    two = texts.select(F.col("key").alias("b"), F.col("text").alias("y"), F.col("codes").alias("q"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "p", "y", "q").mapInArrow(frugal(run), "a long, b long")
 
 
-def _close_pairs(left: DataFrame, texts: DataFrame, weights: Weights, threshold: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and two classes whose similarity may reach the threshold."""
+def _close_pairs(left: DataFrame, texts: DataFrame, n_docs: int, threshold: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and two classes whose similarity may reach the threshold; left: bucket, key, comp."""
     def packed(batches):
         for batch in batches:
             for a, b in slices(batch.column(1), 2 << 20):
-                sets = Sets(batch.column(1).slice(a, b - a), shingle)
-                ids, w = (sets.hash >> np.uint64(32)).astype("<u4"), weights.of(sets).astype("<f4")
+                sets, w = _weighted(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), n_docs, shingle)
+                ids, w = (sets.hash >> np.uint64(32)).astype("<u4"), w.astype("<f4")
                 cut = list(zip(sets.rows[:-1].tolist(), sets.rows[1:].tolist(), strict=True))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "ids": pa.array([ids[x:y].tobytes() for x, y in cut], pa.binary()), "w": pa.array([w[x:y].tobytes() for x, y in cut], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": batch.column(0).slice(a, b - a), "ids": pa.array([ids[x:y].tobytes() for x, y in cut], pa.binary()), "w": pa.array([w[x:y].tobytes() for x, y in cut], pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, docs, comp = (table[c].to_numpy() for c in ("block", "doc_id", "comp"))
+        block, docs, comp = (table[c].to_numpy() for c in ("block", "key", "comp"))
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
         ids = [np.frombuffer(x, "<u4") for x in table["ids"].to_pylist()]
         every, where, times = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
@@ -248,61 +254,81 @@ def _close_pairs(left: DataFrame, texts: DataFrame, weights: Weights, threshold:
         a, b = docs[one[x]], docs[two[y]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    sets = texts.mapInArrow(frugal(packed), "doc_id long, ids binary, w binary")
-    blocks = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = left.select("bucket", "doc_id", "comp").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    near = dealt.join(sets, "doc_id").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    sets = texts.select("key", "text", "codes").mapInArrow(frugal(packed), "key long, ids binary, w binary")
+    sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    blocks = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    blocks = written(blocks.select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("most") / BLOCK).cast("int").alias("mains")))
+    dealt = left.select("bucket", "key", "comp").join(blocks, "bucket").withColumn("ours", F.col("comp") == F.col("main"))
+    # blocks 0 to rest - 1 hold the members outside the largest class, those after them the ones in it, which need not meet
+    block = F.when(F.col("ours"), F.col("rest") + F.pmod(F.xxhash64("key"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("key"), F.col("rest")))
+    dealt = dealt.withColumn("block", block.cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("ours"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)))
+    dealt = dealt.select("bucket", "key", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    near = dealt.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
     return near.distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links (verified links between different texts; copies are not expanded)."""
-    careful(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    weights = Weights(*_frequent(base, shingle, share), share)
-    marks = written(_signatures(base, weights, shingle, bands, rows))
-    keyed = marks.where("size(bands) > 0")
-    classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copied = written(classes.where("copies > 1").select("k1", "k2", "rep"))
-    firsts = keyed.join(copied, ["k1", "k2"], "left").where("rep is null or rep = doc_id").dropDuplicates(["doc_id"])
-    banded = firsts.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(shared, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "doc_id", "lead"))
-    texts = written(base.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    links = done = None
-    left = members
+def _classes(base: DataFrame, threshold: float, shingle: int, bands: int, rows: int, chunk_chars: int, bucket_items: int) -> DataFrame:
+    """key, comp (a key that the rows of a class share), n_links; base: key, doc_id, text."""
+    size = base.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    n_docs = max(size.n, 1)
+    marks = written(_marks(base, n_docs, size.chars or 0, shingle, bands, rows, chunk_chars, bucket_items))
+    keyed = marks.where("size(bands) > 0").select("key", "k1", "k2", "bands")
+    copied = written(keyed.groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("k1", "k2", "rep"))
+    firsts = keyed.join(copied, ["k1", "k2"], "left").where("rep is null or rep = key")
+    banded = firsts.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
+    shared = written(banded.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead"))
+    members = written(banded.join(shared, "bucket"))
+    wanted = marks.select("key", "codes").join(members.select("key").distinct(), "key")
+    texts = written(base.select("key", "text").join(wanted, "key"))
+
+    links = done = comp = None
+    left = members.withColumn("comp", F.col("key")).withColumn("lead_comp", F.col("lead"))
     for _ in range(STARS):
-        pairs = written(left.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = written(_verified(pairs, texts, weights, threshold, shingle))
+        pairs = written(left.where("comp <> lead_comp").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct())
+        new = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        found = written(_verified(new, texts, n_docs, threshold, shingle))
         done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
         comp = written(components(links))
-        placed = left.select("bucket", "doc_id", "lead").join(comp, left.doc_id == comp.node, "left").select("bucket", "doc_id", "lead", F.coalesce("comp", "doc_id").alias("comp"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("bucket")
-        # the leader has met all others; the next one is the least of the rest
-        rest = placed.where("doc_id <> lead").join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "comp")
-        lead = rest.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        left = written(rest.join(lead.select("bucket", "lead"), "bucket"))
+        # a leader has met all others; the next one is the least of those that are left
+        rest = left.where("key <> lead").select("bucket", "key")
+        placed = written(rest.join(comp, rest.key == comp.node, "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
+        leads = placed.groupBy("bucket").agg(F.min("key").alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min_by("comp", "key").alias("lead_comp"))
+        leads = written(leads.where("c1 < c2").select("bucket", "lead", "lead_comp"))
+        left = written(placed.join(leads, "bucket"))
         if left.isEmpty():
             break
     else:
-        pairs = _close_pairs(left, texts, weights, threshold, shingle).join(done, ["a", "b"], "left_anti")
-        links = links.union(written(_verified(written(pairs), texts, weights, threshold, shingle)))
+        pairs = _close_pairs(left, texts, n_docs, threshold, shingle).join(done, ["a", "b"], "left_anti")
+        links = links.union(written(_verified(written(pairs), texts, n_docs, threshold, shingle)))
         comp = written(components(links))
 
     links = links.distinct()
     counts = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
-    marked = marks.join(copied.withColumnRenamed("rep", "node"), ["k1", "k2"], "left").select("doc_id", F.when(F.size("bands") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
-    out = marked.join(comp, "node", "left").join(counts, "node", "left")
-    return out.select("doc_id", F.coalesce("comp", "node").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    node = F.when(F.size("bands") > 0, F.coalesce("rep", "key")).otherwise(F.col("key")).alias("node")
+    out = marks.join(copied, ["k1", "k2"], "left").select("key", node).join(comp, "node", "left").join(counts, "node", "left")
+    return out.select("key", F.coalesce("comp", "node").alias("comp"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def _firsts(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int, chunk_chars: int, bucket_items: int) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a row key, its name, and (key, doc_id, first, class_id, n_links): the key and doc_id of the first row of each row's class."""
+    careful(docs.sparkSession)
+    tagged, key = identified(docs, id_col)
+    base = tagged.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = written(_classes(base, threshold, shingle, bands, rows, chunk_chars, bucket_items))
+    ids = found.join(base.select("key", "doc_id"), "key")
+    first = written(ids.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
+    return tagged, key, ids.join(first, "comp").select("key", "doc_id", F.col("first.key").alias("first"), F.col("first.doc_id").alias("class_id"), "n_links")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = _counts.CHUNK_CHARS, bucket_items: int = _counts.BUCKET_ITEMS) -> DataFrame:
+    """doc_id, class_id, n_links of every row (links between different texts; copies are not expanded)."""
+    return _firsts(docs, id_col, text_col, threshold, shingle, bands, rows, chunk_chars, bucket_items)[2].select("doc_id", "class_id", "n_links")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose document is its class's first; rows without a doc_id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each class: the one of the least doc_id, those without one last."""
+    tagged, key, found = _firsts(docs, id_col, text_col, threshold, shingle, bands, rows, _counts.CHUNK_CHARS, _counts.BUCKET_ITEMS)
+    gone = found.where("key <> first").select(F.col("key").alias(key))
+    return tagged.join(gone, key, "left_anti").select(docs.columns)
