@@ -1,12 +1,9 @@
 """Stupid-backoff language-model scores, each document against all others.
 
-Documents are dealt into chunks by a hash of doc_id.  Each chunk's distinct
-n-grams and their counts go, as blocks of sorted 64-bit hashes, to the partition
-of the count table that their hash names; there the counts of all chunks are
-summed, and each chunk gets back a bit for each of its n-grams and the sum where
-other chunks hold it too (for the others, its own counts are the corpus counts).
-Joined to its documents by chunk, they give every n-gram's count without the
-document's own occurrences, and the logarithms are summed per document.
+Documents are dealt into chunks.  The count table is partitioned by n-gram hash:
+each chunk's n-grams meet those of all others there, are summed, and come back
+to the chunk (`_counts`), where they are joined to the n-grams of its documents;
+each document's own occurrences are taken off, and the logarithms summed.
 
     S(w | context) = c(context w) / c(context)         if c(context w) > 0
                      `backoff` S(w | shorter context)  else; a text's first
@@ -16,9 +13,13 @@ document's own occurrences, and the logarithms are summed per document.
 All counts leave the document itself out; N is the number of words of all
 other documents.  score: mean natural logarithm of S over the words.
 
+N-grams travel as sorted blocks of hashes, not as a row each: a row an n-gram of
+each order is several times the input on disk.
+
 A document without words (null or empty text) has n_words 0 and a null score;
-rows that share a doc_id are scored as documents of their own; extra columns
-are ignored; an empty table gives no rows.
+rows that share a doc_id, or repeat, are scored as documents of their own; a
+very long text is one row of its chunk; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful
+from . import _counts
+from ._spark import careful, tidy
 from ._text import Words, mix
 
-ORDER, BACKOFF = 2, 0.4
-CHUNK_CHARS, BUCKET_NGRAMS = 8 << 20, 6_000_000
+ORDER, BACKOFF = 3, 0.4
 _ALL = np.uint64(0)  # the entry that counts all words
 
 
@@ -41,125 +42,73 @@ class Grams:
 
     def __init__(self, column: pa.Array, order: int):
         w = Words(column)
-        self.rows, self.by_order = w.rows, [w.hash]
+        self.rows, long = w.rows, w.hash
         place = np.arange(len(w.hash)) - np.repeat(w.rows[:-1], np.diff(w.rows))
+        self.by_order = [_counts.short(long)]
         for n in range(2, order + 1):
-            longer = self.by_order[-1].copy()
-            before = np.append(np.uint64(0), longer[:-1])[: len(longer)]
-            h = mix(before * np.uint64(0x9E3779B97F4A7C15) + w.hash + np.uint64(n))
-            self.by_order.append(np.where(place >= n - 1, h, np.uint64(0)))
-
-
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(h[h > 0], return_counts=True)
-
-
-def _small(n: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as single bytes, and those that do not fit apart."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].tobytes()
+            before = np.append(np.uint64(0), long[:-1])[: len(long)]
+            long = np.where(place >= n - 1, mix(before * np.uint64(0x9E3779B97F4A7C15) + w.hash + np.uint64(n)), np.uint64(0))
+            self.by_order.append(_counts.short(long))
 
-
-def _whole(small: bytes, large: bytes) -> np.ndarray:
-    n = np.frombuffer(small, np.uint8).astype(np.int64)
-    n[n == 255] = np.frombuffer(large, np.int64)
-    return n
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of all orders in the order of their hashes, and their counts; the first counts all words."""
+        h = np.concatenate([x[x > 0] for x in self.by_order])
+        h, n = np.unique(h, return_counts=True)
+        return np.append(_ALL, h), np.append(len(self.by_order[0]), n)
 
 
 def _own(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     """For each position, how often its n-gram occurs in its row."""
     order = np.lexsort((h, row))
     new = np.append(True, (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])) if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
+    size = np.diff(np.append(np.flatnonzero(new), len(h)))
     out = np.empty(len(h), np.int64)
-    out[order] = np.repeat(np.diff(np.append(at, len(h))), np.diff(np.append(at, len(h))))
+    out[order] = np.repeat(size, size)
     return out
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_chars: int = CHUNK_CHARS, bucket_ngrams: int = BUCKET_NGRAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scores(grams: Grams, others: list[np.ndarray], rest: np.ndarray, backoff: float) -> np.ndarray:
+    """S of each word; others: counts of the n-grams at each word in other documents, rest: the words of these, by order."""
+    first = grams.by_order[0]
+    s = np.where(others[0] > 0, others[0] / np.maximum(rest, 1), backoff / (rest + 1.0))
+    for k in range(1, len(others)):
+        context = np.append(0, others[k - 1][:-1])[: len(first)]
+        lower = np.where(grams.by_order[k] > 0, backoff, 1.0) * s  # a row's first words have no longer context to back off from
+        s = np.where(others[k] > 0, others[k] / np.maximum(context, 1), lower)
+    return s
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chunk_chars: int = _counts.CHUNK_CHARS, bucket_ngrams: int = _counts.BUCKET_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score."""
     careful(docs.sparkSession)
-    size = docs.agg(F.sum(F.length(text_col)).alias("chars")).first().chars or 0
-    chunks = -(-size // chunk_chars) or 1
-    buckets = -(-size * order // (5 * bucket_ngrams)) or 1
+    chars = docs.agg(F.sum(F.length(text_col)).alias("chars")).first().chars or 0
+    chunks, buckets = _counts.grid(chars, chars * order // 6, chunk_chars, bucket_ngrams)
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int"))
-
-    def held(grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-        """A chunk's distinct n-grams in the order of their hashes, and their counts; the first counts all words."""
-        h, n = (np.concatenate(x) for x in zip(*(_distinct(x) for x in grams.by_order), strict=True))
-        h, n = np.append(h, _ALL), np.append(n, len(grams.by_order[0]))
-        by = np.argsort(h, kind="stable")
-        return h[by], n[by].astype(np.int64)
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
     def count(table: pa.Table) -> pa.Table:
-        h, n = held(Grams(table["text"].combine_chunks(), order))
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        coded = [_small(n[cut[b] : cut[b + 1]]) for b in some]
-        return pa.table({
-            "bucket": pa.array(some, pa.int32()),
-            "chunk": pa.array([table["chunk"][0].as_py()] * len(some), pa.int32()),
-            "h": pa.array([h[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-            "n": pa.array([x for x, _ in coded], pa.binary()),
-            "large": pa.array([x for _, x in coded], pa.binary()),
-        })
-
-    def add(table: pa.Table) -> pa.Table:
-        """Sums of one partition of the count table, and what each chunk lacks of them."""
-        parts = [np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()]
-        h = np.concatenate(parts)
-        n = np.concatenate([_whole(x, y) for x, y in zip(table["n"].to_pylist(), table["large"].to_pylist(), strict=True)])
-        by = np.argsort(h, kind="stable")
-        h_by = h[by]
-        at = np.flatnonzero(np.append(True, h_by[1:] != h_by[:-1]))
-        many = np.diff(np.append(at, len(h)))
-        total = np.empty(len(h), np.int64)
-        total[by] = np.repeat(np.add.reduceat(n[by], at), many)
-        back = (total != n) | (h == _ALL)
-        ends = np.cumsum([len(x) for x in parts])
-        cut = [slice(e - len(x), e) for e, x in zip(ends, parts, strict=True)]
-        coded = [_small(total[c][back[c]]) for c in cut]
-        return pa.table({
-            "chunk": table["chunk"].cast(pa.int32()),
-            "bucket": table["bucket"].cast(pa.int32()),
-            "size": pa.array([c.stop - c.start for c in cut], pa.int64()),
-            "back": pa.array([np.packbits(back[c]).tobytes() for c in cut], pa.binary()),
-            "total": pa.array([x for x, _ in coded], pa.binary()),
-            "large": pa.array([x for _, x in coded], pa.binary()),
-        })
+        tidy()
+        h, n = Grams(table["text"].combine_chunks(), order).distinct()
+        return _counts.cells(h, n, table["chunk"][0].as_py(), buckets)
 
     def score(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        tidy()
         grams = Grams(table["text"].combine_chunks(), order)
-        h_all, total = held(grams)
-        shared = shared.sort_by("bucket")
-        sizes = shared["size"].to_pylist()
-        if sum(sizes) != len(h_all):
-            raise RuntimeError("the documents of a chunk changed between two reads of them")
-        back = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(shared["back"].to_pylist(), sizes, strict=True)]).astype(bool)
-        total[back] = np.concatenate([_whole(x, y) for x, y in zip(shared["total"].to_pylist(), shared["large"].to_pylist(), strict=True)])
+        h, own = grams.distinct()
+        total = _counts.totals(shared, own)
         size = np.diff(grams.rows)
         row = np.repeat(np.arange(len(size)), size)
-        rest = int(total[0]) - size  # words of the other documents
-        others = []
-        for h in grams.by_order:
-            count = total[np.searchsorted(h_all, h)]
-            others.append(np.where(h > 0, count - _own(h, row), 0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            n = rest[row].astype(np.float64)
-            s = np.where(others[0] > 0, others[0] / n, backoff / (n + 1))
-            for k in range(1, order):
-                context = np.append(0, others[k - 1][:-1])[: len(row)]
-                lower = np.where(grams.by_order[k] > 0, backoff, 1.0) * s  # a row's first words have no longer context to back off from
-                s = np.where(others[k] > 0, others[k] / np.maximum(context, 1), lower)
+        rest = (int(total[0]) - size)[row]  # words of the other documents
+        others = [np.where(x > 0, total[np.searchsorted(h, x)] - _own(x, row), 0) for x in grams.by_order]
+        del total, h
         sums = np.zeros(len(size))
         full = size > 0
         if full.any():
-            sums[full] = np.add.reduceat(np.log(s), grams.rows[:-1][full])
+            sums[full] = np.add.reduceat(np.log(_scores(grams, others, rest, backoff)), grams.rows[:-1][full])
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(size), "score": pa.array(sums / np.maximum(size, 1), mask=~full)})
 
-    counted = dealt.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, h binary, n binary, large binary")
-    shared = counted.groupBy("bucket").applyInArrow(add, "chunk int, bucket int, size long, back binary, total binary, large binary")
+    counted = dealt.groupBy("chunk").applyInArrow(count, _counts.CELLS)
+    shared = counted.groupBy("bucket").applyInArrow(_counts.add, _counts.SHARED)
     return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")
