@@ -2,20 +2,29 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; what they
 find stays.  The field labels the *candidates* of a text, tokens with a digit or
-an `@`; all others are O.  Candidates beside each other are linked as a chain,
-and distant ones are linked by skip edges where they repeat or resemble each
-other (the same letters and digits; the same run of four digits or more; an
-e-mail's name).  Tokens inside a pattern's span are observed, and loopy message
-passing carries their labels along both kinds of edge.  A token whose label is
-not O with probability `sure` adds a span; neighbours with one label join.
-
-Weights are trained here, piecewise: a multinomial logistic regression on shapes
-and neighbouring words for the nodes, and log odds of label pairs for the two
-kinds of edges, from a bounded sample of documents labelled by the patterns.  Skip links of a repeated token go to its first and its previous
+an `@`, as one of these kinds, as a secret (keys, tokens, passwords), or as O.
+Candidates beside each other are linked as a chain, and distant ones by skip
+edges where they repeat or resemble each other (the same letters and digits; the
+same run of four digits or more; an e-mail's name).  Tokens inside a pattern's
+span are observed, and loopy message passing carries their labels along both
+kinds of edges, so one entity gets one label throughout the document.  A token
+whose label is not O with probability `sure` adds a span; neighbours with one
+label join.
+
+All weights are trained here, on whole documents.  Labels to learn from are the
+patterns' spans, and values assigned to a name such as `token` or `password`.
+Label pairs on the chain and skip edges are counted over the whole table, in a
+distributed sum; their potentials are the log odds of these counts against
+independent labels, so edges that teach nothing weigh nothing.  Potentials of
+nodes are a multinomial logistic regression on shapes and neighbouring words,
+fitted on about `sample_nodes` candidates drawn by a hash of their document and
+place.  Skip links of a repeated token go to its first and its previous
 occurrence, so their number is linear in the text.
 
-Null texts are empty and hold nothing; long texts cost linear time; repeated
-rows are judged alike; extra columns are ignored.
+Null texts are empty and hold nothing; long texts are read whole, in linear
+time; equal probabilities go to the label listed first; repeated rows are judged
+alike; extra columns are ignored; an empty table trains a field that adds
+nothing and gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +39,11 @@ from pyspark.sql import functions as F
 
 from ._spark import careful, frugal, tidy
 
-#: The kinds in the order of the listing.
-KINDS = ["email", "ip", "card", "phone"]
+#: The kinds in the order of the listing; the last is found by the field alone.
+KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["O", *KINDS]
-SAMPLE_DOCS, SURE, BUCKETS, ROUNDS = 4000, 0.95, 512, 12
-#: Equal pairs of each label that skip edges start from: samples rarely hold repeated data.
-AGREE = 20.0
+PATTERNS = 4
+SAMPLE_NODES, SURE, BUCKETS, ROUNDS, FEATURES = 100_000, 0.95, 2048, 12, 9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,6 +52,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+#: Names that a secret is commonly assigned to; their values are labels to learn from.
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,8}[=:]\s{0,8}[\"']?([A-Za-z0-9+/_-]{16,})")
+_LEAD, _TRAIL = ".,;:!?\"'<[{#$%&*|=", ".,;:!?\"'>]}#$%&*|="
 
 
 def _luhn(digits: str) -> bool:
@@ -83,13 +94,19 @@ def written_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+def taught_spans(text: str) -> list[tuple[int, int, int]]:
+    """The spans to learn from: the patterns' and assigned secrets."""
+    return sorted(base_spans(text) + [(m.start(1), PATTERNS, m.end(1)) for m in _ASSIGNED.finditer(text)])
+
+
 def _bucket(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % BUCKETS
 
 
 def _shape(token: str) -> str:
-    kinds = re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", token[:40]))
-    return re.sub(r"(.)\1{3,}", r"\1\1\1+", kinds)
+    """The kinds of characters, runs shortened and at most eight of them; mixtures of letters and digits count as one kind."""
+    kinds = re.sub(r"[^\W_]+", lambda m: "9" * min(len(m[0]), 9) if m[0].isdigit() else "a" if m[0].isalpha() else "x", token)
+    return kinds[:8]
 
 
 class Candidates:
@@ -103,12 +120,14 @@ class Candidates:
                 continue
             last_end, at = -9, 0
             keys: dict[str, tuple[int, int]] = {}
+            word = ["^", "^"]
             for m in _TOKEN.finditer(text):
                 raw = m[0]
+                before, word = word, [word[1], raw]
                 if not _ANY.search(raw):
                     continue
-                lead = len(raw) - len(raw.lstrip(".,;:!?\"'<[{"))
-                s, e = m.start() + lead, m.start() + len(raw.rstrip(".,;:!?\"'>]}"))
+                lead = len(raw) - len(raw.lstrip(_LEAD))
+                s, e = m.start() + lead, m.start() + len(raw.rstrip(_TRAIL))
                 if e <= s:
                     continue
                 node = len(self.start)
@@ -122,9 +141,9 @@ class Candidates:
                     chain.append((node - 1, node))
                 last_end = e
                 token = text[s:e]
-                before = text[max(0, s - 24) : s].split()[-1:] or ["^"]
-                digits = sum(x.isdigit() for x in token)
-                features.append([_bucket(f"shape {_shape(token)}"), _bucket(f"digits {min(digits, 20)}"), _bucket(f"at {'@' in token}"), _bucket(f"dots {min(token.count('.'), 4)}"), _bucket(f"signs {''.join(sorted(set(re.sub(r'[\w]', '', token[:40]))))}"), _bucket(f"before {before[0].lower()[-12:]}")])
+                digits, letters = sum(x.isdigit() for x in token), sum(x.isalpha() for x in token)
+                told = (f"shape {_shape(token)}", f"digits {min(digits, 20)}", f"letters {min(letters, 20)}", f"size {min(len(token), 64) // 4}", f"at {token.count('@') > 0}", f"dots {min(token.count('.'), 4)}", f"signs {''.join(sorted(set(re.sub(r'[^\W_]', '', token)))[:8])}", f"before {before[1].strip(_LEAD).lower()[-24:]}", f"two before {before[0].strip(_LEAD).lower()[-24:]}")
+                features.append([_bucket(x) for x in told])
                 plain = re.sub(r"[\W_]", "", token.lower())
                 links = {f"={plain}"} | {f"#{x}" for x in re.findall(r"\d{4,}", token)}
                 if "@" in token:
@@ -135,58 +154,54 @@ class Candidates:
                         skip += [(x, node) for x in {first, previous} if x != node]
                         keys[key] = (first, node)
         pairs = lambda x: np.array(sorted(set(x)), np.int64).reshape(-1, 2)
-        self.features = np.array(features, np.int64).reshape(-1, 6)
+        self.features = np.array(features, np.int64).reshape(-1, FEATURES)
         self.chain, self.skip = pairs(chain), pairs(skip)
         self.seen = np.array(self.seen, np.int64)
 
 
-def _log_odds(labels: np.ndarray, edges: np.ndarray, agree: float = 0.0) -> np.ndarray:
-    """Log odds of label pairs on edges against independent labels, symmetric and smoothed; agree: pairs of equal labels counted beforehand."""
+def pair_counts(labels: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How often each pair of labels stands on an edge."""
     n = len(LABELS)
-    both = np.full((n, n), 0.5) + agree * np.eye(n)
-    if len(edges):
-        np.add.at(both, (labels[edges[:, 0]], labels[edges[:, 1]]), 1.0)
-    both = both + both.T
+    return np.bincount(labels[edges[:, 0]] * n + labels[edges[:, 1]], minlength=n * n).reshape(n, n).astype(np.int64)
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of label pairs against independent labels, symmetric and smoothed."""
+    both = counts + counts.T + 1.0
     one = both.sum(1)
-    return np.clip(np.log(both / both.sum()) - np.log(np.outer(one, one) / both.sum() ** 2), -3, 3)
+    return np.clip(np.log(both / both.sum()) - np.log(np.outer(one, one) / both.sum() ** 2), -4, 4)
+
+
+def _node_weights(features: np.ndarray, labels: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression by AdaGrad; features: bucket numbers of each row."""
+    n, k = len(labels), len(LABELS)
+    weights, bias = np.zeros((BUCKETS, k)), np.zeros(k)
+    bias[0] = 2.0
+    if not n:
+        return weights, bias
+    target = np.eye(k)[labels]
+    gw, gb = np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
+    for _ in range(rounds):
+        z = weights[features].sum(1) + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        d = p / p.sum(1, keepdims=True) - target
+        g = np.stack([np.bincount(features.ravel(), np.repeat(d[:, c], features.shape[1]), BUCKETS) for c in range(k)], 1) / n + 1e-5 * weights
+        gw += g * g
+        gb += d.mean(0) ** 2
+        weights -= 0.3 * g / np.sqrt(gw)
+        bias -= 0.3 * d.mean(0) / np.sqrt(gb)
+    return weights, bias
 
 
-def _windows(text: str) -> list[str]:
-    """The stretches of a text that hold candidates, each with two tokens before it."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    out: list[list[int]] = []
-    for i, (s, e) in enumerate(tokens):
-        if _ANY.search(text, s, e):
-            first = tokens[max(i - 2, 0)][0]
-            if out and first <= out[-1][1]:
-                out[-1][1] = e
-            else:
-                out.append([first, e])
-    return [text[a:b] for a, b in out]
+def _model(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> dict[str, np.ndarray]:
+    weights, bias = _node_weights(features, labels)
+    return {"weights": weights, "bias": bias, "chain": log_odds(chain), "skip": log_odds(skip)}
 
 
 def train(texts: list[str]) -> dict[str, np.ndarray]:
-    """Weights from texts labelled by the patterns; an untrained field (no candidates) adds nothing."""
-    c = Candidates(texts, [base_spans(t) for t in texts])
-    n, k = len(c.seen), len(LABELS)
-    weights = np.zeros((BUCKETS, k))
-    bias = np.zeros(k)
-    bias[0] = 2.0
-    if n:
-        target = np.eye(k)[c.seen]
-        gw, gb = np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
-        for _ in range(150):
-            z = weights[c.features].sum(1) + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            d = p / p.sum(1, keepdims=True) - target
-            g = np.zeros_like(weights)
-            np.add.at(g, c.features.ravel(), np.repeat(d, c.features.shape[1], 0))
-            g = g / n + 1e-4 * weights
-            gw += g * g
-            gb += d.mean(0) ** 2
-            weights -= 0.5 * g / np.sqrt(gw)
-            bias -= 0.5 * d.mean(0) / np.sqrt(gb)
-    return {"weights": weights, "bias": bias, "chain": _log_odds(c.seen, c.chain), "skip": _log_odds(c.seen, c.skip, AGREE)}
+    """Weights from these texts alone."""
+    c = Candidates(texts, [taught_spans(t) for t in texts])
+    return _model(c.features, c.seen, pair_counts(c.seen, c.chain), pair_counts(c.seen, c.skip))
 
 
 def marginals(c: Candidates, model: dict[str, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
@@ -231,23 +246,45 @@ def added_spans(texts: list[str], known: list[list[tuple[int, int, int]]], model
     return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """Train on about `sample_docs` documents, drawn by a hash of doc_id from those with a digit or an @."""
+def fit(docs: DataFrame, sample_nodes: int = SAMPLE_NODES, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
+    """Train the field on whole documents; what comes to the driver is two sums of label pairs and about `sample_nodes` candidates."""
     careful(docs.sparkSession)
-    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    n = some.count()
-    draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
+    some = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
 
-    def windows(batches):
+    def graphs(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"t": pa.array(_windows(text), pa.string())})
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                texts = part.column(1).to_pylist()
+                yield part.column(0).to_pylist(), Candidates(texts, [taught_spans(t) for t in texts])
+
+    def count(batches):
+        chain = skip = np.zeros((len(LABELS), len(LABELS)), np.int64)
+        nodes = 0
+        for _, c in graphs(batches):
+            chain, skip, nodes = chain + pair_counts(c.seen, c.chain), skip + pair_counts(c.seen, c.skip), nodes + len(c.seen)
+        values = np.concatenate((chain.ravel(), skip.ravel(), [nodes]))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values), dtype=np.int32)), "n": pa.array(values)})
+
+    sums = {r.at: r.n for r in some.mapInArrow(frugal(count), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    cells = len(LABELS) ** 2
+    chain, skip = (np.array([sums.get(a + i, 0) for i in range(cells)]).reshape(len(LABELS), -1) for a in (0, cells))
+    limit = int(min(1.0, sample_nodes / max(sums.get(2 * cells, 0), 1)) * 2**32)
+
+    def draw(batches):
+        for ids, c in graphs(batches):
+            place = np.array([ids[d] or 0 for d in c.doc], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(c.start, np.uint64)
+            place ^= place >> np.uint64(29)
+            keep = np.flatnonzero((place * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) < np.uint64(limit))
+            yield pa.RecordBatch.from_pydict({"f": pa.array([c.features[i].tolist() for i in keep], pa.list_(pa.int32())), "y": pa.array(c.seen[keep].astype(np.int32))})
 
-    texts = some.where(draw < min(1.0, sample_docs / max(n, 1))).select("t").mapInArrow(frugal(windows), "t string")
-    return train(sorted(r.t for r in texts.collect()))
+    drawn = some.mapInArrow(frugal(draw), "f array<int>, y int").groupBy("f", "y").agg(F.count("*").alias("n"))
+    rows = sorted((r.f, r.y, r.n) for r in drawn.collect())  # sample_nodes rows at most, in one order whatever the partitions
+    features = np.array([f for f, _, n in rows for _ in range(n)], np.int64).reshape(-1, FEATURES)
+    return _model(features, np.array([y for _, y, n in rows for _ in range(n)], np.int64), chain, skip)
 
 
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long"
 
 
 def find_spans(texts: list[str], model: dict[str, np.ndarray], sure: float = SURE) -> tuple[list[list], list[list]]:
@@ -257,7 +294,7 @@ def find_spans(texts: list[str], model: dict[str, np.ndarray], sure: float = SUR
 
 
 def detect(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
-    """Counts and spans of every document, in one pass without a shuffle."""
+    """Counts and spans of every document, in one pass without a shuffle; n_added and n_secret count what the field adds."""
     careful(docs.sparkSession)
 
     def run(batches):
@@ -265,11 +302,11 @@ def detect(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id"
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 known, added = find_spans([t or "" for t in part.column(1).to_pylist()], model, sure)
-                counts = [[sum(k == j for _, k, _ in s) for s in known] for j in range(4)]
+                counts = [[sum(k == j for _, k, _ in s) for s in known] for j in range(PATTERNS)]
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": part.column(0)}
-                    | {f"n_{kind}": pa.array(counts[j], pa.int64()) for j, kind in enumerate(KINDS)}
-                    | {"base_sha256": pa.array([hashlib.sha256(written_spans(s).encode()).hexdigest() for s in known]), "spans": pa.array([written_spans(s + x) for s, x in zip(known, added, strict=True)]), "n_added": pa.array([len(x) for x in added], pa.int64())}
+                    | {f"n_{kind}": pa.array(counts[j], pa.int64()) for j, kind in enumerate(KINDS[:PATTERNS])}
+                    | {"base_sha256": pa.array([hashlib.sha256(written_spans(s).encode()).hexdigest() for s in known]), "spans": pa.array([written_spans(s + x) for s, x in zip(known, added, strict=True)]), "n_added": pa.array([len(x) for x in added], pa.int64()), "n_secret": pa.array([sum(k == PATTERNS for _, k, _ in x) for x in added], pa.int64())}
                 )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), _SCHEMA)
