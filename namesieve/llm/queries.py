@@ -10,6 +10,10 @@ from . import decontam, fingerprint, langid, lmscore, neardup, packing, pii, rep
 #: SQL's name for a run of word characters: everything but ASCII signs and white space, Latin-1 signs and general punctuation.
 SQL_WORD = r"[^\x00-/:-@\[-`{-\x7f\x{80}-\x{bf}\x{2000}-\x{207f}\x{3000}-\x{303f}]+"
 
+SQL_SIGN = SQL_WORD.replace("[^", "[", 1).removesuffix("+") + "*"
+#: Words from which on a removed span counts as a passage.
+PASSAGE = 50
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -56,7 +60,8 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = repeats.remove_repeats(_documents(spark, sf_dir))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return cleaned.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    words = F.aggregate("words", F.lit(0), lambda s, x: s + x).cast("long")
+    return cleaned.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), words.alias("n_words_removed"), F.coalesce(F.array_max("words"), F.lit(0)).cast("long").alias("longest_removed"), F.size(F.filter("words", lambda x: x >= PASSAGE)).cast("long").alias("n_passages"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,19 +78,46 @@ QUERIES = {f.__name__: f for f in (op1_neardup, op2_langid, op3_packing, op4_tok
 ORACLES = {
     "op5_lmscore": rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{SQL_WORD}')) AS w, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '{SQL_WORD}'), 1) AS i FROM documents),
-p AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+p AS (SELECT doc_id, i, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 size AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
 total AS (SELECT count(*) AS n FROM w),
 own1 AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY 1, 2),
 all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY 1),
 own2 AS (SELECT doc_id, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY 1, 2, 3),
 all2 AS (SELECT v, w, sum(c) AS c FROM own2 GROUP BY 1, 2),
-s AS (SELECT p.doc_id, a1.c - o1.c AS c1, total.n - size.n AS rest, p.v, a2.c - o2.c AS c2, av.c - ov.c AS cv
+own3 AS (SELECT doc_id, u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY 1, 2, 3, 4),
+all3 AS (SELECT u, v, w, sum(c) AS c FROM own3 GROUP BY 1, 2, 3),
+s AS (SELECT p.doc_id, p.u, p.v, a1.c - o1.c AS c1, total.n - size.n AS rest, a2.c - o2.c AS c2, av.c - ov.c AS cv, a3.c - o3.c AS c3, au.c - ou.c AS cu
       FROM p JOIN own1 o1 USING (doc_id, w) JOIN all1 a1 USING (w) JOIN size USING (doc_id) CROSS JOIN total
       LEFT JOIN own2 o2 ON o2.doc_id = p.doc_id AND o2.v = p.v AND o2.w = p.w LEFT JOIN all2 a2 ON a2.v = p.v AND a2.w = p.w
-      LEFT JOIN own1 ov ON ov.doc_id = p.doc_id AND ov.w = p.v LEFT JOIN all1 av ON av.w = p.v),
-l AS (SELECT doc_id, ln(CASE WHEN c2 > 0 THEN c2 / greatest(cv, 1) ELSE (CASE WHEN v IS NULL THEN 1.0 ELSE 0.4 END) * (CASE WHEN c1 > 0 THEN c1 / rest::DOUBLE ELSE 0.4 / (rest + 1) END) END) AS l FROM s)
+      LEFT JOIN own1 ov ON ov.doc_id = p.doc_id AND ov.w = p.v LEFT JOIN all1 av ON av.w = p.v
+      LEFT JOIN own3 o3 ON o3.doc_id = p.doc_id AND o3.u = p.u AND o3.v = p.v AND o3.w = p.w LEFT JOIN all3 a3 ON a3.u = p.u AND a3.v = p.v AND a3.w = p.w
+      LEFT JOIN own2 ou ON ou.doc_id = p.doc_id AND ou.v = p.u AND ou.w = p.v LEFT JOIN all2 au ON au.v = p.u AND au.w = p.v),
+l AS (SELECT doc_id, ln(CASE WHEN c3 > 0 THEN c3 / greatest(cu, 1) ELSE (CASE WHEN u IS NULL THEN 1.0 ELSE 0.4 END) *
+      (CASE WHEN c2 > 0 THEN c2 / greatest(cv, 1) ELSE (CASE WHEN v IS NULL THEN 1.0 ELSE 0.4 END) * (CASE WHEN c1 > 0 THEN c1 / rest::DOUBLE ELSE 0.4 / (rest + 1) END) END) END) AS l FROM s)
 SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_words, round(m.score, 6) AS score
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT doc_id, avg(l) AS score FROM l GROUP BY 1) m USING (doc_id)
+""",
+    "op8_repeats": rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_SIGN}{SQL_WORD}')) AS g, generate_subscripts(regexp_extract_all(text, '{SQL_SIGN}{SQL_WORD}'), 1) AS i FROM t),
+w AS (SELECT doc_id, i, regexp_extract(g, '{SQL_WORD}') AS w, regexp_extract(g, '^{SQL_SIGN}') AS gap, sum(length(g)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM tok),
+b AS (SELECT *, e - length(w) AS s, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY i) AS line, (i = 1 OR regexp_matches(w, '^[A-Z\x{{c0}}-\x{{de}}]') OR regexp_matches(gap, '[.!?\n]'))::INT AS new FROM w),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM b),
+pieces AS (SELECT doc_id, unit, min(s) AS s, max(e) AS e, count(*) AS words, string_agg(lower(w), ' ' ORDER BY i) AS k FROM n GROUP BY 1, 2),
+rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS many FROM t),
+ends AS (SELECT doc_id, line, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(x) - 1 AS s, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) - (line + 1 = many)::INT AS e FROM rows),
+lines AS (SELECT doc_id, line, string_agg(lower(w), ' ' ORDER BY i) AS k FROM n GROUP BY 1, 2),
+again AS (SELECT * FROM pieces QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, unit) > 1),
+runs AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM again),
+spans AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM runs GROUP BY doc_id, run HAVING sum(words) >= 10
+          UNION ALL SELECT doc_id, ends.s, ends.e FROM (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, line) > 1) JOIN ends USING (doc_id, line)),
+part AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM spans),
+num AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span FROM part),
+gone AS (SELECT doc_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM num GROUP BY doc_id, span),
+cut AS (SELECT doc_id, s, e, text, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev, len(list_filter(string_split_regex(substr(text, s + 1, e - s), '\s+'), lambda x: x <> '')) AS words FROM gone JOIN t USING (doc_id)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(s || ':' || e, ',' ORDER BY s) AS removed, sum(words) AS words, max(words) AS longest, count(*) FILTER (words >= {PASSAGE}) AS passages, string_agg(substr(text, prev + 1, s - prev), '' ORDER BY s) || substr(any_value(text), max(e) + 1) AS text FROM cut GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, coalesce(words, 0)::BIGINT AS n_words_removed, coalesce(longest, 0)::BIGINT AS longest_removed, coalesce(passages, 0)::BIGINT AS n_passages, length(coalesce(kept.text, t.text))::BIGINT AS n_chars_kept, sha256(coalesce(kept.text, t.text)) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
 """,
 }
