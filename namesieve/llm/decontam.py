@@ -11,8 +11,10 @@ edited or not; items of fewer than `whole` words must match whole.
 
 Items are sent to the executors in blocks of at most `block_words` words each,
 so what is broadcast is bounded; the corpus is never shuffled.  Null texts hold
-nothing, null or wordless items match nothing, repeated documents are judged
-alike, extra columns are ignored, empty tables give no rows.
+nothing, null or wordless items match nothing; long texts are read whole;
+repeated documents are judged alike, and so are those that share a doc_id or
+have none (`drop_leaks` tells them apart); of equal scores in one document the
+first place counts; extra columns are ignored, empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful, frugal
+from ._spark import careful, frugal, identified
 from ._text import Words, code_points, slices
 
 SEED, THRESHOLD, WHOLE, BLOCK_WORDS = 3, 0.5, 8, 1_000_000
@@ -133,3 +135,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         out = out.union(base.mapInArrow(frugal(run), schema))
     return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that hold no item, whatever their doc_id."""
+    tagged, key = identified(docs, id_col)
+    leaks = find_leaks(tagged, benchmark, id_col=key, **options).select(F.col("doc_id").alias(key)).distinct()
+    return tagged.join(leaks, key, "left_anti").select(docs.columns)
