@@ -32,8 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _as_documents(docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti"), docs)
+    return _as_documents(decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
