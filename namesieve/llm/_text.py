@@ -29,10 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def stream(seed: int, n: int) -> np.ndarray:
-    """n pseudo-random 64-bit values that depend on the seed alone."""
-    start = (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _M64
+    """n pseudo-random 64-bit values that depend on the seed alone; streams of different seeds do not overlap."""
+    start = mix(np.array([(seed * 0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019) & _M64], np.uint64))
     step = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(step + np.uint64(start))
+    return mix(step + start)
 
 
 _BYTE = stream(1, 256)

@@ -12,7 +12,8 @@ whose label is not O with probability `sure` adds a span; neighbours with one
 label join.
 
 All weights are trained here, on whole documents.  Labels to learn from are the
-patterns' spans, and values assigned to a name such as `token` or `password`.
+patterns' spans, and values assigned to a name such as `token` or `password`,
+wherever these stand in the document.
 Label pairs on the chain and skip edges are counted over the whole table, in a
 distributed sum; their potentials are the log odds of these counts against
 independent labels, so edges that teach nothing weigh nothing.  Potentials of
@@ -54,6 +55,7 @@ _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 #: Names that a secret is commonly assigned to; their values are labels to learn from.
 _ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,8}[=:]\s{0,8}[\"']?([A-Za-z0-9+/_-]{16,})")
+_VALUE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _LEAD, _TRAIL = ".,;:!?\"'<[{#$%&*|=", ".,;:!?\"'>]}#$%&*|="
 
 
@@ -95,8 +97,9 @@ def written_spans(spans: list[tuple[int, int, int]]) -> str:
 
 
 def taught_spans(text: str) -> list[tuple[int, int, int]]:
-    """The spans to learn from: the patterns' and assigned secrets."""
-    return sorted(base_spans(text) + [(m.start(1), PATTERNS, m.end(1)) for m in _ASSIGNED.finditer(text)])
+    """The spans to learn from: the patterns', and assigned secrets wherever they stand in the text."""
+    values = {m[1] for m in _ASSIGNED.finditer(text)}
+    return sorted(base_spans(text) + [(m.start(), PATTERNS, m.end()) for m in _VALUE.finditer(text) if m[0] in values] if values else base_spans(text))
 
 
 def _bucket(feature: str) -> int:
