@@ -161,3 +161,35 @@ def sign_stability(scores: np.ndarray, tau: float, noise: float = 1e-6, seed: in
     """How many decisions a noise of at most `noise` turns over, for scores near tau."""
     moved = scores + np.random.default_rng(seed).uniform(-noise, noise, len(scores))
     return int(((scores - tau > noise) != (moved - tau > noise)).sum())
+
+
+def error_study(cipher: Cipher, samples: int = 1000, width: int = 50, tau: float = 0.9, trials: int = 20, seed: int = 0) -> dict[str, dict[str, float]]:
+    """Errors of ct-pt and ct-ct products of unit vectors, and how often the decision turns over for scores within 0.05 of tau.
+
+    Half of the pairs are drawn near tau, so that the last part is never empty.
+    """
+    draw = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v)
+    errors: dict[str, list[float]] = {"ct_pt_abs_error": [], "ct_ct_abs_error": [], "threshold_failure_rate": []}
+    for i in range(samples):
+        x, y = unit(draw.normal(size=width)), unit(draw.normal(size=width))
+        if i % 2:
+            y = unit(y - (x @ y) * x)
+            cos = tau + draw.uniform(-0.05, 0.05)
+            y = cos * x + np.sqrt(max(1 - cos * cos, 0)) * y
+        true, cx = float(x @ y), cipher.encrypt(x)
+        errors["ct_pt_abs_error"].append(abs(float(cipher.decrypt(cipher.dot_plain(cx, y))[0]) - true))
+        errors["ct_ct_abs_error"].append(abs(float(cipher.decrypt(cipher.dot(cx, cipher.encrypt(y)))[0]) - true))
+        if abs(true - tau) < 0.05:
+            score = cipher.encrypt(np.array([true]))
+            seen = [float(cipher.decrypt(cipher.mul_plain(cipher.add_plain(score, np.array([-tau])), np.array([draw.uniform(1, 10)])))[0]) for _ in range(trials)]
+            errors["threshold_failure_rate"].append(float(np.mean([(v > 0) != (true > tau) for v in seen])))
+    stats = lambda v: {"mean": float(np.mean(v)), "std": float(np.std(v)), "max": float(np.max(v)), "median": float(np.median(v))} if v else dict.fromkeys(("mean", "std", "max", "median"), 0.0)
+    return {k: stats(v) for k, v in errors.items()}
+
+
+def study_report(study: dict[str, dict[str, float]]) -> str:
+    """The study as lines of text."""
+    lines = [f"{part}: " + ", ".join(f"{k} {v:.6e}" for k, v in values.items()) for part, values in study.items()]
+    stable = study["threshold_failure_rate"]["max"] == 0
+    return "\n".join([*lines, "no decision turned over" if stable else "some decisions turned over: raise the scale or lower the depth"])

@@ -36,12 +36,21 @@ def shingles(clean: Column, size: int = SHINGLE) -> Column:
     return F.when(n >= size, grams).when(n > 0, F.array(clean)).when(n == 0, F.array(F.lit(EMPTY)))
 
 
+def sorted_shingles(clean: Column) -> Column:
+    """The shingles in ascending order, for display."""
+    return F.array_sort(shingles(clean))
+
+
+def yes_no(flag: Column) -> Column:
+    """Y or N; null stays null."""
+    return F.when(flag, "Y").when(~flag, "N")
+
+
+def positions(text: str) -> list[int]:
+    """The numbers of a comma-separated list; blanks are skipped."""
+    return [int(x) for x in text.split(",") if x.strip()]
+
+
 def hash20(text: Column) -> Column:
     """SHA-256 as an integer mod 2^20: its last five hexadecimal digits."""
     return F.conv(F.right(F.sha2(text, 256), F.lit(5)), 16, 10).cast("long") % HASH_MOD
-
-
-def phrase(text: Column, words: int = 4) -> Column:
-    """The first words of a text; reads no further than they reach."""
-    head = F.regexp_extract(text, rf"^\s*(\S+(?:\s+\S+){{0,{words - 1}}})", 1)
-    return F.regexp_replace(head, r"\s+", " ")

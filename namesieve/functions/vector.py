@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import EL_MATCH
-from .minhash import signature
-from .text import clean_name
+from .minhash import signature, signatures_of
+from .text import SPACE, _nfkc, clean_name
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -15,14 +20,6 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, v: s + v)
 
 
-def dot_double(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def norm2(x: Column) -> Column:
-    return dot(x, x)
-
-
 def cosine(xy: Column, xx: Column, yy: Column) -> Column:
     """Cosine from a dot product and squared norms; 0 for a zero vector."""
     return F.when((xx == 0) | (yy == 0), 0.0).otherwise(xy / (F.sqrt(xx) * F.sqrt(yy)))
@@ -43,18 +40,26 @@ def one_hot(position: Column, k: int) -> Column:
     return F.when(good, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == position, 1.0).otherwise(0.0))).otherwise(F.raise_error(F.lit("selector position out of range")).cast("array<double>"))
 
 
+def _minhash(s: pd.Series) -> pd.Series:
+    """Signatures of names; null stays null."""
+    known = s.notna()
+    clean = s[known].map(lambda x: re.sub(f"[{SPACE}]+", " ", re.sub(f"[^a-z{SPACE}]", "", unicodedata.normalize("NFKC", x).lower())).strip(" "))
+    out = pd.Series([None] * len(s), index=s.index, dtype=object)
+    if len(clean):
+        out[known] = list(signatures_of(pa.array(clean, pa.string()))[:, :EL_MATCH])
+    return out
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions clean_name, minhash and minhash_cosine, all native expressions."""
-    text = r"""trim(regexp_replace(regexp_replace(lower(s), '[^a-z \\t-\\r]', ''), '[ \\t-\\r]+', ' '))"""
+    """SQL functions clean_name, minhash (Arrow batches) and minhash_cosine; texts beyond ASCII are normalised in Arrow batches."""
+    spark.udf.register("nfkc", F.pandas_udf(_nfkc, "string"))
+    space, ascii_only = SPACE.replace("\\", "\\\\"), r"[^\\x00-\\x7f]"
+    whole = f"CASE WHEN s RLIKE '{ascii_only}' THEN nfkc(s) ELSE s END"
+    text = f"trim(regexp_replace(regexp_replace(lower({whole}), '[^a-z{space}]', ''), '[{space}]+', ' '))"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_name(s STRING) RETURNS STRING RETURN {text}")
-    from ..params import hash_family
-
-    family = ", ".join(f"struct({a}L AS a, {b}L AS b)" for a, b in zip(*map(list, hash_family(EL_MATCH)), strict=True))
-    grams = "CASE WHEN length(clean_name(s)) >= 3 THEN array_distinct(transform(sequence(1, length(clean_name(s)) - 2), i -> substr(clean_name(s), i, 3))) WHEN clean_name(s) <> '' THEN array(clean_name(s)) ELSE array('<empty>') END"
-    hashes = f"transform({grams}, g -> cast(conv(right(sha2(g, 256), 5), 16, 10) AS BIGINT))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION minhash(s STRING) RETURNS ARRAY<BIGINT> RETURN transform(array({family}), p -> array_min(transform({hashes}, x -> (p.a * x + p.b) % 1048576)))")
+    spark.udf.register("minhash", F.pandas_udf(_minhash, "array<bigint>"))
     pair = "aggregate(zip_with({0}, {1}, (p, q) -> p * q), 0L, (a, v) -> a + v)"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION minhash_cosine(x ARRAY<BIGINT>, y ARRAY<BIGINT>) RETURNS DOUBLE RETURN {pair.format('x', 'y')} / (sqrt({pair.format('x', 'x')}) * sqrt({pair.format('y', 'y')}))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION minhash_cosine(x ARRAY<BIGINT>, y ARRAY<BIGINT>) RETURNS DOUBLE RETURN coalesce(try_divide({pair.format('x', 'y')}, sqrt({pair.format('x', 'x')}) * sqrt({pair.format('y', 'y')})), 0.0D)")
 
 
-__all__ = ["clean_name", "cosine", "dot", "dot_double", "l2_normalise", "norm2", "one_hot", "register", "signature", "standardise"]
+__all__ = ["clean_name", "cosine", "dot", "l2_normalise", "one_hot", "register", "signature", "standardise"]

@@ -28,10 +28,25 @@ class Index:
     def k(self) -> int:
         return len(self.centroids)
 
+    def release(self) -> None:
+        """Give the cached members back."""
+        self.members.unpersist()
 
-def column_index(assigned: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rank of each row inside its cluster, in the order of ids."""
-    return assigned.withColumn("column_index", F.row_number().over(Window.partitionBy("cluster_id").orderBy(id_col)) - 1)
+
+def column_index(assigned: DataFrame, id_col: str = "id", cell: int = 1 << 16) -> DataFrame:
+    """Rank of each row inside its cluster, in the order of ids.
+
+    Ids are cut into cells; rows are ranked within (cluster, cell), and a prefix
+    sum over a cluster's cells gives each its base, so no task holds more of a
+    giant cluster than a cell.
+    """
+    dealt = assigned.withColumn("_cell", F.floor(F.col(id_col) / cell))
+    sizes = dealt.groupBy("cluster_id", "_cell").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("cluster_id").orderBy("_cell")
+    base = sizes.select("cluster_id", "_cell", (F.sum("_n").over(order) - F.col("_n")).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("cluster_id", "_cell").orderBy(id_col)) - 1
+    ranked = dealt.withColumn("_within", within).join(base, ["cluster_id", "_cell"])
+    return ranked.select(*assigned.columns, (F.col("_base") + F.col("_within")).cast("int").alias("column_index"))
 
 
 def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
@@ -40,6 +55,11 @@ def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:
     return every.join(assigned.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id", "left").fillna(0, ["n"])
 
 
+def size_summary(sizes: DataFrame) -> DataFrame:
+    """(least, most, mean) of cluster sizes."""
+    return sizes.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+
+
 def build_index(names: DataFrame, k: int | str = "sqrt", seed: int = 42, id_col: str = "id", name: str = "name") -> Index:
     """Offline preparation: encode, standardise, cluster, lay out; names have ids 0..n-1."""
     base = names.select(F.col(id_col).cast("bigint").alias("id"), F.col(name).alias("name"))

@@ -1,7 +1,9 @@
 """Cosine K-Means: a Lloyd loop whose state is k centroids on the driver.
 
 A round is one scan: each batch multiplies its rows with the centroids, and
-sends a sum and a count for each cluster it met, and its farthest row.
+sends a sum and a count for each cluster it met, and its farthest row.  Sums are
+added by cluster and dimension with partial aggregates, so a hot cluster costs
+each task one row a dimension.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.minhash import matrix
 from ..params import KMEANS_ROUNDS, KMEANS_SHIFT, NEAR_ZERO, SEED, seed_positions
 
-MOST_CLUSTERS = 50_000
+#: Centroids are held by the driver and every task: 640 MB at this many, which the default choice reaches at 160 billion names.
+MOST_CLUSTERS = 400_000
+_BLOCK = 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -24,9 +28,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cluster of greatest cosine for each row, the lowest of equal ones, and that cosine."""
-    sims = _unit(x) @ _unit(centroids).T
-    best = sims.argmax(1)
-    return best, sims[np.arange(len(x)), best]
+    x = _unit(x)
+    best, top = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+    for a in range(0, len(centroids), _BLOCK):  # a bounded product at a time
+        sims = np.round(x @ _unit(centroids[a : a + _BLOCK]).T, 12)  # else rounding errors choose among equal centroids
+        at = sims.argmax(1)
+        value = sims[np.arange(len(x)), at]
+        better = value > top
+        best[better], top[better] = at[better] + a, value[better]
+    return best, top
 
 
 def lloyd_round(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_col: str = "id") -> np.ndarray:
@@ -51,19 +61,16 @@ def lloyd_round(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_
                 "v": pa.array([*sums, x[far]], pa.list_(pa.float64())),
             })
 
-    def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sim", "ascending"), ("id", "ascending")])
-        v = matrix(table["v"], width)
-        c = table["cluster_id"][0].as_py()
-        total = v[0] if c < 0 else v.sum(0)
-        return pa.table({"cluster_id": pa.array([c], pa.int32()), "n": pa.array([sum(table["n"].to_pylist())]), "v": pa.array([total], pa.list_(pa.float64()))})
-
     parts = points.select(id_col, vector).mapInArrow(run, "cluster_id int, n bigint, sim double, id bigint, v array<double>")
-    rows = parts.groupBy("cluster_id").applyInArrow(add, "cluster_id int, n bigint, v array<double>").collect()  # k + 1 rows
-    found = {r.cluster_id: np.array(r.v) / (r.n if r.cluster_id >= 0 else 1) for r in rows}
+    sums = parts.where("cluster_id >= 0").select("cluster_id", "n", F.posexplode("v").alias("dim", "x")).groupBy("cluster_id", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    rows = sums.groupBy("cluster_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).collect()  # k rows
+    found = {r.cluster_id: np.array([x.x for x in r.v]) / r.n for r in rows}
+    if len(found) < k:  # the farthest row, which empty clusters take
+        far = parts.where("cluster_id < 0").agg(F.min_by("v", F.struct("sim", "id")).alias("v")).first()
+        found[-1] = np.array(far.v)
     out = np.empty_like(centroids)
     for c in range(k):
-        v = found.get(c, found[-1])
+        v = found[c] if c in found else found[-1]
         norm = np.linalg.norm(v)
         out[c] = centroids[c] if norm < NEAR_ZERO else v / norm
     return out
@@ -73,13 +80,14 @@ def fit(points: DataFrame, k: int, seed: int = SEED, rounds: int = KMEANS_ROUNDS
     """Centroids (k, width) from points whose ids are the positions 0..n-1; `points` is read once a round."""
     n = points.count()
     if not n:
-        raise ValueError("no rows to cluster")
+        raise ValueError("there is nothing to cluster")
     if k <= 0:
-        raise ValueError(f"k must be positive, got {k}")
+        raise ValueError(f"cannot make {k} clusters")
     if min(k, n) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters: centroids are held by the driver and every task")
     where = seed_positions(n, min(k, n), seed)
-    rows = {r[0]: r[1] for r in points.where(F.col(id_col).isin(where)).select(id_col, vector).collect()}
+    chosen = points.sparkSession.createDataFrame(pa.table({"_seed": pa.array(where, pa.int64())}))
+    rows = {r[0]: r[1] for r in points.join(F.broadcast(chosen), F.col(id_col) == F.col("_seed")).select(id_col, vector).collect()}  # k rows
     if len(rows) < len(where):
         raise ValueError("ids must be the positions 0 to n - 1")
     centroids = _unit(np.array([rows[i] for i in where]))
@@ -99,14 +107,11 @@ def assign(points: DataFrame, centroids: np.ndarray, vector: str = "z", nprobe:
     def run(batches):
         for batch in batches:
             x = matrix(batch.column(vector), width)
-            scores = x @ unit.T
-            if nprobe == 1:
-                top = nearest(x, centroids)[0][:, None]
-            else:
-                top = np.argsort(-(_unit(x) @ unit.T), axis=1, kind="stable")[:, :nprobe]
+            top = nearest(x, centroids)[0][:, None] if nprobe == 1 else np.argsort(-np.round(_unit(x) @ unit.T, 12), axis=1, kind="stable")[:, :nprobe]
             row = np.repeat(np.arange(len(x)), top.shape[1])
+            scores = np.einsum("ij,ij->i", x[row], unit[top.ravel()])
             take = pa.array(row)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(take) for c in kept} | {"cluster_id": pa.array(top.ravel().astype(np.int32)), "score": pa.array(scores[row, top.ravel()])})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(take) for c in kept} | {"cluster_id": pa.array(top.ravel().astype(np.int32)), "score": pa.array(scores)})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
     return points.mapInArrow(run, f"{kinds}, cluster_id int, score double")

@@ -16,7 +16,7 @@ from ..params import EL_MATCH, EPS, HASH_MOD, MASK_HIGH, MASK_LOW, TAU
 from . import kmeans, scaler
 from .index import Index
 
-QUERY_BLOCK, CLUSTER_BLOCK = 16_384, 2048
+CLUSTER_BLOCK = 2048
 
 
 def check_tau(tau: float) -> None:
@@ -44,37 +44,44 @@ def masked(score: Column, tau: float, mask: Column) -> Column:
     return mask * (score - tau)
 
 
-def hits_linear(queries: DataFrame, database: DataFrame, tau: float = TAU, block: int = QUERY_BLOCK) -> DataFrame:
+def _blocked(left: DataFrame, right: DataFrame, tau: float, least: bool) -> DataFrame:
+    """Hits (query_id, cluster_id, id, cos) of members (cluster_id, id, v, n, m, q) and queries (cluster_id, query_id, v, n, m, q) of one pair of blocks (m, q).
+
+    least: only the hit of the least id for each query and block, so what leaves a task is at most a row a query.
+    """
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        row = col = np.zeros(0, np.int64)
+        cos = np.zeros(0)
+        if x.num_rows and y.num_rows:
+            root = lambda c: np.sqrt(c.to_numpy().astype(np.float64))
+            row, col, cos = _above(matrix(x["v"], EL_MATCH), root(x["n"]), matrix(y["v"], EL_MATCH), root(y["n"]), tau)
+            if least and len(row):
+                order = np.lexsort((x["id"].to_numpy()[row], col))
+                order = order[np.append(True, col[order][1:] != col[order][:-1])]
+                row, col, cos = row[order], col[order], cos[order]
+        cluster = x["cluster_id"][0].as_py() if x.num_rows else 0
+        return pa.table({"query_id": y["query_id"].take(pa.array(col)).cast(pa.int64()), "cluster_id": pa.array(np.full(len(row), cluster, np.int32)), "id": x["id"].take(pa.array(row)).cast(pa.int64()), "cos": pa.array(cos)})
+
+    key = ["cluster_id", "m", "q"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id bigint, cluster_id int, id bigint, cos double")
+
+
+def hits_linear(queries: DataFrame, database: DataFrame, tau: float = TAU, block: int = CLUSTER_BLOCK, least: bool = False) -> DataFrame:
     """(query_id, id, cos) of all pairs above the threshold; inputs have (query_id | id, sig, n2_50).
 
-    Blocks of `block` queries, which bound what is broadcast, against all rows
-    of the database in Arrow batches: one matrix product for each batch, exact
-    as signatures are integers.  Only hits leave the stage.
+    Both sides are dealt into blocks of about `block` rows, and each pair of
+    blocks is one matrix product in a task of its own, exact as signatures are
+    integers.  Nothing is broadcast, and only hits leave a task; least: only the
+    hit of the least id of each query in each block.
     """
     check_tau(tau)
-    spark = queries.sparkSession
-    schema = "query_id bigint, id bigint, cos double"
-    out = spark.createDataFrame([], schema)
-    numbered = queries.select("query_id", F.slice("sig", 1, EL_MATCH).alias("v"), "n2_50")
-    n = numbered.count()
-    blocks = -(-n // block)
-    for b in range(blocks):
-        part = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else numbered
-        rows = part.toArrow()
-        if not rows.num_rows:
-            continue
-        ids, q, root = rows["query_id"].to_numpy(), matrix(rows["v"], EL_MATCH), np.sqrt(rows["n2_50"].to_numpy().astype(np.float64))
-
-        def run(batches, ids=ids, q=q, root=root):
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    some = batch.slice(i, 256)
-                    row, col, cos = _above(matrix(some.column(1), EL_MATCH), np.sqrt(some.column(2).to_numpy().astype(np.float64)), q, root, tau)
-                    if len(row):
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[col]), "id": some.column(0).take(pa.array(row)), "cos": pa.array(cos)})
-
-        out = out.union(database.select("id", F.slice("sig", 1, EL_MATCH).alias("v"), "n2_50").mapInArrow(run, schema))
-    return out
+    v = F.slice("sig", 1, EL_MATCH).alias("v")
+    mb, qb = (-(-df.count() // block) or 1 for df in (database, queries))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = database.select(F.lit(0).alias("cluster_id"), "id", v, F.col("n2_50").alias("n"), deal("id", mb).alias("m"), every(qb).alias("q"))
+    right = queries.select(F.lit(0).alias("cluster_id"), "query_id", v, F.col("n2_50").alias("n"), deal("query_id", qb).alias("q"), every(mb).alias("m"))
+    return _blocked(left, right, tau, least).select("query_id", "id", "cos")
 
 
 def _above(x: np.ndarray, x_root: np.ndarray, q: np.ndarray, q_root: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,30 +99,22 @@ def probe(queries: DataFrame, index: Index, nprobe: int = 1) -> DataFrame:
     return probed.select("query_id", "cluster_id", F.slice("sig", 1, EL_MATCH).alias("q50"), F.col("n2_50").alias("q2"))
 
 
-def hits_clustered(asked: DataFrame, members: DataFrame, tau: float = TAU, block: int = CLUSTER_BLOCK) -> DataFrame:
+def hits_clustered(asked: DataFrame, members: DataFrame, tau: float = TAU, block: int = CLUSTER_BLOCK, least: bool = False) -> DataFrame:
     """(query_id, cluster_id, column_index, cos) above the threshold, of probed queries and the members of their clusters.
 
     Both sides of a cluster are cut into blocks, each pair of blocks is one
     matrix product in a task of its own, and only hits leave it: a large
-    cluster is spread over tasks, and no pair is ever a row.
+    cluster is spread over tasks, and no pair is ever a row.  least: only the
+    first column of each query in each block, which is all that a judgement needs.
     """
     check_tau(tau)
     blocks = lambda df, name: df.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     each = blocks(members, "mb").join(blocks(asked, "qb"), "cluster_id")
-    key = ["cluster_id", "m", "q"]
-    left = members.select("cluster_id", "column_index", "sig50", "n2_50").join(each, "cluster_id")
-    left = left.withColumns({"m": F.floor(F.col("column_index") / block).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("qb") - 1))}).drop("mb", "qb")
-    right = asked.select("cluster_id", "query_id", "q50", "q2").join(each, "cluster_id")
+    left = members.select("cluster_id", F.col("column_index").cast("bigint").alias("id"), F.col("sig50").alias("v"), F.col("n2_50").alias("n")).join(each, "cluster_id")
+    left = left.withColumns({"m": F.floor(F.col("id") / block).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("qb") - 1))}).drop("mb", "qb")
+    right = asked.select("cluster_id", "query_id", F.col("q50").alias("v"), F.col("q2").alias("n")).join(each, "cluster_id")
     right = right.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"), "m": F.explode(F.sequence(F.lit(0), F.col("mb") - 1))}).drop("mb", "qb")
-
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "cluster_id": pa.array([], pa.int32()), "column_index": pa.array([], pa.int32()), "cos": pa.array([], pa.float64())})
-        root = lambda c: np.sqrt(c.to_numpy().astype(np.float64))
-        row, col, cos = _above(matrix(x["sig50"], EL_MATCH), root(x["n2_50"]), matrix(y["q50"], EL_MATCH), root(y["q2"]), tau)
-        return pa.table({"query_id": y["query_id"].take(pa.array(col)), "cluster_id": pa.array(np.full(len(row), x["cluster_id"][0].as_py(), np.int32)), "column_index": x["column_index"].take(pa.array(row)).cast(pa.int32()), "cos": pa.array(cos)})
-
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id bigint, cluster_id int, column_index int, cos double")
+    return _blocked(left, right, tau, least).select("query_id", "cluster_id", F.col("id").cast("int").alias("column_index"), "cos")
 
 
 def scored(asked: DataFrame, hits: DataFrame) -> DataFrame:
@@ -149,7 +148,7 @@ def first_hit(judged: DataFrame, members: DataFrame) -> DataFrame:
 def screen(queries: DataFrame, index: Index, tau: float = TAU, early_stop: bool = True, nprobe: int = 1) -> DataFrame:
     """Both rounds for all queries (query_id, name)."""
     asked = probe(queries, index, nprobe)
-    return judge(scored(asked, hits_clustered(asked, index.members, tau)), index.max_size, tau, early_stop)
+    return judge(scored(asked, hits_clustered(asked, index.members, tau, least=True)), index.max_size, tau, early_stop)
 
 
 def selector_product(selectors: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.minhash import batch_encode, signature
-from ..functions.text import clean_name, hash20, phrase, shingles
-from ..functions.vector import cosine, dot, one_hot
+from ..functions.text import clean_name, hash20, shingles, sorted_shingles
+from ..functions.vector import cosine, dot, l2_normalise, one_hot
 from ..operators import index, kmeans, metrics, projection, scaler, search
 from ..params import EL_MATCH, TAU, hash_family
+from . import rounds
 
 K = 10  # clusters of the fixed examples
 SEEDS = 8  # seeds of the one-round name index
@@ -25,14 +26,15 @@ def _parts(spark, d):
     return _t(spark, d, "part", "p_partkey", "p_name").toDF("id", "name")
 
 
-def _phrases(spark, d):
-    return _t(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), phrase(F.col("text")).alias("name"))
+def _names(spark, d):
+    """The list of names: the whole addresses of all pages."""
+    return _t(spark, d, "pages", "page_id", "url").toDF("id", "name").where("name is not null")
 
 
 def _queries(spark, d):
-    """Benchmark phrases, and every document's phrase without its last letter under a negative number."""
-    asked = _t(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), phrase(F.col("text")).alias("name"))
-    return asked.union(_phrases(spark, d).select(-1 - F.col("id"), F.substr("name", F.lit(1), F.length("name") - 1)))
+    """All benchmark texts, whole, and every name of the list without its last letter under a negative number."""
+    asked = _t(spark, d, "benchmark", "item_id", "text").toDF("query_id", "name")
+    return asked.union(_names(spark, d).select(-1 - F.col("id"), F.substr("name", F.lit(1), F.length("name") - 1)))
 
 
 def _vectors(spark, d):
@@ -63,7 +65,7 @@ def shingle_hash(spark, d):
 
 
 def minhash_long(spark, d):
-    return batch_encode(_parts(spark, d)).select("id", F.posexplode(F.slice("sig", 1, EL_MATCH)).alias("dim", "val")).select("id", F.col("dim").cast("long").alias("dim"), "val")
+    return batch_encode(_parts(spark, d)).select("id", F.posexplode("sig").alias("dim", "val")).select("id", F.col("dim").cast("long").alias("dim"), "val")
 
 
 def minhash_prefix(spark, d):
@@ -76,7 +78,7 @@ def l2_norms(spark, d):
 
 
 def scaler_fit(spark, d):
-    fitted = scaler.fit_scaler(batch_encode(_phrases(spark, d)))
+    fitted = scaler.fit_scaler(batch_encode(_names(spark, d)))
     return fitted.select(F.col("dim").cast("long").alias("dim"), F.round("mean", 8).alias("mean"), F.round("scale", 8).alias("scale"))
 
 
@@ -93,7 +95,7 @@ def pairwise_cosine(spark, d):
 
 
 def theta_self_join(spark, d):
-    names = _phrases(spark, d).groupBy(clean_name(F.col("name")).alias("name")).agg(F.min("id").alias("id"))
+    names = _names(spark, d).groupBy(clean_name(F.col("name")).alias("name")).agg(F.min("id").alias("id"))
     e = batch_encode(names.select("id", "name"), nfkc=False).select("id", "sig", "n2_50")
     hits = search.hits_linear(e.withColumnRenamed("id", "query_id"), e)
     return hits.where("query_id < id").select(F.col("query_id").alias("id1"), F.col("id").alias("id2"), F.round("cos", 6).alias("cos"))
@@ -157,31 +159,25 @@ def masked_scores(spark, d):
     return x.join(y, F.col("id1") < F.col("id2")).select("id1", "id2", F.round(search.masked(cos, TAU, mask), 6).alias("masked"))
 
 
-def _ranked(spark, d):
-    """The phrases of documents with their rank by id, which is their column in one single cluster."""
-    return _phrases(spark, d).where("name is not null")
-
-
 def linear_catch(spark, d):
-    queries, base = batch_encode(_queries(spark, d)), batch_encode(_ranked(spark, d))
-    hits = search.hits_linear(queries, base)
-    size = _ranked(spark, d).agg(F.count("*").alias("n"))
-    # documents are numbered 0..n-1, so the id is the column; ids with gaps go through column_index
-    columns = index.column_index(_ranked(spark, d).select(F.lit(0).alias("cluster_id"), "id")) if _gaps(spark, d) else _ranked(spark, d).select("id", F.col("id").alias("column_index"))
-    first = hits.join(columns, "id").groupBy("query_id").agg(F.min("column_index").alias("first_positive_column"))
-    out = _queries(spark, d).select("query_id").join(first, "query_id", "left").crossJoin(F.broadcast(size))
-    return out.select("query_id", F.col("first_positive_column").isNotNull().alias("catch"), F.col("first_positive_column").cast("long").alias("first_positive_column"), F.coalesce(F.col("first_positive_column") + 1, F.col("n")).cast("long").alias("checked_columns"))
+    """One single cluster: a name's column is its rank by id."""
+    queries, base = batch_encode(_queries(spark, d)), batch_encode(_names(spark, d))
+    hits = search.hits_linear(queries, base, least=True).groupBy("query_id").agg(F.min("id").alias("id"))
+    size = _names(spark, d).count()
+    columns = index.column_index(_names(spark, d).select(F.lit(0).alias("cluster_id"), "id")).select("id", "column_index")
+    out = _queries(spark, d).select("query_id").join(hits.join(columns, "id"), "query_id", "left")
+    return out.select("query_id", F.col("column_index").isNotNull().alias("catch"), F.col("column_index").cast("long").alias("first_positive_column"), F.coalesce(F.col("column_index") + 1, F.lit(size)).cast("long").alias("checked_columns"))
 
 
-def _gaps(spark, d) -> bool:
-    r = _ranked(spark, d).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).first()
-    return r.n > 0 and (r.a != 0 or r.b != r.n - 1)
+def _seed_signatures(spark, d) -> np.ndarray:
+    """The given centroids of the examples: the signatures of the first SEEDS names; `protocol_run` fits its own."""
+    return np.array([r.sig for r in batch_encode(_names(spark, d).orderBy("id").limit(SEEDS)).orderBy("id").select("sig").collect()], float)
 
 
 def _one_round(spark, d):
-    """Members of an index whose centroids are the signatures of the first SEEDS distinct phrases, and the same for queries."""
-    base = batch_encode(_ranked(spark, d))
-    seeds = np.array([r.sig for r in base.where(F.col("id") < SEEDS).orderBy("id").select("sig").collect()], float)
+    """All members and all queries, dealt to the given centroids."""
+    base = batch_encode(_names(spark, d))
+    seeds = _seed_signatures(spark, d)
     place = lambda df: kmeans.assign(df.withColumn("z", F.col("sig").cast("array<double>")), seeds)
     members = index.column_index(place(base).select("cluster_id", "id", "name", F.slice("sig", 1, EL_MATCH).alias("sig50"), "n2_50"))
     asked = place(batch_encode(_queries(spark, d))).select("query_id", "cluster_id", F.slice("sig", 1, EL_MATCH).alias("q50"), F.col("n2_50").alias("q2"))
@@ -191,7 +187,7 @@ def _one_round(spark, d):
 def _two_round(spark, d):
     members, asked = _one_round(spark, d)
     most = members.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return search.judge(search.scored(asked, search.hits_clustered(asked, members)), most), members
+    return search.judge(search.scored(asked, search.hits_clustered(asked, members, least=True)), most), members
 
 
 def two_round_catch(spark, d):
@@ -208,7 +204,29 @@ def protocol_run(spark, d):
     """The whole protocol: 200-dimensional clustered index, full Lloyd loop, both rounds."""
     from .protocol import run_queries
 
-    return run_queries(_queries(spark, d), _ranked(spark, d)).result
+    return run_queries(_queries(spark, d), _names(spark, d)).result
+
+
+def encrypted_rounds(spark, d):
+    """Both rounds on ciphertexts of the plain backend, for all benchmark texts against the whole list, with the given centroids."""
+    members, _ = _one_round(spark, d)
+    seeds = _seed_signatures(spark, d)
+    unit = seeds / np.linalg.norm(seeds, axis=1, keepdims=True)
+    asked = batch_encode(_t(spark, d, "benchmark", "item_id", "text").toDF("query_id", "name"))
+    vectors = asked.select("query_id", F.col("sig").cast("array<double>").alias("q200"), l2_normalise(F.slice("sig", 1, EL_MATCH), F.col("n2_50")).alias("q50"))
+    most = members.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    out = rounds.run_rounds(vectors, unit, members, most).debug
+    return out.select("query_id", "catch", F.col("selected_cluster").cast("long").alias("selected_cluster"), F.col("first_positive_column").cast("long").alias("first_positive_column"), F.col("checked_columns").cast("long").alias("checked_columns"))
+
+
+def shingle_lists(spark, d):
+    """The sorted shingles of every name, as one line."""
+    return _parts(spark, d).withColumn("clean", clean_name(F.col("name"))).select("id", F.array_join(sorted_shingles(F.col("clean")), "|").alias("shingles"))
+
+
+def size_summary(spark, d):
+    sizes = index.cluster_sizes(_vectors(spark, d).select(F.col("label").cast("int").alias("cluster_id")), K)
+    return index.size_summary(sizes).select("least", "most", F.round("mean", 6).alias("mean"))
 
 
 def confusion(spark, d):
@@ -222,11 +240,11 @@ def metrics_(spark, d):
 
 def anti_members(spark, d):
     asked = _queries(spark, d).select("query_id", clean_name(F.col("name")).alias("name"))
-    return asked.join(_ranked(spark, d).select(clean_name(F.col("name")).alias("name")), "name", "left_anti").select("query_id", "name")
+    return asked.join(_names(spark, d).select(clean_name(F.col("name")).alias("name")), "name", "left_anti").select("query_id", "name")
 
 
 def union_queries(spark, d):
-    known = _ranked(spark, d).select(clean_name(F.col("name")).alias("name")).distinct().withColumn("label", F.lit(True))
+    known = _names(spark, d).select(clean_name(F.col("name")).alias("name")).distinct().withColumn("label", F.lit(True))
     return known.unionByName(anti_members(spark, d).select("name").distinct().withColumn("label", F.lit(False)))
 
 
@@ -238,7 +256,7 @@ def typo_queries(spark, d):
 
 
 def expected_lookup(spark, d):
-    first = _ranked(spark, d).groupBy(clean_name(F.col("name")).alias("clean")).agg(F.min("id").alias("expected_id"))
+    first = _names(spark, d).groupBy(clean_name(F.col("name")).alias("clean")).agg(F.min("id").alias("expected_id"))
     return _queries(spark, d).select("query_id", clean_name(F.col("name")).alias("clean")).join(first, "clean", "left").select("query_id", "expected_id")
 
 
@@ -267,7 +285,7 @@ def projection_3d(spark, d):
     return projection.project_3d(_vectors(spark, d), cluster="label")
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (clean_text, shingle_counts, shingle_hash, minhash_long, minhash_prefix, l2_norms, scaler_fit, standardise, pairwise_cosine, theta_self_join, centroid_scores, nearest_centroid, kmeans_one_round, kmeans_assign, cluster_sizes, column_index, selector_onehot, selector_matmul, masked_scores, linear_catch, two_round_catch, hit_lookup, protocol_run, confusion, metrics_, anti_members, union_queries, typo_queries, expected_lookup, verdicts, comm_bytes, error_stats, dataset_card, projection_3d)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (clean_text, shingle_counts, shingle_hash, minhash_long, minhash_prefix, l2_norms, scaler_fit, standardise, pairwise_cosine, theta_self_join, centroid_scores, nearest_centroid, kmeans_one_round, kmeans_assign, cluster_sizes, column_index, selector_onehot, selector_matmul, masked_scores, linear_catch, two_round_catch, hit_lookup, protocol_run, encrypted_rounds, shingle_lists, size_summary, confusion, metrics_, anti_members, union_queries, typo_queries, expected_lookup, verdicts, comm_bytes, error_stats, dataset_card, projection_3d)}
 
 # --- SQL ---
 
@@ -276,10 +294,6 @@ def _clean(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-def _phrase(c: str) -> str:
-    return rf"array_to_string((string_split(trim(regexp_replace({c}, '\s+', ' ', 'g')), ' '))[1:4], ' ')"
-
-
 _HASH = "('0x' || right(sha256({0}), 5))::BIGINT"
 _FAMILY = "[" + ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in zip(*map(list, hash_family()), strict=True)) + "]"
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda q: q[1] * q[2]))"
@@ -296,13 +310,13 @@ s{tag} AS (SELECT id, name, c, sig, {sq('sig')}::BIGINT AS n2_200, {sq('sig[1:50
 
 
 _PART = "SELECT p_partkey AS id, p_name AS name FROM part"
-_DOCS = f"SELECT doc_id AS id, {_phrase('text')} AS name FROM documents"
-_ASKED = f"SELECT item_id AS id, {_phrase('text')} AS name FROM benchmark UNION ALL SELECT -1 - id, substr(name, 1, length(name) - 1) FROM ({_DOCS})"
+_DOCS = "SELECT page_id AS id, url AS name FROM pages WHERE url IS NOT NULL"
+_ASKED = f"SELECT item_id AS id, text AS name FROM benchmark UNION ALL SELECT -1 - id, substr(name, 1, length(name) - 1) FROM ({_DOCS})"
 _NAMES = f"SELECT min(p_partkey) AS id, {_clean('p_name')} AS name FROM part GROUP BY 2"
 _COS = f"({_DOT.format('x.sig[1:50]', 'y.sig[1:50]')}::BIGINT / (sqrt(x.n2_50) * sqrt(y.n2_50)))"
 _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS z, label FROM embeddings), cen AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster_id, z AS c FROM (SELECT * FROM v ORDER BY id LIMIT 10)), sc AS (SELECT v.id, v.z, cen.cluster_id, list_sum(list_transform(list_zip(v.z, cen.c), lambda q: q[1] * q[2])) AS score FROM v CROSS JOIN cen), top AS (SELECT id, z, cluster_id FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, cluster_id) = 1)"
 _TWO = f"""WITH {_signed(_DOCS)}, {_signed(_ASKED, '2')},
-seed AS (SELECT id AS cluster_id, sig AS cs, n2_200 AS cn FROM s WHERE id < 8),
+seed AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster_id, sig AS cs, n2_200 AS cn FROM s ORDER BY id LIMIT 8),
 m AS (SELECT s.*, seed.cluster_id FROM s CROSS JOIN seed QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY round({_DOT.format('s.sig', 'cs')}::BIGINT / (sqrt(s.n2_200) * sqrt(cn)), 12) DESC, seed.cluster_id) = 1),
 mm AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY id) - 1 AS column_index FROM m),
 q AS (SELECT s2.*, seed.cluster_id FROM s2 CROSS JOIN seed QUALIFY row_number() OVER (PARTITION BY s2.id ORDER BY round({_DOT.format('s2.sig', 'cs')}::BIGINT / (sqrt(s2.n2_200) * sqrt(cn)), 12) DESC, seed.cluster_id) = 1),
@@ -317,7 +331,7 @@ ORACLES = {
     "clean_text": " UNION ALL ".join(f"SELECT '{c}' AS source, {_clean(c)} AS cleaned, count(*) AS n FROM {t} GROUP BY 2" for t, c in (("part", "p_name"), ("pages", "url"), ("customer", "c_name"))),
     "shingle_counts": f"WITH {_signed(_PART)} SELECT id, len(g) AS n FROM g",
     "shingle_hash": f"WITH {_signed(_PART)} SELECT DISTINCT x AS shingle, {_HASH.format('x')} AS h FROM (SELECT unnest(g) AS x FROM g)",
-    "minhash_long": f"WITH {_signed(_PART)} SELECT id, unnest(range(50)) AS dim, unnest(sig[1:50]) AS val FROM s",
+    "minhash_long": f"WITH {_signed(_PART)} SELECT id, unnest(range(200)) AS dim, unnest(sig) AS val FROM s",
     "minhash_prefix": "SELECT 0::BIGINT AS n_different, count(*) AS n FROM part",
     "l2_norms": f"WITH {_signed(_PART)} SELECT id, n2_200, n2_50 FROM s",
     "scaler_fit": f"WITH {_signed(_DOCS)}, {_SCALE} SELECT dim, round(mean, 8) AS mean, round(scale, 8) AS scale FROM f",
@@ -335,6 +349,9 @@ ORACLES = {
     "linear_catch": f"WITH {_signed(_DOCS)}, {_signed(_ASKED, '2')}, y0 AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS col FROM s), j AS (SELECT x.id AS query_id, min(CASE WHEN {_COS} - 0.9 > 1e-6 THEN col END) AS f FROM s2 x CROSS JOIN y0 y GROUP BY 1) SELECT query_id, f IS NOT NULL AS catch, f AS first_positive_column, coalesce(f + 1, (SELECT count(*) FROM s)) AS checked_columns FROM j",
     "two_round_catch": f"{_TWO} SELECT query_id, first_positive_column IS NOT NULL AS catch, selected_cluster, first_positive_column, coalesce(first_positive_column + 1, big.n) AS checked_columns FROM j CROSS JOIN big",
     "hit_lookup": f"{_TWO} SELECT query_id, mm.id AS matched_id, mm.name AS matched_name FROM j JOIN mm ON mm.cluster_id = selected_cluster AND mm.column_index = first_positive_column",
+    "encrypted_rounds": f"{_TWO} SELECT query_id, first_positive_column IS NOT NULL AS catch, selected_cluster, first_positive_column, coalesce(first_positive_column + 1, big.n) AS checked_columns FROM j CROSS JOIN big WHERE query_id >= 0",
+    "shingle_lists": f"WITH {_signed(_PART)} SELECT id, array_to_string(list_sort(g), '|') AS shingles FROM g",
+    "size_summary": "SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT k.cluster_id, count(e.label) AS n FROM (SELECT unnest(range(10)) AS cluster_id) k LEFT JOIN embeddings e ON e.label = k.cluster_id GROUP BY 1)",
     "confusion": _CONF,
     "metrics": f"SELECT round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 9) AS f1, round(a, 9) AS accuracy FROM (SELECT CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn)::DOUBLE END AS r, CASE WHEN tp + fp + fn + tn = 0 THEN 0.0 ELSE (tp + tn) / (tp + fp + fn + tn)::DOUBLE END AS a FROM ({_CONF}))",
     "anti_members": _ANTI,

@@ -24,15 +24,22 @@ def parse_bool(c: Column) -> Column:
     return F.when(text.isin("true", "1", "yes", "y"), True).when(text.isin("false", "0", "no", "n"), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(text, F.lit("null")))).cast("boolean"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all columns text, RFC 4180 quotes."""
-    return spark.read.csv(str(path), header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV with a header, all columns text, RFC 4180 quotes; a byte-order mark is dropped.
+
+    Quoted line feeds keep a file in one task; for large lists without them, `multi_line=False` splits it.
+    """
+    df = spark.read.csv(str(path), header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8")
+    return df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
 
 
 def require_columns(df: DataFrame, required: list[str], path: str) -> None:
-    names = [c.lstrip("﻿") for c in df.columns]
-    if missing := sorted(set(required) - set(names)):
+    if missing := sorted(set(required) - set(df.columns)):
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    require_rows(df, path)
+
+
+def require_rows(df: DataFrame, path: str) -> None:
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
 
@@ -60,15 +67,18 @@ def ncvr_paths(path: str) -> tuple[Path, Path]:
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path)
-    require_columns(df, ["query_name", "label"], path)
+    require_columns(df, ["query_ncid", "query_name", "label"], path)
     kept = df.withColumn("name", F.trim("query_name")).where("name <> ''").withColumn("label", parse_bool(F.col("label")))
+    require_rows(kept, path)
     return numbered(kept, "query_id").select("query_id", "name", "label")
 
 
 def read_database(spark: SparkSession, path: str) -> DataFrame:
     df = read_csv(spark, path)
-    require_columns(df, ["full_name"], path)
-    return numbered(df.withColumn("name", F.trim("full_name")).where("name <> ''"), "id").select("id", "name")
+    require_columns(df, ["ncid", "full_name"], path)
+    kept = df.withColumn("name", F.trim("full_name")).where("name <> ''")
+    require_rows(kept, path)
+    return numbered(kept, "id").select("id", "name")
 
 
 def load_ncvr_10k(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -82,11 +92,12 @@ def mock_wide(spark: SparkSession, prefix: str, n_a: int, n_b: int, n_true: int)
 
 
 def mock_census(spark: SparkSession, n_a: int = 50, n_b: int = 500, n_true: int = 20) -> tuple[DataFrame, DataFrame]:
-    surnames = F.array(*map(F.lit, SURNAMES))
-    surname = F.get(surnames, (F.col("id") % len(SURNAMES)).cast("int"))
-    other = lambda word, less: F.concat(F.lit(word), (F.col("id") - less).cast("string"))
-    a = spark.range(n_a).select(F.col("id").alias("query_id"), F.when(F.col("id") < n_true, surname).otherwise(other("Random_", n_true)).alias("name"), (F.col("id") < n_true).alias("label"))
-    b = spark.range(n_b).select("id", F.when(F.col("id") < len(SURNAMES), surname).otherwise(other("Extra_", len(SURNAMES))).alias("name"))
+    """Queries: surnames in turn, which are matches, then Random_<position>; the list: the same surnames, Random_<position + 100>, then Extra_<position>."""
+    surname = F.get(F.array(*map(F.lit, SURNAMES)), (F.col("id") % len(SURNAMES)).cast("int"))
+    named = lambda word, plus=0: F.concat(F.lit(word), (F.col("id") + plus).cast("string"))
+    true = F.col("id") < n_true
+    a = spark.range(n_a).select(F.col("id").alias("query_id"), F.when(true, surname).otherwise(named("Random_")).alias("name"), true.alias("label"))
+    b = spark.range(n_b).select("id", F.when(true, surname).when(F.col("id") < n_a, named("Random_", 100)).otherwise(named("Extra_")).alias("name"))
     return a, b
 
 
@@ -130,7 +141,6 @@ def load_forenames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     if not path or not Path(path).is_file():
         return mock_wide(spark, *MOCK["ncvr"])
     df = read_csv(spark, path)
-    df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
     require_columns(df, ["Romanized Name"], path)
     return synthesise_forenames(df)
 
@@ -161,3 +171,18 @@ def pick(queries: DataFrame, positions: list[int], n: int) -> DataFrame:
     if bad := [i for i in positions if not 0 <= i < n]:
         raise ValueError(f"positions out of range: {bad}")
     return queries.where(F.col("query_id").isin(positions))
+
+
+def card(queries: DataFrame, database: DataFrame, name: str, samples: int = 10) -> dict:
+    """What a data set holds: numbers of records, of queries by label, and the first of each."""
+    counts = queries.agg(F.count("*").alias("n"), F.count_if("label").alias("positive")).first()
+    first = queries.orderBy("query_id").limit(samples).collect()
+    return {
+        "dataset": name,
+        "total_records_b": database.count(),
+        "total_queries_a": counts.n,
+        "positive_queries": counts.positive,
+        "negative_queries": counts.n - counts.positive,
+        "sample_names_b": [r.name for r in database.orderBy("id").limit(samples).collect()],
+        "sample_queries_a": [{"index": r.query_id, "name": r.name, "label": r.label} for r in first],
+    }

@@ -49,6 +49,11 @@ def save_rows(rows: DataFrame, path: str, kind: str = "json") -> None:
     rows.write.mode("overwrite").options(header=True).format(kind).save(path)
 
 
+def sse(event: str, data: dict) -> str:
+    """One server-sent event."""
+    return f"event: {event}\ndata: {json.dumps(data, ensure_ascii=False, default=str)}\n\n"
+
+
 def events(rows: DataFrame, step: int, name: str, party: str, data: list[str], timing_ms: float) -> DataFrame:
     """Step events: (event, step, name, party, data as JSON, timing_ms), one for each row."""
     return rows.select(F.lit("step").alias("event"), F.lit(step).alias("step"), F.lit(name).alias("name"), F.lit(party).alias("party"), F.to_json(F.struct(*data)).alias("data"), F.lit(timing_ms).alias("timing_ms"))

@@ -1,19 +1,22 @@
 """Engine behaviour: stated facts, golden values, properties, and independent NumPy versions."""
 
 import hashlib
+import json
 import re
+import threading
 import unicodedata
+import urllib.request
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from namesieve import cipher, streaming
+from namesieve import cipher, cli, streaming
 from namesieve.functions import minhash, text, vector
 from namesieve.operators import index, kmeans, metrics, projection, scaler, search
 from namesieve.params import Options, choose_k, hash_family, seed_positions
-from namesieve.plans import benchmark, protocol
+from namesieve.plans import benchmark, demo, protocol, rounds
 from namesieve.sources import datasets, reports
 
 NAMES = ["john smith", "mary jones", "timothy duane armstrong", "timothy duane aarmstrong", "nathan edward aaron", "joy gayle cooper", "harold grant abbott", "li", "", "O'Brien-Smith", "José Núñez", "ＦＵＬＬ width", "ﬁsher", "a b c\x1cd\x85e", "12345", "deborah elaine black", "donna west black", "james michael aaron", "harold grnt abbott", "mary  JONES"]
@@ -77,6 +80,10 @@ def test_sql_functions(spark):
     vector.register(spark)
     r = spark.sql("select clean_name(\"O'Brien-Smith\") c, minhash('john smith') m, minhash_cosine(minhash('john smith'), minhash('John  SMITH')) x").first()
     assert (r.c, r.m, round(r.x, 9)) == ("obriensmith", py_signature("john smith")[:50].tolist(), 1.0)
+    odd = spark.createDataFrame([(n,) for n in [*NAMES, "a\u2003b\u00a0c", None]], "s string")
+    odd.createOrReplaceTempView("odd_names")
+    assert all(r.c == (None if r.s is None else py_clean(r.s)) for r in spark.sql("select s, clean_name(s) c from odd_names").collect())
+    assert spark.sql("select minhash_cosine(array(0L), array(1L)) x").first().x == 0
 
 
 def test_scaler_equals_numpy(names):
@@ -216,10 +223,20 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError):
         datasets.read_queries(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "short.csv").write_text("query_name,label\nA,yes\n")
+    (tmp_path / "blank.csv").write_text("ncid,full_name\nA, \n")
+    (tmp_path / "mark.csv").write_text("\ufeffncid,full_name\nA,ANN LEE\n")
+    for read, file in ((datasets.read_queries, "short.csv"), (datasets.read_database, "blank.csv")):
+        with pytest.raises(ValueError):
+            read(spark, str(tmp_path / file))
+    assert [tuple(r) for r in datasets.read_database(spark, str(tmp_path / "mark.csv")).collect()] == [(0, "ANN LEE")]
     with pytest.raises(Exception, match="not a boolean"):
         spark.sql("select 'maybe' x").select(datasets.parse_bool(F.col("x"))).collect()
     sizes = {n: tuple(x.count() for x in datasets.load_dataset(spark, n)) for n in ("ncvr", "libcat", "census", "forenames")}
     assert sizes == {"ncvr": (100, 1000), "libcat": (80, 2000), "census": (50, 500), "forenames": (100, 1000)}
+    q, b = (x.collect() for x in datasets.load_dataset(spark, "census"))
+    assert [q[i].name for i in (0, 8, 19, 20, 49)] == ["Smith", "Smith", "Brown", "Random_20", "Random_49"]
+    assert [b[i].name for i in (0, 19, 20, 49, 50, 499)] == ["Smith", "Brown", "Random_120", "Random_149", "Extra_50", "Extra_499"]
     q, b = datasets.load_dataset(spark, "census", query_limit=5, db_limit=7)
     assert (q.count(), b.count()) == (5, 7) and datasets.pick(q, [1, 3], 5).count() == 2
     with pytest.raises(ValueError):
@@ -235,7 +252,10 @@ def test_synthetic_forenames(spark):
 
 
 def test_benchmark_and_report(spark, tmp_path):
-    result = benchmark.benchmark(spark, {"dataset": "census", "k_mode": "sqrt"})
+    result = benchmark.benchmark(spark, {"dataset": "census", "k_mode": "sqrt", "use_mock": True, "reuse_context": False})
+    assert result["timing_sec"].keys() == {"offline", "online_total", "avg_round1", "avg_round2"} and result["memory_peak_mb"] > 0
+    with pytest.raises(ValueError):
+        benchmark.benchmark(spark, {"el_match": 10})
     assert result["metrics"]["recall"] == 1.0 and sum(result["confusion"].values()) == 50 and result["communication_mb"]["total"] > 0
     files = reports.save_report(result, str(tmp_path), "run")
     assert {f.suffix for f in files} >= {".json", ".csv"} and all(f.stat().st_size for f in files)
@@ -298,7 +318,114 @@ def test_stream_equals_batch(spark, names, built, tmp_path):
     assert sorted(got) == sorted(search.public(search.screen(asked, built)).collect())
 
 
-def test_phrase_and_idempotent_cleaning(names):
+def test_idempotent_cleaning(names):
     twice = names.withColumn("once", text.clean_name(F.col("name"))).withColumn("twice", text.clean_name(F.col("once")))
     assert twice.where("once <> twice").count() == 0
-    assert names.select(text.phrase(F.lit(" a\n b  c d e")).alias("p")).first().p == "a b c d"
+    shown = names.where("id = 7").select(text.sorted_shingles(F.lit("banana")).alias("s"), text.yes_no(F.lit(True)).alias("y"), text.yes_no(F.lit(None).cast("boolean")).alias("n")).first()
+    assert (shown.s, shown.y, shown.n) == (["ana", "ban", "nan"], "Y", None) and text.positions("2, 7,,26") == [2, 7, 26]
+
+
+@pytest.mark.parametrize("early_stop", [True, False])
+def test_rounds_on_ciphertexts_equal_the_screening(spark, names, built, early_stop):
+    asked = names.select(F.col("id").alias("query_id"), "name").union(spark.createDataFrame([(90, "zzzz qqqq"), (91, "harold grnt abbot")], "query_id bigint, name string"))
+    run = rounds.run_encrypted(asked, built, early_stop=early_stop)
+    want = {r.query_id: r for r in search.screen(asked, built, early_stop=early_stop).collect()}
+    got = {r.query_id: r for r in run.debug.collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert all(r[c] == want[i][c] for c in ("catch", "first_positive_column", "checked_columns", "selected_cluster"))
+    assert run.result.columns == ["query_id", "catch"]
+    sizes = run.messages.first()
+    assert (sizes.sent, sizes.received) == (8 * (200 + 50 + built.k), 8 * (built.k + built.max_size))
+
+
+def test_messages_tell_the_answering_party_nothing_in_the_clear(spark, built):
+    asked = spark.createDataFrame([(0, "john smith")], "query_id bigint, name string")
+    request, state = protocol.first_round(asked, built, cipher.backend("plain"))
+    reply = rounds.first_reply(request, built.centroids)
+    second, chosen = rounds.second_request(rounds.decrypted_scores(reply), state, built.k)
+    assert second.columns == ["query_id", "ct50", "selector"] and chosen.columns == ["query_id", "selected_cluster"]
+    selector = cipher.backend("plain").decrypt(bytes(second.first().selector))
+    assert selector.sum() == 1 and selector[chosen.first().selected_cluster] == 1
+    small = rounds.second_reply(second, built.members, built.k, built.max_size, columns=2, queries=1)
+    one, two = ([r.masked for r in small.orderBy("column_index").collect()] for _ in range(2))
+    assert len(one) == built.max_size and one != two  # masks are fresh
+    assert [np.frombuffer(x, "<f8")[0] > 0 for x in one] == [np.frombuffer(x, "<f8")[0] > 0 for x in two]
+    with pytest.raises(ValueError):
+        rounds.second_reply(second, built.members, built.k, built.max_size, tau=0)
+
+
+@pytest.mark.parametrize("bad", [[0.0, 0.0], [1.0, 1.0], [0.5, 0.5], [float("nan"), 1.0], [float("inf"), 0.0], [2.0, -1.0]])
+def test_selectors_must_be_one_hot(spark, bad):
+    one = lambda v: spark.createDataFrame([(v,)], "s array<double>")
+    assert one([0.0, 1.0]).select(rounds.valid_selector(F.col("s")).alias("s")).first().s == [0.0, 1.0]
+    with pytest.raises(Exception, match="one-hot"):
+        one(bad).select(rounds.valid_selector(F.col("s"))).collect()
+    assert one([1.0, 3.0, 3.0]).select(rounds.best_cluster(F.col("s"), 3).alias("c")).first().c == 1
+    for scores in ([1.0, float("nan"), 0.0], [1.0], [1.0, float("inf"), 0.0]):
+        with pytest.raises(Exception, match="finite"):
+            one(scores).select(rounds.best_cluster(F.col("s"), 3)).collect()
+
+
+def test_least_hits_are_the_first_of_all_hits(names):
+    e = minhash.batch_encode(names)
+    asked = minhash.batch_encode(names.select(F.col("id").alias("query_id"), "name"))
+    every = search.hits_linear(asked, e, 0.5, block=4)
+    least = search.hits_linear(asked, e, 0.5, block=4, least=True)
+    first = lambda df: sorted(map(tuple, df.groupBy("query_id").agg(F.min("id")).collect()))
+    assert first(every) == first(least) and least.count() < every.count()
+
+
+def test_columns_are_ranks_whatever_the_cells(spark):
+    rows = [(i * 7 - 300, i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, cluster_id int").repartition(5)
+    got = {(r.cluster_id, r.id): r.column_index for r in index.column_index(df, cell=50).collect()}
+    for c in range(3):
+        assert [got[c, i] for i in sorted(i for i, k in rows if k == c)] == list(range(sum(k == c for _, k in rows)))
+    summary = index.size_summary(index.cluster_sizes(df, 4)).first()
+    assert (summary.least, summary.most, summary["mean"]) == (0, 67, 50.0)
+
+
+def test_error_study_covers_decisions_near_the_threshold():
+    study = cipher.error_study(cipher.backend("plain"), 60)
+    assert study.keys() == {"ct_pt_abs_error", "ct_ct_abs_error", "threshold_failure_rate"}
+    assert all(v["max"] < 1e-12 for v in study.values()) and "no decision turned over" in cipher.study_report(study)
+
+
+def test_steps_and_rows_of_a_demonstration(spark):
+    names = spark.createDataFrame(list(enumerate([right for right, _ in demo.PAIRS] + NAMES)), "id bigint, name string")
+    *events, done = demo.steps(demo.demo_queries(spark), names, 3)
+    assert [e["step"] for e in events] == [1, 2, 3, 4, 5, 6] and {e["party"] for e in events} == {"A", "B"} and events[0]["data"]["records"] == 25
+    assert len(done["rows"]) == 13 and all(list(r) == demo.COLUMNS for r in done["rows"])
+    exact = [r for r in done["rows"] if r["query_index"] in (0, 2, 4, 6, 8)]
+    assert all(r["predicted_match"] and r["matched_name"] == r["query_name"] for r in exact)
+    assert 0 < done["summary"]["accuracy"] <= 1
+    shown = cli.matches(spark.createDataFrame([(True, False)], "expected_label boolean, predicted_match boolean")).first()
+    assert tuple(shown) == ("Y", "N")
+
+
+def test_command_line_and_server(spark, tmp_path, capsys):
+    folder = tmp_path / "ncvr_10k"
+    folder.mkdir()
+    (folder / "ncvr_10k_database.csv").write_text("ncid,full_name\n" + "".join(f"{i},{n}\n" for i, n in enumerate(["JOHN SMITH", "MARY JONES", "HAROLD GRANT ABBOTT"])))
+    (folder / "ncvr_10k_queries.csv").write_text("query_ncid,query_name,label\nA,JOHN SMITH,true\nB,NOBODY HERE,false\n")
+    data = ["--data-path", str(tmp_path)]
+    assert cli.main(["evaluate", *data, "--k", "1", "--output-dir", str(tmp_path / "e")], spark) == 0
+    assert json.loads((tmp_path / "e" / "ncvr_10k_result.json").read_text())["metrics"]["accuracy"] == 1.0
+    assert cli.main(["demo", *data, "--k", "1", "--query-indices", "0,1", "--output-dir", str(tmp_path / "d")], spark) == 0
+    saved = json.loads((tmp_path / "d" / "demo.json").read_text())
+    assert [r["predicted_match"] for r in saved["rows"]] == [True, False] and (tmp_path / "d" / "demo.csv").read_text().startswith("query_index,query_name")
+    assert cli.main(["card", *data], spark) == 0
+    card = json.loads(capsys.readouterr().out.split("demo.csv")[-1])
+    assert (card["total_records_b"], card["positive_queries"], card["sample_queries_a"][1]["name"]) == (3, 1, "NOBODY HERE")
+    served = cli.server(spark, cli.parser().parse_args(["serve", *data, "--port", "0"]))
+    threading.Thread(target=served.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{served.server_port}"
+        assert json.loads(urllib.request.urlopen(f"{at}/api/dataset-info", timeout=120).read()) == card
+        body = json.dumps({"query_mode": "text", "query": "JOHN SMITH", "k": 1}).encode()
+        stream = urllib.request.urlopen(urllib.request.Request(f"{at}/api/run", body), timeout=120).read().decode()
+        assert [x.split("\n")[0] for x in stream.split("\n\n") if x] == ["event: step_complete"] * 6 + ["event: complete"]
+        assert json.loads(stream.split("data: ")[-1])["rows"][0]["matched_name"] == "JOHN SMITH"
+    finally:
+        served.shutdown()
