@@ -44,10 +44,8 @@ def _minhash(s: pd.Series) -> pd.Series:
     """Signatures of names; null stays null."""
     known = s.notna()
     clean = s[known].map(lambda x: re.sub(f"[{SPACE}]+", " ", re.sub(f"[^a-z{SPACE}]", "", unicodedata.normalize("NFKC", x).lower())).strip(" "))
-    out = pd.Series([None] * len(s), index=s.index, dtype=object)
-    if len(clean):
-        out[known] = list(signatures_of(pa.array(clean, pa.string()))[:, :EL_MATCH])
-    return out
+    found = iter(signatures_of(pa.array(clean, pa.string()))[:, :EL_MATCH]) if len(clean) else iter(())
+    return pd.Series([next(found) if x else None for x in known], dtype=object)
 
 
 def register(spark: SparkSession) -> None:
