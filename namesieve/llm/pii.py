@@ -13,10 +13,11 @@ label join.
 
 All weights are trained here, on whole documents.  Labels to learn from are the
 patterns' spans, and values assigned to a name such as `token` or `password`,
-wherever these stand in the document.
+wherever these stand in the document; a candidate without a label that repeats or
+resembles one with a label teaches nothing, as it may be a form that was missed.
 Label pairs on the chain and skip edges are counted over the whole table, in a
 distributed sum; their potentials are the log odds of these counts against
-independent labels, so edges that teach nothing weigh nothing.  Potentials of
+independent labels of all candidates, so edges that teach nothing weigh nothing.  Potentials of
 nodes are a multinomial logistic regression on shapes and neighbouring words,
 fitted on about `sample_nodes` candidates drawn by a hash of their document and
 place.  Skip links of a repeated token go to its first and its previous
@@ -44,7 +45,7 @@ from ._spark import careful, frugal, tidy
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["O", *KINDS]
 PATTERNS = 4
-SAMPLE_NODES, SURE, BUCKETS, ROUNDS, FEATURES = 100_000, 0.95, 2048, 12, 9
+SAMPLE_NODES, SURE, BUCKETS, ROUNDS, FEATURES = 100_000, 0.8, 2048, 12, 9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,17 +163,29 @@ class Candidates:
         self.seen = np.array(self.seen, np.int64)
 
 
-def pair_counts(labels: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """How often each pair of labels stands on an edge."""
-    n = len(LABELS)
+def teaching(c: Candidates) -> np.ndarray:
+    """Which candidates teach: all but those without a label that repeat or resemble one with a label, as they may be missed forms of it."""
+    out = np.ones(len(c.seen), bool)
+    for a, b in ((0, 1), (1, 0)):
+        out[c.skip[c.seen[c.skip[:, b]] > 0, a]] = False
+    return out | (c.seen > 0)
+
+
+def pair_counts(c: Candidates, edges: np.ndarray) -> np.ndarray:
+    """How often each pair of labels stands on an edge between candidates that teach."""
+    n, labels, good = len(LABELS), c.seen, teaching(c)
+    edges = edges[good[edges[:, 0]] & good[edges[:, 1]]]
     return np.bincount(labels[edges[:, 0]] * n + labels[edges[:, 1]], minlength=n * n).reshape(n, n).astype(np.int64)
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Log odds of label pairs against independent labels, symmetric and smoothed."""
-    both = counts + counts.T + 1.0
-    one = both.sum(1)
-    return np.clip(np.log(both / both.sum()) - np.log(np.outer(one, one) / both.sum() ** 2), -4, 4)
+def log_odds(counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log odds of label pairs on edges against independent labels of all candidates, symmetric; labels: how often each occurs.
+
+    Ten pairs of independent labels are counted beforehand, so edges that were never seen weigh nothing.
+    """
+    one = (labels + 0.5) / (labels + 0.5).sum()
+    both = counts + counts.T + 10 * np.outer(one, one)
+    return np.clip(np.log(both / both.sum()) - np.log(np.outer(one, one)), -4, 4)
 
 
 def _node_weights(features: np.ndarray, labels: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +209,16 @@ def _node_weights(features: np.ndarray, labels: np.ndarray, rounds: int = 200) -
     return weights, bias
 
 
-def _model(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> dict[str, np.ndarray]:
+def _model(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, nodes: np.ndarray) -> dict[str, np.ndarray]:
     weights, bias = _node_weights(features, labels)
-    return {"weights": weights, "bias": bias, "chain": log_odds(chain), "skip": log_odds(skip)}
+    return {"weights": weights, "bias": bias, "chain": log_odds(chain, nodes), "skip": log_odds(skip, nodes)}
 
 
 def train(texts: list[str]) -> dict[str, np.ndarray]:
     """Weights from these texts alone."""
     c = Candidates(texts, [taught_spans(t) for t in texts])
-    return _model(c.features, c.seen, pair_counts(c.seen, c.chain), pair_counts(c.seen, c.skip))
+    good = teaching(c)
+    return _model(c.features[good], c.seen[good], pair_counts(c, c.chain), pair_counts(c, c.skip), np.bincount(c.seen[good], minlength=len(LABELS)))
 
 
 def marginals(c: Candidates, model: dict[str, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
@@ -250,7 +264,7 @@ def added_spans(texts: list[str], known: list[list[tuple[int, int, int]]], model
 
 
 def fit(docs: DataFrame, sample_nodes: int = SAMPLE_NODES, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """Train the field on whole documents; what comes to the driver is two sums of label pairs and about `sample_nodes` candidates."""
+    """Train the field on whole documents; what comes to the driver is sums of labels and label pairs and about `sample_nodes` candidates."""
     careful(docs.sparkSession)
     some = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
 
@@ -263,28 +277,29 @@ def fit(docs: DataFrame, sample_nodes: int = SAMPLE_NODES, id_col: str = "doc_id
 
     def count(batches):
         chain = skip = np.zeros((len(LABELS), len(LABELS)), np.int64)
-        nodes = 0
+        nodes = np.zeros(len(LABELS), np.int64)
         for _, c in graphs(batches):
-            chain, skip, nodes = chain + pair_counts(c.seen, c.chain), skip + pair_counts(c.seen, c.skip), nodes + len(c.seen)
-        values = np.concatenate((chain.ravel(), skip.ravel(), [nodes]))
+            chain, skip, nodes = chain + pair_counts(c, c.chain), skip + pair_counts(c, c.skip), nodes + np.bincount(c.seen[teaching(c)], minlength=len(LABELS))
+        values = np.concatenate((chain.ravel(), skip.ravel(), nodes))
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values), dtype=np.int32)), "n": pa.array(values)})
 
     sums = {r.at: r.n for r in some.mapInArrow(frugal(count), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     cells = len(LABELS) ** 2
     chain, skip = (np.array([sums.get(a + i, 0) for i in range(cells)]).reshape(len(LABELS), -1) for a in (0, cells))
-    limit = int(min(1.0, sample_nodes / max(sums.get(2 * cells, 0), 1)) * 2**32)
+    nodes = np.array([sums.get(2 * cells + i, 0) for i in range(len(LABELS))])
+    limit = int(min(1.0, sample_nodes / max(nodes.sum(), 1)) * 2**32)
 
     def draw(batches):
         for ids, c in graphs(batches):
             place = np.array([ids[d] or 0 for d in c.doc], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(c.start, np.uint64)
             place ^= place >> np.uint64(29)
-            keep = np.flatnonzero((place * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) < np.uint64(limit))
+            keep = np.flatnonzero(teaching(c) & ((place * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) < np.uint64(limit)))
             yield pa.RecordBatch.from_pydict({"f": pa.array([c.features[i].tolist() for i in keep], pa.list_(pa.int32())), "y": pa.array(c.seen[keep].astype(np.int32))})
 
     drawn = some.mapInArrow(frugal(draw), "f array<int>, y int").groupBy("f", "y").agg(F.count("*").alias("n"))
     rows = sorted((r.f, r.y, r.n) for r in drawn.collect())  # sample_nodes rows at most, in one order whatever the partitions
     features = np.array([f for f, _, n in rows for _ in range(n)], np.int64).reshape(-1, FEATURES)
-    return _model(features, np.array([y for _, y, n in rows for _ in range(n)], np.int64), chain, skip)
+    return _model(features, np.array([y for _, y, n in rows for _ in range(n)], np.int64), chain, skip, nodes)
 
 
 _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long"
