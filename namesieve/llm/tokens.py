@@ -13,15 +13,19 @@ nothing is cut, which costs time and no correctness.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._spark import tidy
 from ._text import buffers, slices
 
-CACHE = 400_000
+CACHE = 100_000
+#: Bytes of text encoded at once.
+BLOCK = 1 << 20
 #: Classes of bytes: other, letter, punctuation, digit, blank or line feed.
 _X, _L, _P, _N, _W = range(5)
 _CLASS = np.zeros(256, np.uint8)
@@ -51,6 +55,7 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         spec = json.loads(self.tokenizer.to_str())
@@ -156,12 +161,13 @@ class Encoder:
         """For blocks of rows: first row, ids with the end id after each row, row offsets."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        for a, b in slices(column):
+        for a, b in slices(column, BLOCK):
             ids, rows = self.encode(column.slice(a, b - a))
             if end_id is not None:
                 ids = np.insert(ids, rows[1:], np.uint32(end_id))
                 rows = rows + np.arange(len(rows))
             yield a, ids, rows
+        tidy(keep_encoder=True)
 
 
 @lru_cache(maxsize=1)
