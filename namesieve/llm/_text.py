@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 _M64 = (1 << 64) - 1
 
 

@@ -64,19 +64,18 @@ class Sets:
         at = np.flatnonzero(new)
         self.hash, self.times = every[at], np.diff(np.append(at, len(every)))
         self.rows = np.searchsorted(at, rows)
-        self.words = w
+        self.word, self.word_rows = w.hash, w.rows  # bytes and places of words are not held
 
     def keys(self) -> np.ndarray:
         """Two 64-bit hashes of each row's sequence of words."""
-        w = self.words
-        out = np.zeros((len(w.rows) - 1, 2), np.int64)
-        full = np.flatnonzero(np.diff(w.rows))
+        out = np.zeros((len(self.word_rows) - 1, 2), np.int64)
+        full = np.flatnonzero(np.diff(self.word_rows))
         if len(full):
-            place = np.arange(len(w.hash)) - np.repeat(w.rows[:-1], np.diff(w.rows))
+            place = np.arange(len(self.word)) - np.repeat(self.word_rows[:-1], np.diff(self.word_rows))
             for k in (0, 1):
                 # a seed for each place keeps the order of words, and the mixing makes the sum one of independent values
-                term = mix(w.hash + mix(place.astype(np.uint64) + np.uint64((k + 1) << 40)))
-                out[full, k] = np.add.reduceat(term, w.rows[:-1][full]).view(np.int64)
+                term = mix(self.word + mix(place.astype(np.uint64) + np.uint64((k + 1) << 40)))
+                out[full, k] = np.add.reduceat(term, self.word_rows[:-1][full]).view(np.int64)
         return out
 
 
