@@ -14,10 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ._spark import slots
 
 CHUNK_CHARS, BUCKET_ITEMS, CELL = 8 << 20, 4_000_000, 200
 CELLS = "bucket int, chunk int, width int, h binary, n binary, large binary"
 SHARED = "chunk int, bucket int, size long, back binary, total binary, large binary"
+#: Partitions of a shuffle at most (or spark.sql.shuffle.partitions, if that is more), so that its blocks stay countable; a task then takes several groups, one by one.
+PARTITIONS = 10_000
 _DOWN = np.uint64(8)
 
 
@@ -30,6 +35,12 @@ def grid(chars: int, items: int, chunk_chars: int = CHUNK_CHARS, bucket_items: i
     return chunks, buckets
 
 
+def apart(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df dealt by a column of n values; where these are more than spark.sql.shuffle.partitions, over as many partitions, so that what a task reads does not grow with the corpus."""
+    least = slots(df.sparkSession)
+    return df.repartition(min(n, max(PARTITIONS, least)), column) if n > least else df
+
+
 def short(h: np.ndarray) -> np.ndarray:
     """The upper 56 bits, which counts go by."""
     return h >> _DOWN

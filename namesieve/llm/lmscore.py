@@ -109,6 +109,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chu
             sums[full] = np.add.reduceat(np.log(_scores(grams, others, rest, backoff)), grams.rows[:-1][full])
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(size), "score": pa.array(sums / np.maximum(size, 1), mask=~full)})
 
+    dealt = _counts.apart(dealt, "chunk", chunks)
     counted = dealt.groupBy("chunk").applyInArrow(count, _counts.CELLS)
-    shared = counted.groupBy("bucket").applyInArrow(_counts.add, _counts.SHARED)
+    shared = _counts.apart(counted, "bucket", buckets).groupBy("bucket").applyInArrow(_counts.add, _counts.SHARED)
     return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, score double")

@@ -183,8 +183,9 @@ def _marks(base: DataFrame, n_docs: int, chars: int, shingle: int, bands: int, r
         kinds = {"k1": pa.int64(), "k2": pa.int64(), "bands": pa.list_(pa.int64()), "codes": pa.binary()}
         return pa.table({"key": table["key"].cast(pa.int64())} | {c: pa.chunked_array(x, kinds[c]) for c, x in out.items()})
 
+    dealt = _counts.apart(dealt, "chunk", chunks)
     counted = dealt.groupBy("chunk").applyInArrow(count, _counts.CELLS)
-    shared = counted.groupBy("bucket").applyInArrow(_counts.add, _counts.SHARED)
+    shared = _counts.apart(counted, "bucket", buckets).groupBy("bucket").applyInArrow(_counts.add, _counts.SHARED)
     return dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(mark, "key long, k1 long, k2 long, bands array<long>, codes binary")
 
 
