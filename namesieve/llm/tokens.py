@@ -20,12 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._spark import tidy
 from ._text import buffers, slices
 
-CACHE = 100_000
+CACHE = 400_000
 #: Bytes of text encoded at once.
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 #: Classes of bytes: other, letter, punctuation, digit, blank or line feed.
 _X, _L, _P, _N, _W = range(5)
 _CLASS = np.zeros(256, np.uint8)
@@ -167,7 +166,6 @@ class Encoder:
                 ids = np.insert(ids, rows[1:], np.uint32(end_id))
                 rows = rows + np.arange(len(rows))
             yield a, ids, rows
-        tidy(keep_encoder=True)
 
 
 @lru_cache(maxsize=1)
