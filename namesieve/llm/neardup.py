@@ -12,12 +12,17 @@ shingle, and takes the shingle of least ln c - r (floor(ln w / r + b) - b + 1),
 with ln w rounded to steps of 0.05.  `bands` x `rows` samples are banded: at 0.8
 a pair shares a band with probability 0.9998.
 
-Candidates are verified by exact weighted Jaccard similarity on the whole
-texts.  Texts with equal words are one class from the start.  A bucket links
+In a large group of copies the shingles that its members share are frequent just
+because of the group, and an edit, which no other document has, outweighs them
+the more the larger the corpus is.  So a pair is similar too if its plain sets of
+shingles are: as many bands come from plain MinHash samples.
+
+Candidates are verified by exact Jaccard similarity on the whole texts, the
+larger one of the weighted and the plain.  Texts with equal words are one class from the start.  A bucket links
 its members to its least one, which keeps candidates linear; members that are
 then still in other classes meet a second leader; what then remains of buckets
 that hold several classes is compared block by block: those outside a bucket's
-largest class with all, a product of matrices bounding the similarity of all
+largest class with all, products of matrices bounding the similarities of all
 pairs of two blocks from above; only pairs across classes that may reach the
 threshold leave it and are verified.  A large bucket is spread over many blocks,
 no pair across classes is missed, and none within one is compared again.
@@ -136,6 +141,14 @@ class Sampler:
         return out
 
 
+def plain_samples(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """(size, sets): MinHash samples of the sets, whatever their weights."""
+    out = np.empty((size, len(starts)), np.uint64)
+    for k, factor in enumerate(stream(28, size) | np.uint64(1)):
+        np.minimum.reduceat(hashes * factor, starts, out=out[k])
+    return out
+
+
 @cache
 def sampler(size: int) -> Sampler:
     """The sampler of this process, whose tables do not depend on the data."""
@@ -143,7 +156,7 @@ def sampler(size: int) -> Sampler:
 
 
 def _marks(base: DataFrame, n_docs: int, chars: int, shingle: int, bands: int, rows: int, chunk_chars: int, bucket_items: int) -> DataFrame:
-    """key, k1, k2, bands, codes of each document; bands is empty for one without words."""
+    """key, k1, k2, bands, codes of each document; bands: those of weighted samples, then those of plain ones, none for a document without words."""
     chunks, buckets = _counts.grid(chars, chars // 6, chunk_chars, bucket_items)
     dealt = base.select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
 
@@ -169,12 +182,13 @@ def _marks(base: DataFrame, n_docs: int, chars: int, shingle: int, bands: int, r
             for sets in held:
                 mine = codes[np.searchsorted(h, _counts.short(sets.hash))]
                 keys, full = sets.keys(), np.flatnonzero(np.diff(sets.rows))
-                band = np.zeros((len(sets.rows) - 1, bands), np.int64)
+                band = np.zeros((len(sets.rows) - 1, 2 * bands), np.int64)
                 if len(full):
-                    got = draw.sample(sets.hash, weights(sets.times, mine, n_docs), sets.rows[:-1][full]).reshape(bands, rows, -1)
-                    band[full] = mix((mix(got) * mixer[:, None]).sum(1)).view(np.int64).T
+                    starts = sets.rows[:-1][full]
+                    got = np.concatenate((draw.sample(sets.hash, weights(sets.times, mine, n_docs), starts), plain_samples(sets.hash, starts, bands * rows)))
+                    band[full] = mix((mix(got.reshape(2 * bands, rows, -1)) * mixer[:, None]).sum(1)).view(np.int64).T
                 size = np.zeros(len(band), np.int64)
-                size[full] = bands
+                size[full] = 2 * bands
                 out["k1"].append(pa.array(keys[:, 0]))
                 out["k2"].append(pa.array(keys[:, 1]))
                 out["bands"].append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(band[full].ravel())))
@@ -195,7 +209,7 @@ def _weighted(text: pa.Array, codes: pa.Array, n_docs: int, shingle: int) -> tup
 
 
 def similarities(a: tuple[pa.Array, pa.Array], b: tuple[pa.Array, pa.Array], n_docs: int, shingle: int = SHINGLE) -> np.ndarray:
-    """Weighted Jaccard similarity of each text of a with that of b; each side: texts and codes."""
+    """Jaccard similarity of each text of a with that of b, weighted or plain, whichever is larger; each side: texts and codes."""
     (x, wx), (y, wy) = _weighted(*a, n_docs, shingle), _weighted(*b, n_docs, shingle)
     out = np.zeros(len(a[0]))
     for i in range(len(out)):
@@ -205,7 +219,8 @@ def similarities(a: tuple[pa.Array, pa.Array], b: tuple[pa.Array, pa.Array], n_d
         if q.stop > q.start and p.stop > p.start:
             common = y.hash[q][at] == x.hash[p]
             least = np.minimum(wx[p], wy[q][at])[common].sum()
-            out[i] = least / (wx[p].sum() + wy[q].sum() - least)
+            both = np.count_nonzero(common)
+            out[i] = max(least / (wx[p].sum() + wy[q].sum() - least), both / (len(at) + q.stop - q.start - both))
     return out
 
 
@@ -241,15 +256,17 @@ def _close_pairs(left: DataFrame, texts: DataFrame, n_docs: int, threshold: floa
         every, where, times = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
         w = np.concatenate([np.frombuffer(x, "<f4") for x in table["w"].to_pylist()])
         row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        total = np.bincount(row, w, len(ids))
+        total, size = np.bincount(row, w, len(ids)), np.array([len(x) for x in ids])
         column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[where]
-        common = np.zeros((len(one), len(two)))
+        common, both = np.zeros((2, len(one), len(two)))
         for c in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
             some = (column >= c) & (column < c + COLUMNS)
             m = np.zeros((len(ids), COLUMNS), np.float32)
             np.add.at(m, (row[some], column[some] - c), np.sqrt(w[some]))
             common += m[one] @ m[two].T
-        most = common / np.maximum(total[one][:, None] + total[two] - common, 1e-9)
+            m = (m > 0).astype(np.float32)
+            both += m[one] @ m[two].T
+        most = np.maximum(common / np.maximum(total[one][:, None] + total[two] - common, 1e-9), both / np.maximum(size[one][:, None] + size[two] - both, 1e-9))
         x, y = np.nonzero((most >= threshold - 1e-3) & (comp[one][:, None] != comp[two]))
         a, b = docs[one[x]], docs[two[y]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})

@@ -289,6 +289,32 @@ def test_large_bucket_of_many_classes_loses_no_link(spark, monkeypatch):
                 assert got[i] == got[j]
 
 
+@pytest.mark.parametrize("stars", [1, 2])
+def test_near_copies_in_a_large_group_are_found(spark, monkeypatch, stars):
+    """Edits of a frequent text outweigh what it shares with its copies; plain likeness links them, from leaders and in blocks."""
+    monkeypatch.setattr(neardup, "STARS", stars)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rnd = random.Random(31)
+    base = prose(rnd, 104).split()
+    rows = [(1000 + i, prose(rnd, 60)) for i in range(300)]
+    for i in range(30):  # 90 of 110 shingles are common to an edited copy and the text, far fewer to two edited copies
+        w = list(base)
+        w[10 + i], w[60 + i] = f"e{i}x", f"e{i}y"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base)) for i in range(50)]
+    texts = [pa.array([" ".join(base)]), pa.array([rows[300][1]])]
+    codes = []
+    for t in texts:
+        df = collections.Counter(h for _, x in rows for h in neardup.Sets(pa.array([x])).hash.tolist())
+        codes.append(pa.array([neardup.code(np.array([df[h] for h in neardup.Sets(t).hash.tolist()])).tobytes()], pa.binary()))
+    (x, wx), (y, wy) = (neardup._weighted(t, c, len(rows), 5) for t, c in zip(texts, codes, strict=True))
+    low = wx[np.isin(x.hash, y.hash)].sum()
+    assert low / (wx.sum() + wy.sum() - low) < 0.75  # by weights alone they are not near
+    assert neardup.similarities(*zip(texts, codes, strict=True), len(rows))[0] == pytest.approx(90 / 110)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i if i >= 1000 else 0 for i, _ in rows}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 4), (20, 20)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
