@@ -92,6 +92,19 @@ def identified(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]
     return written(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows joined with values, which has each key once; no null keys.  rows is read three times, so it should be a written table.
+
+    A key with over a thousandth of the rows, of which there are fewer than a
+    thousand, is joined by broadcast; all others are shuffled, so that no task
+    gets more than a thousandth for any key.
+    """
+    size = rows.count()
+    hot = written(rows.groupBy(key).count().where(F.col("count") * 1000 > size).select(key).join(values, key), 1)
+    often = rows.join(F.broadcast(hot), key)
+    return often.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of the links (a, b); comp is the least node that a chain of links reaches.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, lmscore, neardup, packing, pii, repeats, tokenbin, urlrules
+from . import decontam, filteraudit, fingerprint, langid, lmscore, manifest, neardup, packing, pii, repeats, simhash, tokenbin, urlrules
 
 #: SQL's name for a run of word characters: everything but ASCII signs and white space, Latin-1 signs and general punctuation.
 SQL_WORD = r"[^\x00-/:-@\[-`{-\x7f\x{80}-\x{bf}\x{2000}-\x{207f}\x{3000}-\x{303f}]+"
@@ -13,6 +15,7 @@ SQL_WORD = r"[^\x00-/:-@\[-`{-\x7f\x{80}-\x{bf}\x{2000}-\x{207f}\x{3000}-\x{303f
 SQL_SIGN = SQL_WORD.replace("[^", "[", 1).removesuffix("+") + "*"
 #: Words from which on a removed span counts as a passage.
 PASSAGE = 50
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +76,87 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_langid, op3_packing, op4_tokenbin, op5_lmscore, op6_fingerprint, op7_decontam, op8_repeats, op9_urlrules, op10_pii)}
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.flagged(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    built = manifest.build(_documents(spark, sf_dir), MANIFEST_FIELDS, changed={"text": F.translate("text", ascii_uppercase, ascii_lowercase)}, where=chosen)
+    return manifest.prove(built).withColumn("proof", F.sha2("proof", 256)).withColumnRenamed("proof", "proof_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_langid, op3_packing, op4_tokenbin, op5_lmscore, op6_fingerprint, op7_decontam, op8_repeats, op9_urlrules, op10_pii, op11_filteraudit, op12_simhash, op13_manifest)}
+
+
+
+def _sql_node(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_sql_node(f) for f in [*MANIFEST_FIELDS[:-1], text])})"
+
+
+def _sql_tree(name: str, group: str, levels: int) -> str:
+    """Levels of a tree over table {name}0 (group, pos, digest, n): {name}1 and so on; a group of one node is done."""
+    each = (f"{name}{k + 1} AS (SELECT {group}, pos // 16 AS pos, string_agg(digest, '' ORDER BY pos) AS t, sha256(string_agg(digest, '' ORDER BY pos)) AS digest, (n + 15) // 16 AS n FROM {name}{k} WHERE n > 1 GROUP BY ALL)" for k in range(levels))
+    return ", ".join(each)
+
+
+def _sql_fold(name: str, on: str, levels: int, pos: str, fold: str) -> tuple[str, str, str]:
+    """Joins, siblings and recomputed digest on the way up such a tree."""
+    joins, pieces = [], []
+    for k in range(1, levels + 1):
+        at = f"64 * (({pos} // {16 ** (k - 1)}) % 16)"
+        before, behind = f"substr({name}{k}.t, 1, {at})", f"substr({name}{k}.t, {at} + 65)"
+        joins.append(f"LEFT JOIN {name}{k} ON {on.format(f'{name}{k}')} AND {name}{k}.pos = {pos} // {16**k}")
+        pieces.append(f"coalesce({before} || {behind}, '')")
+        fold = f"CASE WHEN {name}{k}.t IS NULL THEN {fold} ELSE sha256({before} || {fold} || {behind}) END"
+    return " ".join(joins), " || ".join(pieces), fold
+
+
+def _sql_manifest(levels: int = 6, tops: int = 4) -> str:
+    """For groups of up to 16^levels rows, and 16^tops groups."""
+    low = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    crc = "list_reduce(list_transform(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])), lambda x: x::BIGINT), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295)"
+    up, inner, fold = _sql_fold("s", "{0}.g = l.g", levels, "l.pos", "l.changed")
+    up2, outer, fold2 = _sql_fold("r", "true", tops, "r0.pos", "f.fold")
+    found = lambda name, n: " UNION ALL ".join(f"SELECT * FROM (SELECT {'g, ' if name == 's' else ''}digest FROM {name}{k} WHERE n = 1)" for k in range(n + 1))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '-') AS g, {_sql_leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {_sql_leaf(low)} END AS other FROM documents),
+l AS MATERIALIZED (SELECT *, coalesce(other, leaf) AS changed, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+s0 AS (SELECT g, pos, leaf AS digest, n FROM l), {_sql_tree('s', 'g', levels)},
+sub AS ({found('s', levels)}),
+r0 AS MATERIALIZED (SELECT 1 AS one, g, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM sub), {_sql_tree('r', 'one', tops)},
+root AS ({found('r', tops)}),
+f AS (SELECT l.doc_id, l.leaf, l.g, {inner} AS inner_proof, {fold} AS fold FROM l {up}),
+o AS (SELECT f.doc_id, f.leaf, r0.digest AS subroot, f.inner_proof || {outer} AS proof, {fold2} AS folded_root FROM f JOIN r0 USING (g) {up2})
+SELECT doc_id, leaf, subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = root.digest AS verified FROM o CROSS JOIN root
+"""
+
 
 ORACLES = {
+    "op11_filteraudit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY text) AS copy FROM d),
+m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+flags AS (SELECT part, ['A', 'B', 'C', 'D', 'E'] AS letters, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(copy, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN m USING (doc_id)),
+f AS (SELECT part, good, toxic, list_filter(letters, lambda x, i: fails[i]) AS failing FROM flags),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+first AS (SELECT f.*, filter_order, coalesce(list_min(list_transform(failing, lambda x: strpos(filter_order, x))), 6) AS gone FROM f CROSS JOIN o),
+c AS (SELECT part, filter_order, step::INT AS step, substr(filter_order, step, 1) AS letter, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+      count(*) FILTER (list_contains(failing, substr(filter_order, step, 1)) AND gone < step) AS redundant, count(*) FILTER (failing = [substr(filter_order, step, 1)]) AS unique_fails,
+      count(*) FILTER (gone = step AND good) AS good_lost, count(*) FILTER (gone = step AND toxic) AS toxic_lost
+      FROM first, unnest([1, 2, 3, 4, 5]) AS steps(step) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c
+""",
+    "op13_manifest": _sql_manifest(),
     "op5_lmscore": rf"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{SQL_WORD}')) AS w, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '{SQL_WORD}'), 1) AS i FROM documents),
 p AS (SELECT doc_id, i, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
