@@ -46,7 +46,7 @@ def column_index(assigned: DataFrame, id_col: str = "id", cell: int = 1 << 16) -
     base = sizes.select("cluster_id", "_cell", (F.sum("_n").over(order) - F.col("_n")).alias("_base"))
     within = F.row_number().over(Window.partitionBy("cluster_id", "_cell").orderBy(id_col)) - 1
     ranked = dealt.withColumn("_within", within).join(base, ["cluster_id", "_cell"])
-    return ranked.select(*assigned.columns, (F.col("_base") + F.col("_within")).cast("int").alias("column_index"))
+    return ranked.select(*assigned.columns, (F.col("_base") + F.col("_within")).alias("column_index"))
 
 
 def cluster_sizes(assigned: DataFrame, k: int) -> DataFrame:

@@ -4,6 +4,13 @@ A round is one scan: each batch multiplies its rows with the centroids, and
 sends a sum and a count for each cluster it met, and its farthest row.  Sums are
 added by cluster and dimension with partial aggregates, so a hot cluster costs
 each task one row a dimension.
+
+Few rows change their cluster in later rounds.  A written table keeps each
+row's cluster and its angle to the second nearest centroid; angles are a metric,
+so a row stays where it is, and is multiplied with its own centroid alone, while
+its angle to that is less than this bound less the furthest that any centroid
+has moved since.  The table is written anew when it has lost its force.
+Centroids are those of multiplying everything.
 """
 
 from __future__ import annotations
@@ -14,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.minhash import matrix
-from ..params import KMEANS_ROUNDS, KMEANS_SHIFT, NEAR_ZERO, SEED, seed_positions
+from ..params import KMEANS_ROUNDS, KMEANS_SHIFT, NEAR_ZERO, PARITY_ROWS, SEED, seed_positions
+from ..sources.tables import bottom_k, written
 
 #: Centroids are held by the driver and every task: 640 MB at this many, which the default choice reaches at 160 billion names.
 MOST_CLUSTERS = 400_000
 _BLOCK = 4096
+#: Radians by which bounds are loosened: far above what rounding cosines to 12 decimals can make of an angle.
+_LOOSE = 1e-5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -28,56 +38,110 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cluster of greatest cosine for each row, the lowest of equal ones, and that cosine."""
+    return _two_nearest(x, centroids)[:2]
+
+
+def _two_nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As nearest, and the greatest cosine with any other cluster (-1 if there is none)."""
     x = _unit(x)
-    best, top = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+    best, top, second = np.zeros(len(x), np.int64), np.full(len(x), -np.inf), np.full(len(x), -1.0)
     for a in range(0, len(centroids), _BLOCK):  # a bounded product at a time
         sims = np.round(x @ _unit(centroids[a : a + _BLOCK]).T, 12)  # else rounding errors choose among equal centroids
-        at = sims.argmax(1)
-        value = sims[np.arange(len(x)), at]
+        at, rows = sims.argmax(1), np.arange(len(x))
+        value = sims[rows, at]
+        sims[rows, at] = -1.0
+        second = np.maximum(second, np.where(value > top, np.maximum(top, sims.max(1)), value))
         better = value > top
         best[better], top[better] = at[better] + a, value[better]
-    return best, top
+    return best, top, np.maximum(second, -1.0)
 
 
-def lloyd_round(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_col: str = "id") -> np.ndarray:
-    """The next centroids; every cluster that is left empty takes the farthest row, near-zero means keep the old centroid."""
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def _round(points: DataFrame, centroids: np.ndarray, vector: str, id_col: str, moved: float | None = None) -> tuple[np.ndarray, int]:
+    """The next centroids and the number of products; moved: points have own and bound, and no centroid has moved further since."""
     k, width = centroids.shape
+    kept = [] if moved is None else ["own", "bound"]
 
     def run(batches):
         for batch in batches:
             x = matrix(batch.column(1), width)
             if not len(x):
                 continue
-            best, sims = nearest(x, centroids)
-            some = np.unique(best)
-            sums = [x[best == c].sum(0) for c in some]
+            if moved is None:
+                best, sims = nearest(x, centroids)
+                products = len(x) * k
+            else:
+                best = batch.column(2).to_numpy().astype(np.int64)
+                sims = np.round(np.einsum("ij,ij->i", _unit(x), _unit(centroids[best])), 12)
+                loose = np.flatnonzero(_angle(sims) + _LOOSE >= batch.column(3).to_numpy() - moved)
+                best[loose], sims[loose] = nearest(x[loose], centroids)
+                products = len(x) + len(loose) * k
+            order = np.argsort(best, kind="stable")
+            some, starts = np.unique(best[order], return_index=True)
+            sums = np.add.reduceat(x[order], starts, axis=0)
             ids = batch.column(0).to_numpy()
             far = np.lexsort((ids, sims))[0]
             yield pa.RecordBatch.from_pydict({
-                "cluster_id": pa.array(np.append(some, -1).astype(np.int32)),
-                "n": pa.array(np.append(np.bincount(best, minlength=k)[some], 1)),
-                "sim": pa.array(np.append(np.zeros(len(some)), sims[far])),
-                "id": pa.array(np.append(np.full(len(some), ids[0]), ids[far])),
-                "v": pa.array([*sums, x[far]], pa.list_(pa.float64())),
+                "cluster_id": pa.array(np.append(some, (-1, -2)).astype(np.int32)),
+                "n": pa.array(np.append(np.bincount(best, minlength=k)[some], (1, products))),
+                "sim": pa.array(np.append(np.zeros(len(some)), (sims[far], 0.0))),
+                "id": pa.array(np.append(np.full(len(some), ids[0]), (ids[far], 0))),
+                "v": pa.array([*sums, x[far], x[far]], pa.list_(pa.float64())),
             })
 
-    parts = points.select(id_col, vector).mapInArrow(run, "cluster_id int, n bigint, sim double, id bigint, v array<double>")
-    sums = parts.where("cluster_id >= 0").select("cluster_id", "n", F.posexplode("v").alias("dim", "x")).groupBy("cluster_id", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    parts = points.select(id_col, vector, *kept).mapInArrow(run, "cluster_id int, n bigint, sim double, id bigint, v array<double>")
+    sums = parts.where("cluster_id <> -1").select("cluster_id", "n", F.posexplode("v").alias("dim", "x")).groupBy("cluster_id", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     rows = sums.groupBy("cluster_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).collect()  # k rows
     found = {r.cluster_id: np.array([x.x for x in r.v]) / r.n for r in rows}
+    products = next((r.n for r in rows if r.cluster_id == -2), 0)
+    found.pop(-2, None)
     if len(found) < k:  # the farthest row, which empty clusters take
-        far = parts.where("cluster_id < 0").agg(F.min_by("v", F.struct("sim", "id")).alias("v")).first()
+        far = parts.where("cluster_id = -1").agg(F.min_by("v", F.struct("sim", "id")).alias("v")).first()
         found[-1] = np.array(far.v)
     out = np.empty_like(centroids)
     for c in range(k):
         v = found[c] if c in found else found[-1]
         norm = np.linalg.norm(v)
         out[c] = centroids[c] if norm < NEAR_ZERO else v / norm
-    return out
+    return out, products
+
+
+def lloyd_round(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_col: str = "id") -> np.ndarray:
+    """The next centroids; every cluster that is left empty takes the farthest row, near-zero means keep the old centroid."""
+    return _round(points, centroids, vector, id_col)[0]
+
+
+def bounded(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_col: str = "id") -> DataFrame:
+    """A written table of the points with own, their cluster, and bound, the angle to the second nearest centroid."""
+    width = centroids.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            best, _, second = _two_nearest(matrix(batch.column(1), width), centroids)
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), vector: batch.column(1), "own": pa.array(best.astype(np.int32)), "bound": pa.array(_angle(second))})
+
+    base = points.select(F.col(id_col).cast("bigint"), vector)
+    return written(base.mapInArrow(run, f"{id_col} bigint, {vector} array<double>, own int, bound double"))
+
+
+def seeds(points: DataFrame, n: int, k: int, seed: int = SEED, vector: str = "z", id_col: str = "id") -> np.ndarray:
+    """The k rows that seed the clusters: drawn positions where ids are the positions 0..n-1 and n is at most PARITY_ROWS; else those of least keyed hash."""
+    if n <= PARITY_ROWS:
+        where = seed_positions(n, k, seed)
+        chosen = points.sparkSession.createDataFrame(pa.table({"_seed": pa.array(where, pa.int64())}))
+        found = points.join(F.broadcast(chosen), F.col(id_col) == F.col("_seed")).select(id_col, vector).collect()  # k rows
+        ends = points.agg(F.min(id_col), F.max(id_col)).first()
+        rows = {r[0]: r[1] for r in found}
+        if len(rows) == len(found) == k and tuple(ends) == (0, n - 1):
+            return np.array([rows[i] for i in where])
+    return np.array([r[0] for r in bottom_k(points, k, id_col, seed).select(vector).collect()])
 
 
-def fit(points: DataFrame, k: int, seed: int = SEED, rounds: int = KMEANS_ROUNDS, vector: str = "z", id_col: str = "id") -> np.ndarray:
-    """Centroids (k, width) from points whose ids are the positions 0..n-1; `points` is read once a round."""
+def fit(points: DataFrame, k: int, seed: int = SEED, rounds: int = KMEANS_ROUNDS, vector: str = "z", id_col: str = "id", shares: list[float] | None = None) -> np.ndarray:
+    """Centroids (k, width); ids may be any numbers, with gaps; shares gets the share of all products that each round made."""
     n = points.count()
     if not n:
         raise ValueError("there is nothing to cluster")
@@ -85,14 +149,18 @@ def fit(points: DataFrame, k: int, seed: int = SEED, rounds: int = KMEANS_ROUNDS
         raise ValueError(f"cannot make {k} clusters")
     if min(k, n) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters: centroids are held by the driver and every task")
-    where = seed_positions(n, min(k, n), seed)
-    chosen = points.sparkSession.createDataFrame(pa.table({"_seed": pa.array(where, pa.int64())}))
-    rows = {r[0]: r[1] for r in points.join(F.broadcast(chosen), F.col(id_col) == F.col("_seed")).select(id_col, vector).collect()}  # k rows
-    if len(rows) < len(where):
-        raise ValueError("ids must be the positions 0 to n - 1")
-    centroids = _unit(np.array([rows[i] for i in where]))
-    for _ in range(rounds):
-        before, centroids = centroids, lloyd_round(points, centroids, vector, id_col)
+    centroids = _unit(seeds(points, n, min(k, n), seed, vector, id_col))
+    k, state, moved, share = len(centroids), None, 0.0, 1.0
+    for number in range(rounds):
+        extra = 0
+        if number and share > 0.5:
+            state, moved, extra = bounded(points, centroids, vector, id_col), 0.0, n * k
+        before = centroids
+        centroids, products = _round(points if state is None else state, centroids, vector, id_col, None if state is None else moved)
+        share = products / (n * k)
+        if shares is not None:
+            shares.append(share + extra / (n * k))
+        moved += float(_angle(np.einsum("ij,ij->i", _unit(before), _unit(centroids))).max()) + _LOOSE
         if np.linalg.norm(centroids - before, axis=1).max() < KMEANS_SHIFT:
             break
     return centroids

@@ -13,18 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.minhash import batch_encode, matrix
 from ..functions.text import hash20
 from ..params import EL_MATCH, EPS, HASH_MOD, MASK_HIGH, MASK_LOW, TAU
-from . import kmeans, scaler
+from ..sources.tables import written
+from . import kmeans, scaler, threshold
 from .index import Index
+from .threshold import check_tau
 
 CLUSTER_BLOCK = 2048
 
 
-def check_tau(tau: float) -> None:
-    """Padding columns score -mask x tau, so a threshold that is not positive would catch them."""
-    if not tau > 0:
-        raise ValueError(f"tau must be positive, got {tau}")
-
-
 def hash_mask(key: Column) -> Column:
     """A mask in [1, 10) that depends on the key alone, for tests and SQL."""
     return MASK_LOW + (MASK_HIGH - MASK_LOW) * hash20(key.cast("string")) / float(HASH_MOD)
@@ -66,22 +62,29 @@ def _blocked(left: DataFrame, right: DataFrame, tau: float, least: bool) -> Data
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id bigint, cluster_id int, id bigint, cos double")
 
 
-def hits_linear(queries: DataFrame, database: DataFrame, tau: float = TAU, block: int = CLUSTER_BLOCK, least: bool = False) -> DataFrame:
-    """(query_id, id, cos) of all pairs above the threshold; inputs have (query_id | id, sig, n2_50).
+def hits_linear(queries: DataFrame, database: DataFrame, tau: float = TAU, block: int = threshold.BLOCK, least: bool = False) -> DataFrame:
+    """(query_id, id, cos) of all pairs above the threshold, found with bounds (see threshold); inputs have (query_id | id, sig, n2_50).
 
-    Both sides are dealt into blocks of about `block` rows, and each pair of
-    blocks is one matrix product in a task of its own, exact as signatures are
-    integers.  Nothing is broadcast, and only hits leave a task; least: only the
-    hit of the least id of each query in each block.
+    least: only hits among which the least id of each query is.
+    """
+    return threshold.join(queries, database, tau, least, block)
+
+
+def screen_all(queries: DataFrame, index: Index, tau: float = TAU) -> DataFrame:
+    """(query_id, catch, matched_id) of queries (query_id, name): every cluster is probed that can hold a hit, so nothing is missed.
+
+    The clusters of the index are cut into blocks with a ball and ranges of
+    angles each; what these rule out is not compared.  matched_id is the least id above
+    the threshold, null without a catch.
     """
     check_tau(tau)
-    v = F.slice("sig", 1, EL_MATCH).alias("v")
-    mb, qb = (-(-df.count() // block) or 1 for df in (database, queries))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = database.select(F.lit(0).alias("cluster_id"), "id", v, F.col("n2_50").alias("n"), deal("id", mb).alias("m"), every(qb).alias("q"))
-    right = queries.select(F.lit(0).alias("cluster_id"), "query_id", v, F.col("n2_50").alias("n"), deal("query_id", qb).alias("q"), every(mb).alias("m"))
-    return _blocked(left, right, tau, least).select("query_id", "id", "cos")
+    members = written(index.members.where("n2_50 > 0").select("id", F.col("sig50").alias("v"), F.col("cluster_id").alias("cell")))
+    encoded = batch_encode(queries.select("query_id", "name"))
+    asked = written(threshold.distinct(encoded, "query_id"))
+    hits = threshold.least_hits(asked, threshold.build_blocks(members), tau).groupBy("query_id").agg(F.min("id").alias("matched_id"))
+    known = encoded.select("query_id", F.slice("sig", 1, EL_MATCH).alias("v")).join(asked.withColumnRenamed("id", "rep"), "v").select("query_id", "rep")
+    found = known.join(hits.withColumnRenamed("query_id", "rep"), "rep").select("query_id", "matched_id")
+    return encoded.select("query_id").join(found, "query_id", "left").select("query_id", F.col("matched_id").isNotNull().alias("catch"), "matched_id")
 
 
 def _above(x: np.ndarray, x_root: np.ndarray, q: np.ndarray, q_root: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ def hits_clustered(asked: DataFrame, members: DataFrame, tau: float = TAU, block
     left = left.withColumns({"m": F.floor(F.col("id") / block).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("qb") - 1))}).drop("mb", "qb")
     right = asked.select("cluster_id", "query_id", F.col("q50").alias("v"), F.col("q2").alias("n")).join(each, "cluster_id")
     right = right.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"), "m": F.explode(F.sequence(F.lit(0), F.col("mb") - 1))}).drop("mb", "qb")
-    return _blocked(left, right, tau, least).select("query_id", "cluster_id", F.col("id").cast("int").alias("column_index"), "cos")
+    return _blocked(left, right, tau, least).select("query_id", "cluster_id", F.col("id").alias("column_index"), "cos")
 
 
 def scored(asked: DataFrame, hits: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def judge(scored: DataFrame, max_size: int, tau: float = TAU, early_stop: bool =
     hit = F.col("cos") - tau > EPS
     out = scored.groupBy("query_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("catch"), F.min("cluster_id").alias("selected_cluster"), F.min(F.when(hit, F.col("column_index"))).alias("first_positive_column"))
     checked = F.when(F.lit(early_stop) & F.col("first_positive_column").isNotNull(), F.col("first_positive_column") + 1).otherwise(F.lit(max_size))
-    return out.withColumn("checked_columns", checked.cast("int"))
+    return out.withColumn("checked_columns", checked.cast("bigint"))
 
 
 def public(judged: DataFrame) -> DataFrame:

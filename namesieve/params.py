@@ -18,6 +18,10 @@ KMEANS_ROUNDS, KMEANS_SHIFT, NEAR_ZERO = 20, 1e-8, 1e-10
 MASK_LOW, MASK_HIGH = 1.0, 10.0
 
 
+#: Up to so many rows, seeds are drawn as positions from a permutation on the driver; beyond, by keyed hashes.
+PARITY_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Options:
     """Options of a screening run."""

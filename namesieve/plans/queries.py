@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.minhash import batch_encode, signature
 from ..functions.text import clean_name, hash20, shingles, sorted_shingles
 from ..functions.vector import cosine, dot, l2_normalise, one_hot
-from ..operators import index, kmeans, metrics, projection, scaler, search
+from ..operators import index, kmeans, metrics, projection, scaler, search, threshold
 from ..params import EL_MATCH, TAU, hash_family
 from . import rounds
 
@@ -97,8 +97,7 @@ def pairwise_cosine(spark, d):
 def theta_self_join(spark, d):
     names = _names(spark, d).groupBy(clean_name(F.col("name")).alias("name")).agg(F.min("id").alias("id"))
     e = batch_encode(names.select("id", "name"), nfkc=False).select("id", "sig", "n2_50")
-    hits = search.hits_linear(e.withColumnRenamed("id", "query_id"), e)
-    return hits.where("query_id < id").select(F.col("query_id").alias("id1"), F.col("id").alias("id2"), F.round("cos", 6).alias("cos"))
+    return threshold.self_join(e).withColumn("cos", F.round("cos", 6))
 
 
 def centroid_scores(spark, d):
@@ -169,6 +168,16 @@ def linear_catch(spark, d):
     return out.select("query_id", F.col("column_index").isNotNull().alias("catch"), F.col("column_index").cast("long").alias("first_positive_column"), F.coalesce(F.col("column_index") + 1, F.lit(size)).cast("long").alias("checked_columns"))
 
 
+def pruned_catch(spark, d):
+    """The judgement of linear_catch from a fitted index: all clusters are probed that a bound does not rule out."""
+    names = _names(spark, d)
+    built = index.build_index(names)
+    judged = search.screen_all(_queries(spark, d), built)
+    columns = index.column_index(names.select(F.lit(0).alias("cluster_id"), "id")).select(F.col("id").alias("matched_id"), "column_index")
+    out = judged.join(columns, "matched_id", "left")
+    return out.select("query_id", "catch", F.col("column_index").alias("first_positive_column"), F.coalesce(F.col("column_index") + 1, F.lit(built.n)).alias("checked_columns"))
+
+
 def _seed_signatures(spark, d) -> np.ndarray:
     """The given centroids of the examples: the signatures of the first SEEDS names; `protocol_run` fits its own."""
     return np.array([r.sig for r in batch_encode(_names(spark, d).orderBy("id").limit(SEEDS)).orderBy("id").select("sig").collect()], float)
@@ -285,7 +294,7 @@ def projection_3d(spark, d):
     return projection.project_3d(_vectors(spark, d), cluster="label")
 
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (clean_text, shingle_counts, shingle_hash, minhash_long, minhash_prefix, l2_norms, scaler_fit, standardise, pairwise_cosine, theta_self_join, centroid_scores, nearest_centroid, kmeans_one_round, kmeans_assign, cluster_sizes, column_index, selector_onehot, selector_matmul, masked_scores, linear_catch, two_round_catch, hit_lookup, protocol_run, encrypted_rounds, shingle_lists, size_summary, confusion, metrics_, anti_members, union_queries, typo_queries, expected_lookup, verdicts, comm_bytes, error_stats, dataset_card, projection_3d)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (clean_text, shingle_counts, shingle_hash, minhash_long, minhash_prefix, l2_norms, scaler_fit, standardise, pairwise_cosine, theta_self_join, centroid_scores, nearest_centroid, kmeans_one_round, kmeans_assign, cluster_sizes, column_index, selector_onehot, selector_matmul, masked_scores, linear_catch, pruned_catch, two_round_catch, hit_lookup, protocol_run, encrypted_rounds, shingle_lists, size_summary, confusion, metrics_, anti_members, union_queries, typo_queries, expected_lookup, verdicts, comm_bytes, error_stats, dataset_card, projection_3d)}
 
 # --- SQL ---
 
@@ -363,3 +372,4 @@ ORACLES = {
     "error_stats": "SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(max(value), 6) AS max, round(median(value), 6) AS median FROM events",
     "dataset_card": "SELECT count(*) AS n, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives FROM labels",
 }
+ORACLES["pruned_catch"] = ORACLES["linear_catch"]

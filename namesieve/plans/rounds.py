@@ -105,9 +105,9 @@ def second_reply(request: DataFrame, members: DataFrame, k: int, max_size: int,
                     out["query_id"].append(i)
                     out["column_index"].append(first + j)
                     out["masked"].append(cipher.mul_plain(cipher.add_plain(score, np.array([-tau])), mask))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "column_index": pa.array(out["column_index"], pa.int32()), "masked": pa.array(out["masked"], pa.binary())})
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "column_index": pa.array(out["column_index"], pa.int64()), "masked": pa.array(out["masked"], pa.binary())})
 
-    return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(answer, "query_id bigint, column_index int, masked binary")
+    return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(answer, "query_id bigint, column_index bigint, masked binary")
 
 
 def judged(reply: DataFrame, max_size: int, early_stop: bool = True, name: str = "plain") -> DataFrame:
@@ -120,7 +120,7 @@ def judged(reply: DataFrame, max_size: int, early_stop: bool = True, name: str =
     first = reply.select("query_id", "column_index", score.alias("score")).groupBy("query_id").agg(F.min(F.when(F.col("score") > EPS, F.col("column_index"))).alias("first_positive_column"))
     catch = F.col("first_positive_column").isNotNull()
     checked = F.when(F.lit(early_stop) & catch, F.col("first_positive_column") + 1).otherwise(F.lit(max_size))
-    return first.select("query_id", catch.alias("catch"), "first_positive_column", checked.cast("int").alias("checked_columns"))
+    return first.select("query_id", catch.alias("catch"), "first_positive_column", checked.cast("bigint").alias("checked_columns"))
 
 
 @dataclass
