@@ -1,20 +1,26 @@
 """Benchmark decontamination.
 
-Word n-grams of the test items are seeds, and every seed counts, however many
-documents hold it: a passage that was copied into many of them is a leak in each.
-One pass finds the seeds in whole documents, gathers the hits of an item that
-lie near each other, and aligns the item with the words around them by
-Smith-Waterman (match 1, mismatch and gap -1).  The number of the item's words
-that stand there bounds the score from above, so chance hits of common seeds are
-not aligned.  A score of `threshold` of the item's words or more is a leak,
+A leak is a document that an item aligns with, by Smith-Waterman over words
+(match 1, mismatch and gap -1), at `threshold` of the item's words or more,
 edited or not; items of fewer than `whole` words must match whole.
 
+Seeds are pairs of neighbouring words.  An alignment of score T has T matches
+more than errors, and its matches fall into one run more than there are errors
+at most, so at least T - 1 neighbouring pairs of the item stand in the document.
+Hence T - 2 of an item's seeds may be left aside without losing a leak: a first
+pass counts the documents of every seed, and each item keeps its rarest.  A
+second pass finds the kept seeds in whole documents, gathers the hits of an item
+that lie near each other, checks that T - 1 of its pairs and T of its words
+stand around them, and aligns the item there.  No leak above the threshold is
+lost, however it was edited, and however many documents hold it.
+
 Items are sent to the executors in blocks of at most `block_words` words each,
-so what is broadcast is bounded; the corpus is never shuffled.  Null texts hold
-nothing, null or wordless items match nothing; long texts are read whole;
-repeated documents are judged alike, and so are those that share a doc_id or
-have none (`drop_leaks` tells them apart); of equal scores in one document the
-first place counts; extra columns are ignored, empty tables give no rows.
+so what is broadcast, and the counts that come back, are bounded; the corpus is
+never shuffled.  Null texts hold nothing, null or wordless items match nothing;
+long texts are read whole; repeated documents are judged alike, and so are those
+that share a doc_id or have none (`drop_leaks` tells them apart); of equal
+scores in one document the first place counts; extra columns are ignored, empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,40 +33,58 @@ from pyspark.sql import functions as F
 from ._spark import careful, frugal, identified
 from ._text import Words, code_points, slices
 
-SEED, THRESHOLD, WHOLE, BLOCK_WORDS = 3, 0.5, 8, 1_000_000
+SEED, THRESHOLD, WHOLE, BLOCK_WORDS = 2, 0.5, 8, 1_000_000
+#: Pairs of a hit and an item that shares the seed, held at once.
+HITS = 1 << 20
 
 
 class Items:
-    """Test items: word hashes, and seeds by hash with their places."""
+    """Test items: word hashes, the score that each must reach, and seeds by hash with their places."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int = SEED):
+    def __init__(self, ids: list[int], texts: list[str], threshold: float = THRESHOLD, whole: int = WHOLE):
+        if threshold * whole <= 1:
+            raise ValueError("seeds of two words need a threshold of over 1 / whole")
         w = Words(pa.array(texts, pa.large_string()))
-        self.n, self.ids = n, np.array(ids, np.int64)
+        self.ids = np.array(ids, np.int64)
         self.words = [w.hash[a:b] for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
-        grams, rows = w.shingles(n)
-        item = np.repeat(np.arange(len(ids)), np.diff(rows))
-        place = np.arange(len(grams)) - np.repeat(rows[:-1], np.diff(rows))
+        self.length = np.array([len(x) for x in self.words], np.int64)
+        self.need = np.where(self.length >= whole, np.ceil(threshold * self.length - 1e-9), self.length).astype(np.int64)
+        grams, rows = w.shingles(SEED)
+        self.grams = [grams[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        self._seeds(grams, np.repeat(np.arange(len(ids)), np.diff(rows)), np.arange(len(grams)) - np.repeat(rows[:-1], np.diff(rows)))
+        self.short = bool((self.length == 1).any())
+
+    def _seeds(self, grams: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(grams, kind="stable")
         self.item, self.place = item[order], place[order]
         self.seed, self.at = np.unique(grams[order], return_index=True)
         self.at = np.append(self.at, len(grams))
-        self.short = sorted({len(x) for x in self.words if 0 < len(x) < n})
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.seed >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, word number in the batch, seed number) of all seeds in the rows."""
+    def keep_rarest(self, documents: np.ndarray) -> None:
+        """Leave the most common seeds aside, as many as cost no leak; documents: how many hold each seed."""
+        size = np.diff(self.at)
+        grams, count = np.repeat(self.seed, size), np.repeat(documents, size)
+        order = np.lexsort((self.place, count, self.item))
+        item = self.item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        order = order[rank <= (self.length - self.need)[item]]
+        self._seeds(grams[order], self.item[order], self.place[order])
+
+    def hits(self, w: Words, grams: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word number in the batch, seed number) of all seeds in the rows, whose pairs of words are given."""
         found = []
-        for n in [*self.short, self.n]:
-            grams, rows = w.shingles(n)
-            at = np.flatnonzero(self.bits[(grams >> np.uint64(44)).astype(np.int64)])
-            seed = np.minimum(np.searchsorted(self.seed, grams[at]), max(len(self.seed) - 1, 0))
-            same = self.seed[seed] == grams[at] if len(self.seed) else np.zeros(0, bool)
+        for g, r in [(grams, rows), *([w.shingles(1)] if self.short else [])]:
+            at = np.flatnonzero(self.bits[(g >> np.uint64(44)).astype(np.int64)])
+            seed = np.minimum(np.searchsorted(self.seed, g[at]), max(len(self.seed) - 1, 0))
+            same = self.seed[seed] == g[at] if len(self.seed) else np.zeros(0, bool)
             at, seed = at[same], seed[same]
-            row = np.searchsorted(rows, at, "right") - 1
-            found.append((row, at - rows[row] + w.rows[row], seed))
+            row = np.searchsorted(r, at, "right") - 1
+            found.append((row, at - r[row] + w.rows[row], seed))
         row, at, seed = (np.concatenate(x) for x in zip(*found, strict=True))
-        return row, at, seed
+        order = np.argsort(row, kind="stable")
+        return row[order], at[order], seed[order]
 
 
 def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -78,35 +102,45 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _leaks(w: Words, items: Items, threshold: float, whole: int) -> list[tuple[int, int, float, int, int]]:
+def _leaks(w: Words, items: Items) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end word), the best for each row and item."""
-    row, at, seed = items.hits(w)
-    if not len(row):
-        return []
-    size = np.diff(items.at)[seed]
-    which = np.repeat(items.at[:-1][seed] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    row, at, item, place = np.repeat(row, size), np.repeat(at, size), items.item[which], items.place[which]
-    order = np.lexsort((at, item, row))
-    row, at, item, place = row[order], at[order], item[order], place[order]
-    length = np.array([len(x) for x in items.words], np.int64)
-    far = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]]))
+    grams, gram_rows = w.shingles(SEED)
+    rows, places, seeds = items.hits(w, grams, gram_rows)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for a, b in zip(np.flatnonzero(far), np.append(np.flatnonzero(far)[1:], len(row)), strict=True):
-        r, i = int(row[a]), int(item[a])
-        m = int(length[i])
-        low = max(int(w.rows[r]), int((at[a:b] - place[a:b]).min()) - m // 2)
-        high = min(int(w.rows[r + 1]), int((at[a:b] - place[a:b]).max()) + m + m // 2)
-        words, least = w.hash[low:high], threshold * m if m >= whole else m
-        if np.isin(items.words[i], words).sum() < least:  # no alignment matches more of the item's words
-            continue
-        score, end = smith_waterman(items.words[i], words)
-        if score >= least and score > best.get((r, i), (0,))[0]:
-            _, back = smith_waterman(items.words[i][::-1], words[:end][::-1])
-            best[r, i] = (score, low + end - back, low + end)
+    size = np.diff(items.at)[seeds]
+    before = np.append(0, np.cumsum(size))
+    begin = 0
+    while begin < len(rows):  # rows whole, but no more pairs of a hit and an item at once than one row or HITS
+        end = max(int(np.searchsorted(before, before[begin] + HITS, "right")) - 1, begin + 1)
+        end = int(np.searchsorted(rows, rows[end - 1], "right")) if end >= len(rows) or rows[end] == rows[begin] else int(np.searchsorted(rows, rows[end], "left"))
+        part, n = slice(begin, end), size[begin:end]
+        which = np.repeat(items.at[:-1][seeds[part]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        row, at, item, place = np.repeat(rows[part], n), np.repeat(places[part], n), items.item[which], items.place[which]
+        order = np.lexsort((at, item, row))
+        row, at, item, place = row[order], at[order], item[order], place[order]
+        far = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * items.length[item[1:]]))
+        edges = np.append(np.flatnonzero(far), len(row))
+        start = at - place
+        lows, highs = np.minimum.reduceat(start, edges[:-1]), np.maximum.reduceat(start, edges[:-1])
+        for k, a in enumerate(edges[:-1].tolist()):
+            r, i = int(row[a]), int(item[a])
+            m, need = int(items.length[i]), int(items.need[i])
+            low, high = max(int(w.rows[r]), int(lows[k]) - (m - need)), min(int(w.rows[r + 1]), int(highs[k]) + m + (m - need))
+            first = int(gram_rows[r] - w.rows[r])
+            if m > 1 and np.isin(items.grams[i], grams[low + first : high - 1 + first]).sum() < need - 1:
+                continue
+            words = w.hash[low:high]
+            if np.isin(items.words[i], words).sum() < need:  # no alignment matches more of the item's words
+                continue
+            score, stop = smith_waterman(items.words[i], words)
+            if score >= need and score > best.get((r, i), (0,))[0]:
+                _, back = smith_waterman(items.words[i][::-1], words[:stop][::-1])
+                best[r, i] = (score, low + stop - back, low + stop)
+        begin = end
     return [(r, i, s / len(items.words[i]), a, b) for (r, i), (s, a, b) in best.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, whole: int = WHOLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, whole: int = WHOLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score (share of the item's words), start and end in code points of each leak."""
     spark = docs.sparkSession
     careful(spark)
@@ -118,15 +152,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     out = spark.createDataFrame([], schema)
     for k in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        items = Items([r.i for r in rows], [r.t for r in rows], seed)
+        items = Items([r.i for r in rows], [r.t for r in rows], threshold, whole)
         if not len(items.seed):
             continue
 
+        def count(batches, items=items):
+            held = np.zeros(len(items.seed), np.int64)
+            for batch in batches:
+                for a, b in slices(batch.column(1)):
+                    w = Words(batch.column(1).slice(a, b - a))
+                    row, _, seed = items.hits(w, *w.shingles(SEED))
+                    held += np.bincount(np.unique(row * len(held) + seed) % len(held), minlength=len(held))
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_pydict({"seed": pa.array(some), "n": pa.array(held[some])})
+
+        counts = base.select("doc_id", "text").mapInArrow(frugal(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()  # block_words rows at most
+        documents = np.zeros(len(items.seed), np.int64)
+        documents[counts["seed"]] = counts["n"]
+        items.keep_rarest(documents)
+
         def run(batches, items=items):
             for batch in batches:
                 for a, b in slices(batch.column(1)):
                     w = Words(batch.column(1).slice(a, b - a))
-                    leaks = _leaks(w, items, threshold, whole)
+                    leaks = _leaks(w, items)
                     if leaks:
                         points = code_points(w.raw)
                         row, item, score, first, end = (np.array(x) for x in zip(*leaks, strict=True))
