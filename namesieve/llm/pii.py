@@ -45,7 +45,7 @@ from ._spark import careful, frugal, tidy
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["O", *KINDS]
 PATTERNS = 4
-SAMPLE_NODES, SURE, BUCKETS, ROUNDS, FEATURES = 100_000, 0.8, 2048, 12, 9
+SAMPLE_NODES, SURE, BUCKETS, ROUNDS, FEATURES = 100_000, 0.5, 2048, 12, 9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         free = m.end() if m else at + 1
         at = text.find("@", free)
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
