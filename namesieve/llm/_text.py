@@ -115,6 +115,8 @@ class Words:
                 value = np.where(word, _BYTE[low], np.uint64(0))
                 place = np.arange(len(word)) - np.repeat(np.append(0, s), np.diff(np.concatenate(([0], s, [len(word)]))))
                 value *= _POW[place & 1023]
+                if (far := np.flatnonzero(place > 1023)).size:  # long words: another odd factor for each stretch
+                    value[far] *= mix(place[far] >> 10) | np.uint64(1)
                 length = np.add.reduceat(word.astype(np.int64), s)
                 h = np.add.reduceat(value, s) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 hashes.append(mix(h))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _counts
-from ._spark import careful, tidy
+from ._spark import careful, identified, tidy
 from ._text import Words, mix
 
 ORDER, BACKOFF = 3, 0.4
@@ -108,8 +108,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, chu
     careful(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(text_col)).alias("chars")).first().chars or 0
     chunks, buckets = _counts.grid(chars, chars * order // 6, chunk_chars, bucket_ngrams)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    tagged, key = identified(docs, id_col)  # repeated rows are dealt apart too
+    dealt = tagged.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"))
 
     def count(table: pa.Table) -> pa.Table:
         tidy()
