@@ -1,8 +1,8 @@
 """Readers of matching data sets: (queries(query_id, name, label), database(id, name)).
 
 Identity is the zero-based position in the file, which seeds, column numbers
-and ties depend on; files are read by Spark, whose readers keep file order for
-a file that is not split.  Columns are checked by name, blank names are dropped.
+and ties depend on; files are read by many tasks, with line feeds in quotes (see
+split_csv).  Columns are checked by name, blank names are dropped.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .split_csv import positions, read_split
+
 MOCK = {"ncvr": ("Person_", 100, 1000, 10), "libcat": ("BookTitle_", 80, 2000, 8)}
 # Surnames of the mock census.
 SURNAMES = ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis"]
@@ -44,15 +46,6 @@ def require_rows(df: DataFrame, path: str) -> None:
         raise ValueError(f"{path} has no rows")
 
 
-def numbered(df: DataFrame, id_col: str) -> DataFrame:
-    """Zero-based positions.  Partition sizes give each partition its base, so no row moves."""
-    df = df.withColumn("_m", F.monotonically_increasing_id())
-    part, at = F.shiftright("_m", 33), F.col("_m") % (1 << 33)
-    sizes = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    return df.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(id_col, F.col("_b") + at).drop("_m", "_p", "_b")
-
-
 def ncvr_paths(path: str) -> tuple[Path, Path]:
     """(database, queries) of the 10k set in a folder or its ncvr_10k subfolder."""
     root = Path(path)
@@ -66,19 +59,19 @@ def ncvr_paths(path: str) -> tuple[Path, Path]:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path)
+    df = read_split(spark, path)
     require_columns(df, ["query_ncid", "query_name", "label"], path)
     kept = df.withColumn("name", F.trim("query_name")).where("name <> ''").withColumn("label", parse_bool(F.col("label")))
     require_rows(kept, path)
-    return numbered(kept, "query_id").select("query_id", "name", "label")
+    return positions(kept, "query_id").select("query_id", "name", "label")
 
 
 def read_database(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path)
+    df = read_split(spark, path)
     require_columns(df, ["ncid", "full_name"], path)
     kept = df.withColumn("name", F.trim("full_name")).where("name <> ''")
     require_rows(kept, path)
-    return numbered(kept, "id").select("id", "name")
+    return positions(kept, "id").select("id", "name")
 
 
 def load_ncvr_10k(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -105,10 +98,10 @@ def _wide(a_col: str, b_col: str, mock: Callable) -> Callable:
     def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         if not path or not Path(path).is_file():
             return mock(spark)
-        df = read_csv(spark, path)
+        df = read_split(spark, path)
         require_columns(df, [a_col, b_col, "match_label"], path)
-        a = numbered(df.where(F.col(a_col).isNotNull()), "query_id").select("query_id", F.col(a_col).alias("name"), parse_bool(F.col("match_label")).alias("label"))
-        return a, numbered(df.where(F.col(b_col).isNotNull()), "id").select("id", F.col(b_col).alias("name"))
+        a = positions(df.where(F.col(a_col).isNotNull()), "query_id").select("query_id", F.col(a_col).alias("name"), parse_bool(F.col("match_label")).alias("label"))
+        return a, positions(df.where(F.col(b_col).isNotNull()), "id").select("id", F.col(b_col).alias("name"))
 
     return load
 
