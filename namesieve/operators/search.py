@@ -120,6 +120,25 @@ def hits_clustered(asked: DataFrame, members: DataFrame, tau: float = TAU, block
     return _blocked(left, right, tau, least).select("query_id", "cluster_id", F.col("id").alias("column_index"), "cos")
 
 
+def hits_packed(asked: DataFrame, blocks: DataFrame, tau: float = TAU, block: int = CLUSTER_BLOCK) -> DataFrame:
+    """As hits_clustered with `least`, on the packed and bucketed members of a loaded index: these are joined where they lie, only queries move."""
+    check_tau(tau)
+    deep = F.broadcast(blocks.groupBy(F.shiftright("block", 32).alias("cluster_id")).agg((F.max(F.col("block") % (1 << 32)) + 1).alias("deep")))  # a row a cluster
+    wide = F.broadcast(asked.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).alias("wide")))
+    known = asked.where("q2 > 0").select(F.col("cluster_id").cast("bigint"), "query_id", "q50").join(deep, "cluster_id").join(wide, "cluster_id")
+    sent = known.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deep") - 1)))
+    sent = sent.select((F.col("cluster_id") * (1 << 32) + F.col("at")).alias("block"), F.pmod(F.xxhash64("query_id"), "wide").alias("part"), "query_id", "q50")
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        rows = threshold.pack(t["query_id"].to_numpy(), matrix(t["q50"], EL_MATCH))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "asked": rows["ids"], "wanted": rows["vectors"]})
+
+    asking = sent.groupBy("block", "part").applyInArrow(pack, "block bigint, asked binary, wanted binary")
+    met = blocks.join(asking, "block").select("block", "ids", "vectors", "asked", "wanted")
+    hits = threshold.meetings(met, tau, least=True)
+    return hits.select("query_id", F.shiftright("block", 32).cast("int").alias("cluster_id"), F.col("id").alias("column_index"), "cos")
+
+
 def scored(asked: DataFrame, hits: DataFrame) -> DataFrame:
     """Every probed query with its hits, or with nulls."""
     return asked.select("query_id", "cluster_id").join(hits, ["query_id", "cluster_id"], "left")
@@ -151,7 +170,8 @@ def first_hit(judged: DataFrame, members: DataFrame) -> DataFrame:
 def screen(queries: DataFrame, index: Index, tau: float = TAU, early_stop: bool = True, nprobe: int = 1) -> DataFrame:
     """Both rounds for all queries (query_id, name)."""
     asked = probe(queries, index, nprobe)
-    return judge(scored(asked, hits_clustered(asked, index.members, tau, least=True)), index.max_size, tau, early_stop)
+    hits = hits_clustered(asked, index.members, tau, least=True) if index.blocks is None else hits_packed(asked, index.blocks, tau)
+    return judge(scored(asked, hits), index.max_size, tau, early_stop)
 
 
 def selector_product(selectors: DataFrame, members: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ class Blocks:
     bounds: Bounds
 
 
-def _pack(ids: np.ndarray, x: np.ndarray) -> dict[str, pa.Array]:
+def pack(ids: np.ndarray, x: np.ndarray) -> dict[str, pa.Array]:
     return {"ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "vectors": pa.array([x.astype(np.int32).tobytes()], pa.binary())}
 
 
@@ -119,13 +119,13 @@ def build_blocks(rows: DataFrame, pivots: int = PIVOTS, block: int = BLOCK, seed
     cuts = placed.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("cuts"))  # at most 16 rings a pivot, or the clusters
     dealt = placed.join(F.broadcast(cuts), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), "cuts")).alias("block"), "id", "v")
 
-    def pack(key: tuple, t: pa.Table) -> pa.Table:
+    def row(key: tuple, t: pa.Table) -> pa.Table:
         x = matrix(t["v"], EL_MATCH)
         theta, centre = angles(x, centres), unit(unit(x).mean(0, keepdims=True))
         ends = {"centre": centre[0], "low": theta.min(0), "high": theta.max(0)}
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())} | _pack(t["id"].to_numpy(), x) | {"radius": pa.array([float(angles(x, centre).max())])} | {k: pa.array([e.tolist()], pa.list_(pa.float64())) for k, e in ends.items()})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())} | pack(t["id"].to_numpy(), x) | {"radius": pa.array([float(angles(x, centre).max())])} | {k: pa.array([e.tolist()], pa.list_(pa.float64())) for k, e in ends.items()})
 
-    table = written(dealt.groupBy("block").applyInArrow(pack, "block bigint, ids binary, vectors binary, radius double, centre array<double>, low array<double>, high array<double>"))
+    table = written(dealt.groupBy("block").applyInArrow(row, "block bigint, ids binary, vectors binary, radius double, centre array<double>, low array<double>, high array<double>"))
     known = table.drop("ids", "vectors").toPandas()  # MOST_BLOCKS rows, and one a cell
     stacked = lambda c, width: np.array(known[c].tolist(), np.float64).reshape(len(known), width)
     bounds = Bounds(centres, known["block"].to_numpy(np.int64), stacked("centre", EL_MATCH), known["radius"].to_numpy(np.float64), stacked("low", len(centres)), stacked("high", len(centres)))
@@ -148,7 +148,7 @@ def _route(blocks: Bounds, limit: float, later: bool):
                 q, b = q[order], b[order]
                 starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
                 for s, e in zip(starts, [*starts[1:], len(b)]):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([int(blocks.block[b[s]])])} | _pack(ids[q[s:e]], x[q[s:e]]))
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([int(blocks.block[b[s]])])} | pack(ids[q[s:e]], x[q[s:e]]))
 
     return run
 
@@ -169,8 +169,8 @@ def meet(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, y: np.ndarray, tau:
     return row[hit], col[hit], cos[hit], len(row)
 
 
-def _meetings(met: DataFrame, tau: float, least: bool = False, once: bool = False) -> DataFrame:
-    """Hits of all meetings. once: queries are rows of the list, so that a query in its own block takes part as the lesser id of a pair only."""
+def meetings(met: DataFrame, tau: float, least: bool = False, once: bool = False) -> DataFrame:
+    """(block, query_id, id, cos) of all meetings (block, ids, vectors, asked, wanted). once: queries are rows of the list, so that a query in its own block takes part as the lesser id of a pair only."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for k in range(batch.num_rows):
@@ -184,9 +184,9 @@ def _meetings(met: DataFrame, tau: float, least: bool = False, once: bool = Fals
                     order = np.lexsort((ids[row], col))
                     order = order[np.append(True, col[order][1:] != col[order][:-1])]
                     row, col, cos = row[order], col[order], cos[order]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(asked[col]), "id": pa.array(ids[row]), "cos": pa.array(cos)})
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(row), batch.column(0)[k].as_py(), np.int64)), "query_id": pa.array(asked[col]), "id": pa.array(ids[row]), "cos": pa.array(cos)})
 
-    return met.mapInArrow(run, "query_id bigint, id bigint, cos double")
+    return met.mapInArrow(run, "block bigint, query_id bigint, id bigint, cos double")
 
 
 def routed(queries: DataFrame, blocks: Blocks, tau: float, later: bool = False) -> DataFrame:
@@ -204,7 +204,7 @@ def routed(queries: DataFrame, blocks: Blocks, tau: float, later: bool = False)
 
 def least_hits(queries: DataFrame, blocks: Blocks, tau: float = TAU) -> DataFrame:
     """(query_id, id, cos) of queries (id, v): of each query and packed row of queries the hit of the least id in a block."""
-    return _meetings(routed(queries, blocks, tau), tau, least=True)
+    return meetings(routed(queries, blocks, tau), tau, least=True)
 
 
 def work(met: DataFrame, tau: float = TAU) -> DataFrame:
@@ -233,7 +233,7 @@ def join(queries: DataFrame, database: DataFrame, tau: float = TAU, least: bool
     base = written(distinct(database, "id"))
     asked = written(distinct(queries, "query_id"))
     blocks = build_blocks(base, block=block)
-    hits = least_hits(asked, blocks, tau) if least else _meetings(routed(asked, blocks, tau), tau)
+    hits = least_hits(asked, blocks, tau) if least else meetings(routed(asked, blocks, tau), tau)
     out = hits.withColumnRenamed("query_id", "query_id_rep").join(_copies(queries, "query_id", asked, "query_id"), "query_id_rep")
     if not least:
         out = out.withColumnRenamed("id", "id_rep").join(_copies(database, "id", base, "id"), "id_rep")
@@ -254,7 +254,7 @@ def self_join(rows: DataFrame, tau: float = TAU, block: int = BLOCK) -> DataFram
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "v": values, "block": pa.array(np.full(len(ids), batch.column(0)[k].as_py()))})
 
     members = blocks.table.mapInArrow(own, "id bigint, v array<bigint>, block bigint")
-    hits = _meetings(routed(members, blocks, tau, later=True), tau, once=True).withColumnsRenamed({"query_id": "a_rep", "id": "b_rep"})
+    hits = meetings(routed(members, blocks, tau, later=True), tau, once=True).withColumnsRenamed({"query_id": "a_rep", "id": "b_rep"})
     out = hits.join(_copies(rows, "id", base, "a"), "a_rep").join(_copies(rows, "id", base, "b"), "b_rep")
     paired = out.where((F.col("a_rep") != F.col("b_rep")) | (F.col("a") < F.col("b")))
     return paired.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "cos")

@@ -122,7 +122,7 @@ def kmeans_one_round(spark, d):
 
 
 def kmeans_assign(spark, d):
-    points = _vectors(spark, d).cache()
+    points = _vectors(spark, d)
     found = kmeans.assign(points, kmeans.fit(points, K)).select("id", "label", "cluster_id")
     return found.groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
 

@@ -159,3 +159,48 @@ def test_median_is_exact(spark, few, monkeypatch):
     assert metrics.median(spark.createDataFrame([(None,)], "x double"), "x") is None
     with pytest.raises(ValueError):
         metrics.ranked_value(df, "x", 2000)
+
+
+def test_a_loaded_index_is_joined_where_it_lies(spark, tmp_path):
+    names = spark.createDataFrame(list(enumerate(some_names(300, 5))), "id bigint, name string")
+    asked = spark.createDataFrame([(-i, n) for i, n in enumerate(some_names(300, 5)[::3] + ["nobody at all"])], "query_id bigint, name string")
+    built, path = index.build_index(names, 6), str(tmp_path / "ix")
+    assert index.save_index(built, path, buckets=4) == 1
+    loaded = index.load_index(spark, path)
+    want = sorted(map(str, search.screen(asked, built).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.screen(asked, loaded)
+        assert sorted(map(str, found.collect())) == want
+        hits = search.hits_packed(search.probe(asked, loaded), loaded.blocks)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.splitlines()
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin [block" in x)
+    scan = next(i for i, x in enumerate(lines) if i > join and "FileScan" in x)
+    assert "Bucketed: true" in lines[scan] and "vectors" in lines[scan] and not any("Exchange" in x for x in lines[join:scan])
+    for probes in (1, 3):
+        assert sorted(map(str, search.screen(asked, loaded, nprobe=probes).collect())) == sorted(map(str, search.screen(asked, built, nprobe=probes).collect()))
+
+
+def test_versions_are_whole_or_refused(spark, tmp_path):
+    names = spark.createDataFrame(list(enumerate(some_names(80, 5))), "id bigint, name string")
+    path = str(tmp_path / "ix")
+    with pytest.raises(FileNotFoundError):
+        index.load_index(spark, path)
+    first, second = index.build_index(names, 3), index.build_index(names.where("id < 40"), 2)
+    assert (index.save_index(first, path, 2), index.save_index(second, path, 2)) == (1, 2)
+    assert index.load_index(spark, path).n == 40 and index.load_index(spark, path, 1).n == 80
+    (tmp_path / "ix" / "v3" / "members").mkdir(parents=True)  # a writer that failed
+    (tmp_path / "ix" / "v3" / "members" / "part-0.parquet").write_bytes(b"x")
+    assert index.versions(spark, path) == [1, 2] and index.load_index(spark, path).n == 40
+    with pytest.raises(FileNotFoundError):
+        index.load_index(spark, path, 3)
+    victim = next((tmp_path / "ix" / "v2" / "blocks").glob("part-*.parquet"))
+    victim.write_bytes(victim.read_bytes()[:-5])
+    with pytest.raises(ValueError, match="torn"):
+        index.load_index(spark, path)
+    assert index.load_index(spark, path, 1).n == 80
+    assert index.save_index(second, path, 2) == 3 and index.load_index(spark, path).n == 40
