@@ -70,6 +70,30 @@ def hits_linear(queries: DataFrame, database: DataFrame, tau: float = TAU, block
     return threshold.join(queries, database, tau, least, block)
 
 
+def scores(queries: DataFrame, database: DataFrame, block: int = CLUSTER_BLOCK) -> DataFrame:
+    """(query_id, id, cos) of a stated set of queries against all rows, whatever the cosine; inputs have (query_id | id, sig, n2_50).
+
+    Both sides are dealt into blocks, and each pair of blocks is one matrix
+    product in a task of its own; nothing is broadcast.
+    """
+    v = F.slice("sig", 1, EL_MATCH).alias("v")
+    mb, qb = (-(-df.count() // block) or 1 for df in (database.select("id"), queries.select("query_id")))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = database.select("id", v, F.col("n2_50").alias("n"), deal("id", mb).alias("m"), every(qb).alias("q"))
+    right = queries.select("query_id", v, F.col("n2_50").alias("n"), deal("query_id", qb).alias("q"), every(mb).alias("m"))
+
+    def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
+        root = lambda c: np.sqrt(c.to_numpy().astype(np.float64))
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
+        length = root(y["n"])[:, None] * root(x["n"])
+        cos = (matrix(y["v"], EL_MATCH) @ matrix(x["v"], EL_MATCH).T) / np.where(length == 0, 1, length)
+        return pa.table({"query_id": np.repeat(y["query_id"].to_numpy(), x.num_rows), "id": np.tile(x["id"].to_numpy(), y.num_rows), "cos": cos.ravel()})
+
+    return left.groupBy("m", "q").cogroup(right.groupBy("m", "q")).applyInArrow(multiply, "query_id bigint, id bigint, cos double")
+
+
 def screen_all(queries: DataFrame, index: Index, tau: float = TAU) -> DataFrame:
     """(query_id, catch, matched_id) of queries (query_id, name): every cluster is probed that can hold a hit, so nothing is missed.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.minhash import batch_encode, signature
 from ..functions.text import clean_name, hash20, shingles, sorted_shingles
-from ..functions.vector import cosine, dot, l2_normalise, one_hot
+from ..functions.vector import l2_normalise, one_hot
 from ..operators import index, kmeans, metrics, projection, scaler, search, threshold
-from ..params import EL_MATCH, TAU, hash_family
+from ..params import EL_MATCH, KMEANS_ROUNDS, TAU, hash_family, seed_positions
 from . import rounds
 
 K = 10  # clusters of the fixed examples
@@ -69,8 +71,9 @@ def minhash_long(spark, d):
 
 
 def minhash_prefix(spark, d):
-    e = batch_encode(_parts(spark, d))
-    return e.select(F.count_if(F.slice("sig", 1, EL_MATCH) != signature(F.col("clean"), EL_MATCH)).alias("n_different"), F.count("*").alias("n"))
+    """The first EL_MATCH numbers of each signature, by the declarative form."""
+    clean = _parts(spark, d).withColumn("clean", clean_name(F.col("name")))
+    return clean.select("id", F.array_join(signature(F.col("clean"), EL_MATCH).cast("array<string>"), " ").alias("prefix"))
 
 
 def l2_norms(spark, d):
@@ -88,10 +91,14 @@ def standardise(spark, d):
     return z.groupBy(F.col("clean").alias("name")).agg(F.first("z").alias("z")).select("name", F.posexplode("z").alias("dim", "v")).select("name", F.col("dim").cast("long").alias("dim"), F.round("v", 5).alias("z"))
 
 
+def _stated_scores(spark, d):
+    """Cosines of the distinct names whose id is divisible by 20 with all others."""
+    e = _distinct_names(spark, d).select("id", "sig", "n2_50")
+    return search.scores(e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), e).where("query_id <> id").withColumnsRenamed({"query_id": "id1", "id": "id2"})
+
+
 def pairwise_cosine(spark, d):
-    e = _distinct_names(spark, d).select("name", F.slice("sig", 1, EL_MATCH).alias("v"), "n2_50")
-    x, y = e.toDF("name1", "v1", "n1"), e.toDF("name2", "v2", "n2")
-    return x.join(y, F.col("name1") < F.col("name2")).select("name1", "name2", F.round(cosine(dot(F.col("v1"), F.col("v2")), F.col("n1"), F.col("n2")), 6).alias("cos"))
+    return _stated_scores(spark, d).withColumn("cos", F.round("cos", 6))
 
 
 def theta_self_join(spark, d):
@@ -151,11 +158,7 @@ def selector_matmul(spark, d):
 
 
 def masked_scores(spark, d):
-    e = _distinct_names(spark, d).select("id", F.slice("sig", 1, EL_MATCH).alias("v"), "n2_50")
-    x, y = e.toDF("id1", "v1", "n1"), e.toDF("id2", "v2", "n2")
-    cos = cosine(dot(F.col("v1"), F.col("v2")), F.col("n1"), F.col("n2"))
-    mask = search.hash_mask(F.col("id2"))
-    return x.join(y, F.col("id1") < F.col("id2")).select("id1", "id2", F.round(search.masked(cos, TAU, mask), 6).alias("masked"))
+    return _stated_scores(spark, d).select("id1", "id2", F.round(search.masked(F.col("cos"), TAU, search.hash_mask(F.col("id2"))), 6).alias("masked"))
 
 
 def linear_catch(spark, d):
@@ -341,11 +344,11 @@ ORACLES = {
     "shingle_counts": f"WITH {_signed(_PART)} SELECT id, len(g) AS n FROM g",
     "shingle_hash": f"WITH {_signed(_PART)} SELECT DISTINCT x AS shingle, {_HASH.format('x')} AS h FROM (SELECT unnest(g) AS x FROM g)",
     "minhash_long": f"WITH {_signed(_PART)} SELECT id, unnest(range(200)) AS dim, unnest(sig) AS val FROM s",
-    "minhash_prefix": "SELECT 0::BIGINT AS n_different, count(*) AS n FROM part",
+    "minhash_prefix": f"WITH {_signed(_PART)} SELECT id, array_to_string(sig[1:50], ' ') AS prefix FROM s",
     "l2_norms": f"WITH {_signed(_PART)} SELECT id, n2_200, n2_50 FROM s",
     "scaler_fit": f"WITH {_signed(_DOCS)}, {_SCALE} SELECT dim, round(mean, 8) AS mean, round(scale, 8) AS scale FROM f",
     "standardise": f"WITH {_signed(_PART)}, {_SCALE} SELECT c AS name, dim, round(any_value((x - mean) / scale), 5) AS z FROM l JOIN f USING (dim) GROUP BY 1, 2",
-    "pairwise_cosine": f"WITH {_signed(_NAMES)} SELECT x.name AS name1, y.name AS name2, round({_COS}, 6) AS cos FROM s x JOIN s y ON x.name < y.name",
+    "pairwise_cosine": f"WITH {_signed(_NAMES)} SELECT x.id AS id1, y.id AS id2, round({_COS}, 6) AS cos FROM s x JOIN s y ON x.id <> y.id WHERE x.id % 20 = 0",
     "theta_self_join": f"WITH {_signed(f'SELECT min(id) AS id, {_clean("name")} AS name FROM ({_DOCS}) GROUP BY 2')} SELECT id1, id2, round(cos, 6) AS cos FROM (SELECT x.id AS id1, y.id AS id2, {_COS} AS cos FROM s x JOIN s y ON x.id < y.id) WHERE cos - 0.9 > 1e-6",
     "centroid_scores": f"WITH {_VEC} SELECT id, cluster_id, round(score, 5) AS score FROM sc",
     "nearest_centroid": f"WITH {_VEC} SELECT id, cluster_id FROM top",
@@ -354,7 +357,7 @@ ORACLES = {
     "column_index": "SELECT label::BIGINT AS cluster_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS column_index, vec_id AS id FROM embeddings",
     "selector_onehot": f"WITH {_VEC} SELECT id, pos, (CASE WHEN pos = cluster_id THEN 1.0 ELSE 0.0 END)::DOUBLE AS val FROM top CROSS JOIN (SELECT unnest(range(10)) AS pos)",
     "selector_matmul": f"WITH {_VEC} SELECT id, unnest(range(64)) AS dim, unnest(list_transform(c, lambda x: round(x, 6))) AS val FROM top JOIN cen USING (cluster_id)",
-    "masked_scores": f"WITH {_signed(_NAMES)} SELECT x.id AS id1, y.id AS id2, round((1.0 + 9.0 * {_HASH.format('y.id::VARCHAR')} / 1048576.0::DOUBLE) * ({_COS} - 0.9::DOUBLE), 6) AS masked FROM s x JOIN s y ON x.id < y.id",
+    "masked_scores": f"WITH {_signed(_NAMES)} SELECT x.id AS id1, y.id AS id2, round((1.0 + 9.0 * {_HASH.format('y.id::VARCHAR')} / 1048576.0::DOUBLE) * ({_COS} - 0.9::DOUBLE), 6) AS masked FROM s x JOIN s y ON x.id <> y.id WHERE x.id % 20 = 0",
     "linear_catch": f"WITH {_signed(_DOCS)}, {_signed(_ASKED, '2')}, y0 AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS col FROM s), j AS (SELECT x.id AS query_id, min(CASE WHEN {_COS} - 0.9 > 1e-6 THEN col END) AS f FROM s2 x CROSS JOIN y0 y GROUP BY 1) SELECT query_id, f IS NOT NULL AS catch, f AS first_positive_column, coalesce(f + 1, (SELECT count(*) FROM s)) AS checked_columns FROM j",
     "two_round_catch": f"{_TWO} SELECT query_id, first_positive_column IS NOT NULL AS catch, selected_cluster, first_positive_column, coalesce(first_positive_column + 1, big.n) AS checked_columns FROM j CROSS JOIN big",
     "hit_lookup": f"{_TWO} SELECT query_id, mm.id AS matched_id, mm.name AS matched_name FROM j JOIN mm ON mm.cluster_id = selected_cluster AND mm.column_index = first_positive_column",
@@ -373,3 +376,35 @@ ORACLES = {
     "dataset_card": "SELECT count(*) AS n, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives FROM labels",
 }
 ORACLES["pruned_catch"] = ORACLES["linear_catch"]
+
+
+def _lloyd(points: str, sizes: list[tuple[int, int]]) -> str:
+    """CTEs of the whole loop over table `points` (id, pos, z): ka{ROUNDS}(id, cluster_id), for lists of the given sizes (rows, clusters).
+
+    Rounds after convergence change nothing, so none is left out.  Seeds are
+    fixed values of the generator.  An empty cluster takes the farthest row.
+    """
+    seeds = ", ".join(f"({n}, {c}, {p})" for n, many in sizes for c, p in enumerate(seed_positions(n, many)))
+    unit = "list_transform({0}, lambda x: x / CASE WHEN {1} = 0 THEN 1 ELSE {1} END)"
+    norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+    out = [f"pu AS MATERIALIZED (SELECT id, pos, z, {unit.format('z', norm('z'))} AS u FROM {points})", f"seed(n, cluster_id, pos) AS (VALUES {seeds})", f"kc0 AS MATERIALIZED (SELECT seed.cluster_id, u AS c FROM seed JOIN pu USING (pos) WHERE seed.n = (SELECT count(*) FROM pu))"]
+    for r in range(KMEANS_ROUNDS + 1):
+        out.append(f"ka{r} AS MATERIALIZED (SELECT id, cluster_id, sim FROM (SELECT pu.id, cluster_id, round(list_dot_product(u, c), 12) AS sim FROM pu CROSS JOIN kc{r}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster_id) = 1)")
+        if r < KMEANS_ROUNDS:
+            out.append(f"kl{r} AS (SELECT cluster_id, i, avg(z[i]) AS x FROM ka{r} JOIN pu USING (id), unnest(range(1, len(z) + 1)) AS g(i) GROUP BY 1, 2)")
+            out.append(f"km{r} AS (SELECT cluster_id, list(x ORDER BY i) AS v FROM kl{r} GROUP BY 1)")
+            out.append(f"kfar{r} AS (SELECT z AS v FROM ka{r} JOIN pu USING (id) ORDER BY sim, id LIMIT 1)")
+            out.append(f"kw{r} AS (SELECT cluster_id, c, coalesce(km{r}.v, (SELECT v FROM kfar{r})) AS v FROM kc{r} LEFT JOIN km{r} USING (cluster_id))")
+            out.append(f"kc{r + 1} AS MATERIALIZED (SELECT cluster_id, CASE WHEN {norm('v')} < 1e-10 THEN c ELSE {unit.format('v', norm('v'))} END AS c FROM kw{r})")
+    return ",\n".join(out)
+
+
+ORACLES["kmeans_assign"] = f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS z, label FROM embeddings), p AS (SELECT id, id AS pos, z FROM v), {_lloyd('p', [(500, K), (2000, K)])} SELECT cluster_id, label, count(*) AS n FROM ka{KMEANS_ROUNDS} JOIN v USING (id) GROUP BY 1, 2"
+ORACLES["protocol_run"] = f"""WITH {_signed(_DOCS)}, {_signed(_ASKED, '2')}, {_SCALE},
+mean AS (SELECT list(mean ORDER BY dim) AS mean, list(scale ORDER BY dim) AS scale FROM f),
+p AS (SELECT id, id AS pos, list_transform(list_zip(sig, mean, scale), lambda q: (q[1] / sqrt(n2_200) - q[2]) / q[3]) AS z FROM s CROSS JOIN mean),
+{_lloyd('p', [(n, isqrt(n)) for n in (50, 250, 2500)])},
+mm AS (SELECT s.*, cluster_id FROM s JOIN ka{KMEANS_ROUNDS} USING (id)),
+qz AS (SELECT s2.*, list_transform(list_zip(sig, mean, scale), lambda q: (q[1] / sqrt(n2_200) - q[2]) / q[3]) AS z FROM s2 CROSS JOIN mean),
+q AS (SELECT qz.*, cluster_id FROM qz CROSS JOIN kc{KMEANS_ROUNDS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_dot_product(z, kc{KMEANS_ROUNDS}.c) / sqrt(list_dot_product(z, z)), 12) DESC, cluster_id) = 1)
+SELECT x.id AS query_id, coalesce(bool_or({_COS} - 0.9 > 1e-6), false) AS catch FROM q x LEFT JOIN mm y USING (cluster_id) GROUP BY 1"""
