@@ -718,16 +718,28 @@ def test_url_verdicts_equal_brute_force(spark):
         fits = [(len(h + p), h + p, v) for h, p, v in urlrules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         explicit.append(max(fits)[1:] if fits else (None, None))
         parsed.append((host, path, slow_tokens(u, host, path)))
-    labelled = [(set(t), v) for (_, _, t), (_, v) in zip(parsed, explicit, strict=True) if v and len(t) < 20]
-    n = sum(v is not None for _, v in explicit)
-    share = collections.Counter(v for _, v in explicit if v)
-    counts = collections.Counter((c, v) for t, v in labelled for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k))
+    every = [(set(t), v) for (_, _, t), (_, v) in zip(parsed, explicit, strict=True)]
+    labelled = [(t, v) for t, v in every if v]
+    n, least = len(labelled), 0.05 * len(labelled)
+    where = collections.defaultdict(set)
+    for i, (t, _) in enumerate(labelled):
+        for x in t:
+            where[x].add(i)
+    pages = collections.Counter(x for t, _ in every for x in t)
+    first = {}
+    for x in sorted(where, key=lambda x: (pages[x], x)):
+        first.setdefault(frozenset(where[x]), x)
+    kept = {x for r, x in first.items() if len(r) >= least}
+    counts = collections.Counter((c, v) for t, v in labelled for k in range(1, len(t & kept) + 1) for c in itertools.combinations(sorted(t & kept), k))
     sizes = collections.Counter()
     for (c, _), m in counts.items():
         sizes[c] += m
-    least = -(-n // 20)
-    rules = {(c, v): (m / sizes[c], m / n) for (c, v), m in counts.items() if m >= least and m / sizes[c] >= 0.9 and m / sizes[c] * n / share[v] >= 1.05}
+    rules = {(c, v): (m / sizes[c], m / n) for (c, v), m in counts.items() if m >= least and m / sizes[c] >= 0.9}
     rules = {(c, v): x for (c, v), x in rules.items() if not any(v == w and set(d) < set(c) and y[0] >= x[0] for (d, w), y in rules.items())}
+    share = collections.Counter(v for _, v in labelled)
+    met = {c: collections.Counter(v for t, v in every if set(c) <= t) for c, _ in rules}
+    rules = {(c, v): x for (c, v), x in rules.items() if met[c][v] * len(every) >= 1.05 * sum(met[c].values()) * share[v]}
+    assert rules
     got = {(r.page_id, r.rule, r.verdict, r.mined_rule) for r in urlrules.filter_urls(df, support=0.05).collect()}
     want = set()
     for i, ((_, _, t), (rule, v)) in enumerate(zip(parsed, explicit, strict=True)):
@@ -737,6 +749,27 @@ def test_url_verdicts_equal_brute_force(spark):
     assert {x for x in got if x[3]} == {x for x in want if x[3]}
 
 
+def test_long_urls_repeated_in_many_rows_are_mined_in_pieces(spark):
+    """Forty path segments in a third of all labelled rows: tokens of the same rows count once, and others are cut into pieces."""
+    rnd = random.Random(9)
+    long = "http://a.net/" + "/".join(f"seg{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(40))
+    parts = [f"p{chr(97 + i)}" for i in range(12)]
+    urls = [long] * 200 + [f"http://b{rnd.choice('cd')}.net/" + "/".join(rnd.sample(parts, 10)) for _ in range(200)] + [f"http://z.org/fr/{rnd.choice('uvw')}" for _ in range(200)] + ["http://a.com/" + long.split("/", 3)[3]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlrules.filter_urls(df).collect()}
+    assert len(got) == len(urls) and got[600].verdict == "block" and got[600].mined_rule
+    sizes = urlrules._pieces(spark.createDataFrame([(i, [f"t{j}" for j in range(25) if (i >> j % 5) & 1 or j == i % 25], "block") for i in range(64)], "row long, tokens array<string>, verdict string"), 1).select("items").collect()
+    assert max(len(r.items) for r in sizes) <= urlrules.MOST_TOKENS
+
+
+def test_pages_that_no_rule_decides_are_the_contrast(spark):
+    """All labelled pages of a host label are blocked, but they are few of its pages: it decides nothing; what stands on blocked pages alone does."""
+    urls = [f"http://example.com/de/win/{i}" for i in range(60)] + [f"http://other.com/en/{i}" for i in range(300)] + [f"http://y.org/fr/{i}" for i in range(40)] + ["http://example.org/de/win/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlrules.filter_urls(df).collect()}
+    assert {got[i].verdict for i in range(60, 360)} == {"allow"} and got[400].verdict == "block" and got[400].mined_rule == "host:example"
+
+
 BASE = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
