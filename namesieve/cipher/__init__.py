@@ -3,6 +3,10 @@
 `PlainCipher` packs vectors without encrypting them: it gives NO confidentiality
 and exists to run and test the protocol.  `TensealCipher` wraps CKKS where the
 tenseal package is installed.  Both exchange bytes only.
+
+Keys are made once, by `key_pair`, and travel as bytes: the asking party's tasks
+get the secret one, the answering party's the public one, which cannot decrypt.
+A ciphertext of one pair means nothing to another.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 class Cipher(Protocol):
     confidential: bool
 
+    def secret_context(self) -> bytes: ...
     def public_context(self) -> bytes: ...
     def encrypt(self, vector: np.ndarray) -> bytes: ...
     def decrypt(self, data: bytes) -> np.ndarray: ...
@@ -34,11 +39,16 @@ def _same(x: np.ndarray, y: np.ndarray) -> None:
         raise ValueError(f"lengths differ: {x.shape[-1]} and {y.shape[0]}")
 
 
-@dataclass(frozen=True)
 class PlainCipher:
     """Little-endian doubles; no confidentiality."""
 
-    confidential: bool = False
+    confidential = False
+
+    def __init__(self, context: bytes | None = None):
+        pass
+
+    def secret_context(self) -> bytes:
+        return b"plain"
 
     def public_context(self) -> bytes:
         return b"plain"
@@ -87,6 +97,9 @@ class TensealCipher:
         else:
             self.context = ts.context_from(context)
 
+    def secret_context(self) -> bytes:
+        return self.context.serialize(save_secret_key=True)
+
     def public_context(self) -> bytes:
         return self.context.serialize(save_secret_key=False)
 
@@ -117,15 +130,40 @@ class TensealCipher:
         return (self._load(data) * list(map(float, vector))).serialize()
 
 
-def backend(name: str = "plain") -> Cipher:
-    if name == "plain":
-        return PlainCipher()
-    if name == "tenseal":
-        return TensealCipher()
-    raise ValueError(f"unknown cipher backend {name}")
+#: Schemes by name; each is made from the bytes of a context, or without any with new keys.
+SCHEMES: dict[str, type] = {"plain": PlainCipher, "tenseal": TensealCipher}
+
+
+@dataclass(frozen=True)
+class Key:
+    """A scheme (its name, or a class like those above), and the context of one party as bytes."""
+
+    scheme: str | type
+    context: bytes
+
+
+def key_pair(scheme: str | type = "plain") -> tuple[Key, Key]:
+    """(secret, public) keys of a new context."""
+    made = _scheme(scheme)()
+    return Key(scheme, made.secret_context()), Key(scheme, made.public_context())
+
+
+def _scheme(scheme: str | type) -> type:
+    if isinstance(scheme, str) and scheme not in SCHEMES:
+        raise ValueError(f"unknown cipher backend {scheme}")
+    return SCHEMES[scheme] if isinstance(scheme, str) else scheme
+
+
+def backend(key: str | Key = "plain") -> Cipher:
+    """The cipher of a key; by its name alone only a scheme that has no keys."""
+    if isinstance(key, Key):
+        return _scheme(key.scheme)(key.context)
+    if _scheme(key).confidential:
+        raise ValueError(f"{key} needs a key, which key_pair makes once for all tasks")
+    return _scheme(key)()
 
 
-def encrypted(vector: Column, name: str = "plain") -> Column:
+def encrypted(vector: Column, name: str | Key = "plain") -> Column:
     """ARRAY<DOUBLE> to BINARY."""
     def run(s: pd.Series) -> pd.Series:
         cipher = backend(name)
@@ -134,7 +172,7 @@ def encrypted(vector: Column, name: str = "plain") -> Column:
     return F.pandas_udf(run, "binary")(vector)
 
 
-def decrypted(data: Column, name: str = "plain") -> Column:
+def decrypted(data: Column, name: str | Key = "plain") -> Column:
     """BINARY to ARRAY<DOUBLE>."""
     def run(s: pd.Series) -> pd.Series:
         cipher = backend(name)

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cipher import backend, error_study, study_report
+from .cipher import backend, error_study, key_pair, study_report
 from .functions.text import positions
 from .params import TAU
 from .plans import demo
@@ -64,7 +64,8 @@ def _events(spark: SparkSession, a: argparse.Namespace, asked: dict) -> Iterator
     if asked.get("query_mode") == "text" and asked.get("query"):
         queries = spark.createDataFrame([(0, asked["query"], None)], "query_id bigint, name string, label boolean")
     elif asked.get("query_mode") == "indices" and asked.get("query_indices"):
-        queries = datasets.pick(queries, asked["query_indices"], queries.count())
+        n = queries.count()  # a request leaves out positions beyond the list, a command refuses them
+        queries = datasets.pick(queries, [i for i in asked["query_indices"] if asked.get("strict") or 0 <= i < n], n)
     else:
         queries = demo.demo_queries(spark)
     yield from demo.steps(queries, names, asked.get("k", 10), asked.get("tau", TAU), asked.get("early_stop", True), a.cipher)
@@ -130,7 +131,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command in ("demo", "stream-demo"):
         asked = {"db_limit": a.db_limit, "k": a.k or "sqrt", "tau": a.tau, "early_stop": not a.no_early_stop}
         if a.command == "demo":
-            asked |= {"query_mode": "indices", "query_indices": a.query_indices}
+            asked |= {"query_mode": "indices", "query_indices": a.query_indices, "strict": True}
         elif a.query:
             asked |= {"query_mode": "text", "query": a.query}
         done = {}
@@ -141,7 +142,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "card":
         print(json.dumps(datasets.card(*datasets.load_dataset(spark, a.dataset, a.data_path), a.dataset), indent=2, ensure_ascii=False))
     elif a.command == "errors":
-        print(study_report(error_study(backend(a.cipher), a.samples)))
+        print(study_report(error_study(backend(key_pair(a.cipher)[0]), a.samples)))
     else:
         server(spark, a).serve_forever()
     return 0

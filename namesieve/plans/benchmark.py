@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..cipher import backend, encrypted
+from ..cipher import encrypted, key_pair
 from ..operators import metrics
 from ..operators.index import build_index
 from ..params import EL_CLUSTER, EL_MATCH, SEED, TAU
@@ -59,11 +59,10 @@ def benchmark(spark: SparkSession, config: dict) -> dict:
     if (c["el_cluster"], c["el_match"]) != (EL_CLUSTER, EL_MATCH):
         raise ValueError(f"signatures have {EL_CLUSTER} and {EL_MATCH} numbers")
     timer = StageTimer()
-    path = "" if c["use_mock"] else c["data_path"]
-    queries, names = load_dataset(spark, c["dataset"], path, c["query_limit"], c["db_limit"])
+    queries, names = load_dataset(spark, c["dataset"], c["data_path"], c["query_limit"], c["db_limit"])
     with timer.stage("offline"):
         index = build_index(names, c["k"] or c["k_mode"], c["seed"])
-    name, k = c["cipher"], index.k
+    (secret, public), k = key_pair(c["cipher"]), index.k
     held = []
 
     def keep(df):
@@ -73,19 +72,19 @@ def benchmark(spark: SparkSession, config: dict) -> dict:
     try:
         with timer.stage("round1"):
             vectors = keep(query_vectors(queries, index))
-            request = keep(vectors.select("query_id", encrypted(F.col("q200"), name).alias("ct200")))
-            state = vectors.select("query_id", encrypted(F.col("q50"), name).alias("ct50"))
-            reply = keep(rounds.first_reply(request, index.centroids, name))
-            second, _ = rounds.second_request(rounds.decrypted_scores(reply, name), state, k, name)
+            request = keep(vectors.select("query_id", encrypted(F.col("q200"), secret).alias("ct200")))
+            state = vectors.select("query_id", encrypted(F.col("q50"), secret).alias("ct50"))
+            reply = keep(rounds.first_reply(request, index.centroids, public))
+            second, _ = rounds.second_request(rounds.decrypted_scores(reply, secret), state, k, secret)
             n = keep(second).count()
         with timer.stage("round2"):
-            answers = keep(rounds.second_reply(second, index.members, k, index.max_size, c["tau"], name))
-            debug = rounds.judged(answers, index.max_size, c["early_stop"], name)
+            answers = keep(rounds.second_reply(second, index.members, k, index.max_size, c["tau"], public))
+            debug = rounds.judged(answers, index.max_size, c["early_stop"], secret)
             judged = keep(debug.join(queries.select("query_id", "label"), "query_id").withColumnRenamed("catch", "predicted"))
             counts = keep(metrics.confusion(judged))
             confusion = counts.first().asDict()
         size = lambda df, *cols: df.agg(F.sum(sum(F.octet_length(x) for x in cols))).first()[0] or 0
-        context = len(backend(name).public_context()) * (1 if c["reuse_context"] else n)
+        context = len(public.context) * (1 if c["reuse_context"] else n)
         sent = context + size(request, "ct200") + size(second, "ct50", "selector")
         checked = answers.join(judged.select("query_id", "checked_columns"), "query_id").where("column_index < checked_columns")
         received = size(reply.select(F.explode("scores").alias("x")), "x") + size(checked, "masked")

@@ -38,7 +38,7 @@ def steps(queries: DataFrame, names: DataFrame, k: int | str = 10, tau: float =
     queries: query_id, name, label and, on demand, expected (the name to find).
     All queries go through each step together; times a query are means.
     """
-    from ..cipher import encrypted
+    from ..cipher import encrypted, key_pair
     from .protocol import query_vectors
 
     held: list[DataFrame] = []
@@ -55,23 +55,24 @@ def steps(queries: DataFrame, names: DataFrame, k: int | str = 10, tau: float =
         number, spent, last = number + 1, now - last, now
         return {"event": "step_complete", "step": number, "name": step, "party": party, "data": data, "timing_ms": 1000 * spent}
 
+    secret, public = key_pair(name)
     index = build_index(names, k)
     sizes = size_summary(cluster_sizes(index.members, index.k)).first()
     try:
         yield (offline := event("offline preparation", "B", records=index.n, clusters=index.k, least=sizes.least, most=sizes.most, mean=sizes["mean"]))
         vectors = keep(query_vectors(queries, index))
-        request = keep(vectors.select("query_id", encrypted(F.col("q200"), name).alias("ct200")))
+        request = keep(vectors.select("query_id", encrypted(F.col("q200"), secret).alias("ct200")))
         n = request.count()
         yield (asked := event("first request", "A", queries=n, bytes=request.agg(F.sum(F.octet_length("ct200"))).first()[0] or 0))
-        reply = keep(rounds.first_reply(request, index.centroids, name))
+        reply = keep(rounds.first_reply(request, index.centroids, public))
         yield (scored := event("centroid scores", "B", ciphertexts=reply.agg(F.sum(F.size("scores"))).first()[0] or 0))
-        state = vectors.select("query_id", encrypted(F.col("q50"), name).alias("ct50"))
-        second, chosen = rounds.second_request(rounds.decrypted_scores(reply, name), state, index.k, name)
+        state = vectors.select("query_id", encrypted(F.col("q50"), secret).alias("ct50"))
+        second, chosen = rounds.second_request(rounds.decrypted_scores(reply, secret), state, index.k, secret)
         chosen = keep(chosen)
         yield (picked := event("second request", "A", queries=keep(second).count()))
-        answers = keep(rounds.second_reply(second, index.members, index.k, index.max_size, tau, name))
+        answers = keep(rounds.second_reply(second, index.members, index.k, index.max_size, tau, public))
         yield (matched := event("column scores", "B", ciphertexts=answers.count()))
-        debug = keep(rounds.judged(answers, index.max_size, early_stop, name).join(chosen, "query_id"))
+        debug = keep(rounds.judged(answers, index.max_size, early_stop, secret).join(chosen, "query_id"))
         caught = debug.where("catch").count()
         yield (last_step := event("judgement", "A", caught=caught))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cipher import backend, decrypted, encrypted
+from ..cipher import Key, backend, decrypted, encrypted, key_pair
 from ..functions.minhash import matrix
 from ..functions.vector import one_hot
 from ..operators.index import Index
@@ -50,7 +50,7 @@ def best_cluster(scores: Column, k: int) -> Column:
     return F.when(good, F.array_position(scores, F.array_max(scores)).cast("int") - 1).otherwise(F.raise_error(F.lit("scores must be one finite number for each cluster")).cast("int"))
 
 
-def first_reply(request: DataFrame, centroids: np.ndarray, name: str = "plain") -> DataFrame:
+def first_reply(request: DataFrame, centroids: np.ndarray, name: str | Key = "plain") -> DataFrame:
     """The answering party: a score ciphertext of each centroid."""
     def run(batches):
         cipher = backend(name)
@@ -61,7 +61,7 @@ def first_reply(request: DataFrame, centroids: np.ndarray, name: str = "plain")
     return request.select("query_id", "ct200").mapInArrow(run, "query_id bigint, scores array<binary>")
 
 
-def decrypted_scores(reply: DataFrame, name: str = "plain") -> DataFrame:
+def decrypted_scores(reply: DataFrame, name: str | Key = "plain") -> DataFrame:
     """The asking party: query_id, scores in the clear."""
     def run(batches):
         cipher = backend(name)
@@ -71,14 +71,14 @@ def decrypted_scores(reply: DataFrame, name: str = "plain") -> DataFrame:
     return reply.select("query_id", "scores").mapInArrow(run, "query_id bigint, scores array<double>")
 
 
-def second_request(scores: DataFrame, state: DataFrame, k: int, name: str = "plain") -> tuple[DataFrame, DataFrame]:
+def second_request(scores: DataFrame, state: DataFrame, k: int, name: str | Key = "plain") -> tuple[DataFrame, DataFrame]:
     """(request, what stays: query_id, selected_cluster) from decrypted scores and the state (query_id, ct50)."""
     chosen = scores.select("query_id", best_cluster(F.col("scores"), k).alias("selected_cluster"))
     selector = encrypted(valid_selector(one_hot(F.col("selected_cluster"), k)), name)
     return state.join(chosen, "query_id").select("query_id", "ct50", selector.alias("selector")), chosen
 
 
-def second_reply(request: DataFrame, members: DataFrame, k: int, max_size: int, tau: float = TAU, name: str = "plain", columns: int = COLUMNS, queries: int = QUERIES) -> DataFrame:
+def second_reply(request: DataFrame, members: DataFrame, k: int, max_size: int, tau: float = TAU, name: str | Key = "plain", columns: int = COLUMNS, queries: int = QUERIES) -> DataFrame:
     """The answering party: mask x (score - tau) of every column; a fresh mask for each.
 
     members: cluster_id, column_index, sig50, n2_50; missing ones are zero vectors.
@@ -110,7 +110,7 @@ def second_reply(request: DataFrame, members: DataFrame, k: int, max_size: int,
     return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(answer, "query_id bigint, column_index bigint, masked binary")
 
 
-def judged(reply: DataFrame, max_size: int, early_stop: bool = True, name: str = "plain") -> DataFrame:
+def judged(reply: DataFrame, max_size: int, early_stop: bool = True, name: str | Key = "plain") -> DataFrame:
     """The asking party: query_id, catch, first_positive_column, checked_columns; only query_id and catch are the result."""
     def clear(data: pd.Series) -> pd.Series:
         cipher = backend(name)
@@ -132,14 +132,15 @@ class Rounds:
     messages: DataFrame
 
 
-def run_rounds(vectors: DataFrame, centroids: np.ndarray, members: DataFrame, max_size: int, tau: float = TAU, early_stop: bool = True, name: str = "plain") -> Rounds:
-    """Both rounds for vectors (query_id, q200, q50)."""
-    request = vectors.select("query_id", encrypted(F.col("q200"), name).alias("ct200"))
-    state = vectors.select("query_id", encrypted(F.col("q50"), name).alias("ct50"))
-    reply = first_reply(request, centroids, name)
-    second, chosen = second_request(decrypted_scores(reply, name), state, len(centroids), name)
-    answers = second_reply(second, members, len(centroids), max_size, tau, name)
-    debug = judged(answers, max_size, early_stop, name).join(chosen, "query_id")
+def run_rounds(vectors: DataFrame, centroids: np.ndarray, members: DataFrame, max_size: int, tau: float = TAU, early_stop: bool = True, name: str | tuple[Key, Key] = "plain") -> Rounds:
+    """Both rounds for vectors (query_id, q200, q50); name: a scheme, or a pair of keys (secret, public)."""
+    secret, public = name if isinstance(name, tuple) else key_pair(name)
+    request = vectors.select("query_id", encrypted(F.col("q200"), secret).alias("ct200"))
+    state = vectors.select("query_id", encrypted(F.col("q50"), secret).alias("ct50"))
+    reply = first_reply(request, centroids, public)
+    second, chosen = second_request(decrypted_scores(reply, secret), state, len(centroids), secret)
+    answers = second_reply(second, members, len(centroids), max_size, tau, public)
+    debug = judged(answers, max_size, early_stop, secret).join(chosen, "query_id")
     size = lambda c: F.octet_length(c).cast("long")
     sent = request.select("query_id", size("ct200").alias("sent"), F.lit(0).cast("long").alias("received")).union(second.select("query_id", size("ct50") + size("selector"), F.lit(0).cast("long")))
     received = reply.select("query_id", F.lit(0).cast("long"), F.aggregate("scores", F.lit(0).cast("long"), lambda s, x: s + size(x))).union(answers.select("query_id", F.lit(0).cast("long"), size("masked")))
@@ -147,7 +148,7 @@ def run_rounds(vectors: DataFrame, centroids: np.ndarray, members: DataFrame, ma
     return Rounds(debug.select("query_id", "catch"), debug, messages)
 
 
-def run_encrypted(queries: DataFrame, index: Index, tau: float = TAU, early_stop: bool = True, name: str = "plain") -> Rounds:
+def run_encrypted(queries: DataFrame, index: Index, tau: float = TAU, early_stop: bool = True, name: str | tuple[Key, Key] = "plain") -> Rounds:
     """Both rounds for queries (query_id, name) against an index."""
     return run_rounds(query_vectors(queries, index), index.centroids, index.members, index.max_size, tau, early_stop, name)
 
