@@ -78,6 +78,12 @@ def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def by_volume(docs: DataFrame, text_col: str = "text", chars: int = 1 << 26) -> int:
+    """Partitions for a range sort of texts: spark.sql.shuffle.partitions, or more, so that none holds much over `chars` characters, however large the corpus is."""
+    total = docs.agg(F.sum(F.length(text_col)).alias("n")).first().n or 0
+    return min(max(slots(docs.sparkSession), -(-total // chars)), 100_000)
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
     """docs with a column that tells its rows apart, and that column's name.
 

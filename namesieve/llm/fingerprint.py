@@ -10,7 +10,11 @@ offset.  Names of the third level (some 25 code points each) identify a text;
 the fingerprint holds the `keep` least of them, which estimates the resemblance
 of the sets of names of two texts without bias.
 
-Null and empty texts have the empty fingerprint, which is like itself alone.
+Null and empty texts have the empty fingerprint, which is like itself alone; very
+long texts are parsed whole; equal names count once, so there are no ties;
+repeated rows have equal fingerprints, and are each other's next document (rows
+that share a doc_id go by text); extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import careful, frugal, slots, written
+from ._spark import by_volume, careful, frugal, written
 from ._text import mix
 
 LEVELS, KEEP = 3, 64
@@ -139,7 +143,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     careful(spark)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    ranged = base.repartitionByRange(slots(spark), "k").sortWithinPartitions("k", "t")
+    ranged = base.repartitionByRange(by_volume(docs, text_col), "k").sortWithinPartitions("k", "t")
     extra = ", kind int, part int, t string"
 
     def run(batches):

@@ -13,9 +13,11 @@ then n doc_ids, then n + 1 offsets within the shard).  A shard is written under
 a temporary name and renamed when whole, and only the attempt that Spark
 accepted is listed, so lost executors and speculative tasks do no harm.
 
-Null texts are empty (the end id alone), null doc_ids come first (as the least
-64-bit integer), rows that share a doc_id are ordered by text, extra columns
-are ignored, an empty table gives no shards.
+There are as many shards as spark.sql.shuffle.partitions, or more, so that none
+holds much over 64 million characters.  Null texts are empty (the end id alone),
+very long ones are encoded whole, null doc_ids come first (as the least 64-bit
+integer), rows that share a doc_id are ordered by text, ties beyond that are
+equal rows, extra columns are ignored, an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import careful, frugal, shared_folder, slots
+from ._spark import by_volume, careful, frugal, shared_folder
 from .tokens import encoder
 
 LEAST = -(1 << 63)
@@ -81,7 +83,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         yield pa.RecordBatch.from_pydict({"part": [ctx.partitionId()], "path": [name], "n_docs": [len(doc_ids)], "n_ids": [total], "bits": [8 * kind().itemsize]})
 
     ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    ordered = ordered.repartitionByRange(shards or slots(spark), "k").sortWithinPartitions("k", "t")
+    ordered = ordered.repartitionByRange(shards or by_volume(docs, text_col), "k").sortWithinPartitions("k", "t")
     rows = ordered.mapInArrow(frugal(shard, keep_encoder=True), "part long, path string, n_docs long, n_ids long, bits long").collect()
     manifest, base = [], 0
     for r in sorted(rows):
