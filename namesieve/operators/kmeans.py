@@ -6,11 +6,12 @@ added by cluster and dimension with partial aggregates, so a hot cluster costs
 each task one row a dimension.
 
 Few rows change their cluster in later rounds.  A written table keeps each
-row's cluster and its angle to the second nearest centroid; angles are a metric,
-so a row stays where it is, and is multiplied with its own centroid alone, while
-its angle to that is less than this bound less the furthest that any centroid
-has moved since.  The table is written anew when it has lost its force.
-Centroids are those of multiplying everything.
+row's cluster, and of each of GROUPS groups of centroids the angle to the nearest
+one (its own left out).  Angles are a metric: while a row's angle to its own
+centroid is less than a group's bound less the furthest that a centroid of the
+group has moved since, no centroid of that group can be nearer, and none is
+multiplied.  The table is written anew when it has lost its force.  Centroids are
+those of multiplying everything.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ MOST_CLUSTERS = 400_000
 _BLOCK = 4096
 #: Radians by which bounds are loosened: far above what rounding cosines to 12 decimals can make of an angle.
 _LOOSE = 1e-5
+GROUPS = 12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -38,47 +40,68 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cluster of greatest cosine for each row, the lowest of equal ones, and that cosine."""
-    return _two_nearest(x, centroids)[:2]
-
-
-def _two_nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As nearest, and the greatest cosine with any other cluster (-1 if there is none)."""
     x = _unit(x)
-    best, top, second = np.zeros(len(x), np.int64), np.full(len(x), -np.inf), np.full(len(x), -1.0)
+    best, top = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
     for a in range(0, len(centroids), _BLOCK):  # a bounded product at a time
-        sims = np.round(x @ _unit(centroids[a : a + _BLOCK]).T, 12)  # else rounding errors choose among equal centroids
-        at, rows = sims.argmax(1), np.arange(len(x))
-        value = sims[rows, at]
-        sims[rows, at] = -1.0
-        second = np.maximum(second, np.where(value > top, np.maximum(top, sims.max(1)), value))
+        sims = _cosines(x, centroids[a : a + _BLOCK])
+        at = sims.argmax(1)
+        value = sims[np.arange(len(x)), at]
         better = value > top
         best[better], top[better] = at[better] + a, value[better]
-    return best, top, np.maximum(second, -1.0)
+    return best, top
+
+
+def _cosines(unit_rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.round(unit_rows @ _unit(centroids).T, 12)  # else rounding errors choose among equal centroids
+
+
+def groups_of(centroids: np.ndarray) -> np.ndarray:
+    """A group for each centroid: GROUPS of them at most, around centroids far from each other."""
+    unit, chosen = _unit(centroids), [0]
+    near = unit @ unit[0]
+    while len(chosen) < min(GROUPS, len(unit)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return (unit @ unit[chosen].T).argmax(1)
 
 
 def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def _round(points: DataFrame, centroids: np.ndarray, vector: str, id_col: str, moved: float | None = None) -> tuple[np.ndarray, int]:
-    """The next centroids and the number of products; moved: points have own and bound, and no centroid has moved further since."""
+def _renewed(x: np.ndarray, own: np.ndarray, bounds: np.ndarray, centroids: np.ndarray, groups: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(cluster, cosine) of each row as nearest gives them, and the number of products; bounds: angles to each group's nearest centroid but their own, before these moved."""
+    x, best = _unit(x), own.copy()
+    top = np.round(np.einsum("ij,ij->i", x, _unit(centroids[own])), 12)
+    loose = _angle(top)[:, None] + _LOOSE >= bounds - moved
+    products = len(x)
+    for g in range(bounds.shape[1]):
+        rows, members = np.flatnonzero(loose[:, g]), np.flatnonzero(groups == g)
+        products += len(rows) * len(members)
+        for a in range(0, len(members) if len(rows) else 0, _BLOCK):
+            some = members[a : a + _BLOCK]
+            sims = _cosines(x[rows], centroids[some])
+            at = sims.argmax(1)
+            value, found = sims[np.arange(len(rows)), at], some[at]
+            better = (value > top[rows]) | (value == top[rows]) & (found < best[rows])
+            best[rows[better]], top[rows[better]] = found[better], value[better]
+    return best, top, products
+
+
+def _round(points: DataFrame, centroids: np.ndarray, vector: str, id_col: str, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, int]:
+    """The next centroids and the number of products; state: points have own and bounds, for these groups, whose centroids have not moved further since."""
     k, width = centroids.shape
-    kept = [] if moved is None else ["own", "bound"]
+    kept = [] if state is None else ["own", "bounds"]
 
     def run(batches):
         for batch in batches:
             x = matrix(batch.column(1), width)
             if not len(x):
                 continue
-            if moved is None:
-                best, sims = nearest(x, centroids)
-                products = len(x) * k
+            if state is None:
+                (best, sims), products = nearest(x, centroids), len(x) * k
             else:
-                best = batch.column(2).to_numpy().astype(np.int64)
-                sims = np.round(np.einsum("ij,ij->i", _unit(x), _unit(centroids[best])), 12)
-                loose = np.flatnonzero(_angle(sims) + _LOOSE >= batch.column(3).to_numpy() - moved)
-                best[loose], sims[loose] = nearest(x[loose], centroids)
-                products = len(x) + len(loose) * k
+                best, sims, products = _renewed(x, batch.column(2).to_numpy().astype(np.int64), matrix(batch.column(3), len(state[1])), centroids, *state)
             order = np.argsort(best, kind="stable")
             some, starts = np.unique(best[order], return_index=True)
             sums = np.add.reduceat(x[order], starts, axis=0)
@@ -114,17 +137,26 @@ def lloyd_round(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_
     return _round(points, centroids, vector, id_col)[0]
 
 
-def bounded(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_col: str = "id") -> DataFrame:
-    """A written table of the points with own, their cluster, and bound, the angle to the second nearest centroid."""
-    width = centroids.shape[1]
+def bounded(points: DataFrame, centroids: np.ndarray, groups: np.ndarray, vector: str = "z", id_col: str = "id") -> DataFrame:
+    """A written table of the points with own, their cluster, and bounds, the angle to the nearest centroid of each group but their own."""
+    width, many = centroids.shape[1], int(groups.max()) + 1
 
     def run(batches):
         for batch in batches:
-            best, _, second = _two_nearest(matrix(batch.column(1), width), centroids)
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), vector: batch.column(1), "own": pa.array(best.astype(np.int32)), "bound": pa.array(_angle(second))})
+            x = _unit(matrix(batch.column(1), width))
+            best, _ = nearest(x, centroids)
+            bounds = np.full((len(x), many), np.pi)
+            for a in range(0, len(centroids), _BLOCK):
+                sims = _cosines(x, centroids[a : a + _BLOCK])
+                mine = np.flatnonzero((best >= a) & (best < a + sims.shape[1]))
+                sims[mine, best[mine] - a] = -1.0
+                for g in np.unique(groups[a : a + _BLOCK]):
+                    bounds[:, g] = np.minimum(bounds[:, g], _angle(sims[:, groups[a : a + _BLOCK] == g].max(1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * many), pa.array(bounds.ravel()))
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), vector: batch.column(1), "own": pa.array(best.astype(np.int32)), "bounds": lists})
 
     base = points.select(F.col(id_col).cast("bigint"), vector)
-    return written(base.mapInArrow(run, f"{id_col} bigint, {vector} array<double>, own int, bound double"))
+    return written(base.mapInArrow(run, f"{id_col} bigint, {vector} array<double>, own int, bounds array<double>"))
 
 
 def seeds(points: DataFrame, n: int, k: int, seed: int = SEED, vector: str = "z", id_col: str = "id") -> np.ndarray:
@@ -150,17 +182,20 @@ def fit(points: DataFrame, k: int, seed: int = SEED, rounds: int = KMEANS_ROUNDS
     if min(k, n) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters: centroids are held by the driver and every task")
     centroids = _unit(seeds(points, n, min(k, n), seed, vector, id_col))
-    k, state, moved, share = len(centroids), None, 0.0, 1.0
+    k, table, groups, moved, share = len(centroids), points, None, None, 1.0
     for number in range(rounds):
         extra = 0
         if number and share > 0.5:
-            state, moved, extra = bounded(points, centroids, vector, id_col), 0.0, n * k
+            groups = groups_of(centroids)
+            table, moved, extra = bounded(points, centroids, groups, vector, id_col), np.zeros(int(groups.max()) + 1), n * k
         before = centroids
-        centroids, products = _round(points if state is None else state, centroids, vector, id_col, None if state is None else moved)
+        centroids, products = _round(table, centroids, vector, id_col, None if groups is None else (groups, moved))
         share = products / (n * k)
         if shares is not None:
             shares.append(share + extra / (n * k))
-        moved += float(_angle(np.einsum("ij,ij->i", _unit(before), _unit(centroids))).max()) + _LOOSE
+        if groups is not None:
+            step = _angle(np.einsum("ij,ij->i", _unit(before), _unit(centroids))) + _LOOSE
+            moved = moved + np.array([step[groups == g].max(initial=0.0) for g in range(len(moved))])
         if np.linalg.norm(centroids - before, axis=1).max() < KMEANS_SHIFT:
             break
     return centroids

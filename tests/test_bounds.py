@@ -135,14 +135,25 @@ def test_rounds_with_bounds_equal_full_rounds(spark):
     assert len(shares) > 4 and min(shares[2:]) < 0.5 and np.mean(shares) < 1
 
 
-def test_second_nearest_is_the_bound(spark):
+def test_renewed_clusters_are_the_nearest_ones(monkeypatch):
+    monkeypatch.setattr(kmeans, "_BLOCK", 7)
     rnd = np.random.RandomState(4)
-    x, c = rnd.normal(size=(300, 6)), rnd.normal(size=(9000, 6))
-    best, top, second = kmeans._two_nearest(x, c)
+    x, c = rnd.normal(size=(300, 6)), rnd.normal(size=(40, 6))
+    c[5] = c[17]  # equal ones: the lower number
+    x[:5] = c[17]
+    groups = kmeans.groups_of(c)
+    assert len(set(groups.tolist())) == kmeans.GROUPS
+    own, _ = kmeans.nearest(x, c)
     sims = kmeans._unit(x) @ kmeans._unit(c).T
-    ordered = np.sort(sims, axis=1)
-    assert (best == sims.argmax(1)).all() and np.allclose(top, ordered[:, -1]) and np.allclose(second, ordered[:, -2])
-    assert kmeans._two_nearest(x, c[:1])[2].tolist() == [-1.0] * 300
+    sims[np.arange(300), own] = -1
+    bounds = np.stack([kmeans._angle(sims[:, groups == g].max(1)) for g in range(kmeans.GROUPS)], 1)
+    for scale in (0.0, 0.02, 0.5):
+        new = c + scale * rnd.normal(size=c.shape) * (np.arange(40) % 3 == 0)[:, None]
+        step = kmeans._angle((kmeans._unit(c) * kmeans._unit(new)).sum(1)) + 1e-5
+        moved = np.array([step[groups == g].max() for g in range(kmeans.GROUPS)])
+        best, top, products = kmeans._renewed(x, own, bounds, new, groups, moved)
+        want = kmeans.nearest(x, new)
+        assert (best == want[0]).all() and np.allclose(top, want[1]) and (products < 300 * 20 or scale == 0.5)
 
 
 @pytest.mark.parametrize("few", [10_000, 10])
