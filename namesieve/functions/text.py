@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,6 +30,11 @@ def clean_name(name: Column, nfkc: bool = True) -> Column:
     return F.trim(F.regexp_replace(kept, f"[{SPACE}]+", " "))
 
 
+def cleaned(name: str) -> str:
+    """clean_name for one text in Python, for functions of Arrow batches."""
+    return re.sub(f"[{SPACE}]+", " ", re.sub(f"[^a-z{SPACE}]", "", unicodedata.normalize("NFKC", name).lower())).strip(" ")
+
+
 def shingles(clean: Column, size: int = SHINGLE) -> Column:
     """Distinct trigrams of a cleaned name; the whole of a shorter one; one marker for an empty one."""
     n = F.length(clean)

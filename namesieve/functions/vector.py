@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -12,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import EL_MATCH
 from .minhash import signature, signatures_of
-from .text import SPACE, _nfkc, clean_name
+from .text import SPACE, _nfkc, clean_name, cleaned
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -43,7 +40,7 @@ def one_hot(position: Column, k: int) -> Column:
 def _minhash(s: pd.Series) -> pd.Series:
     """Signatures of names; null stays null."""
     known = s.notna()
-    clean = s[known].map(lambda x: re.sub(f"[{SPACE}]+", " ", re.sub(f"[^a-z{SPACE}]", "", unicodedata.normalize("NFKC", x).lower())).strip(" "))
+    clean = s[known].map(cleaned)
     found = iter(signatures_of(pa.array(clean, pa.string()))[:, :EL_MATCH]) if len(clean) else iter(())
     return pd.Series([next(found) if x else None for x in known], dtype=object)
 
