@@ -193,7 +193,7 @@ def first_hit(judged: DataFrame, members: DataFrame) -> DataFrame:
 
 def screen(queries: DataFrame, index: Index, tau: float = TAU, early_stop: bool = True, nprobe: int = 1) -> DataFrame:
     """Both rounds for all queries (query_id, name)."""
-    asked = probe(queries, index, nprobe)
+    asked = written(probe(queries, index, nprobe))  # encoded once for what follows
     hits = hits_clustered(asked, index.members, tau, least=True) if index.blocks is None else hits_packed(asked, index.blocks, tau)
     return judge(scored(asked, hits), index.max_size, tau, early_stop)
 
