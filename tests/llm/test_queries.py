@@ -16,7 +16,8 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(queries.ORACLES[name]).df()
     by = sorted(got.columns)
     assert got[by].sort_values(by).to_numpy().tolist() == want[by].sort_values(by).to_numpy().tolist()
