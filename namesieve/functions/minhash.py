@@ -17,11 +17,14 @@ _ROWS = 16_384
 
 
 def signature(clean: Column, m: int = EL_CLUSTER) -> Column:
-    """Least permuted shingle hash for each permutation, as ARRAY<BIGINT>: the specification form."""
+    """Least permuted shingle hash for each permutation, as ARRAY<BIGINT>: the specification form.
+
+    The hashes are bound to a variable (an array of one), else every permutation would hash all shingles anew.
+    """
     a, b = hash_family(m)
     family = F.array(*(F.struct(F.lit(int(x)).alias("a"), F.lit(int(y)).alias("b")) for x, y in zip(a, b, strict=True)))
     hashes = F.transform(shingles(clean), hash20)
-    return F.transform(family, lambda p: F.array_min(F.transform(hashes, lambda x: (p["a"] * x + p["b"]) % HASH_MOD)))
+    return F.transform(F.array(hashes), lambda h: F.transform(family, lambda p: F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % HASH_MOD))))[0]
 
 
 def _hash(text: str) -> int:
