@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.minhash import matrix
 from ..params import EL_CLUSTER
 
+#: Rows of a batch that are held as doubles at a time.
+ROWS = 1024
+
 
 def unit_rows(sig: np.ndarray) -> np.ndarray:
     """Rows of length 1; zero rows stay zero."""
@@ -17,19 +20,21 @@ def unit_rows(sig: np.ndarray) -> np.ndarray:
     return sig / np.where(norm == 0, 1, norm)
 
 
-def fit_scaler(encoded: DataFrame, width: int = EL_CLUSTER) -> DataFrame:
-    """(dim, mean, scale): mean and population deviation of each dimension of the unit rows; scale 1 for a constant one.
+def fit_scaler(encoded: DataFrame, width: int = EL_CLUSTER, weight: str | None = None) -> DataFrame:
+    """(dim, mean, scale): mean and population deviation of each dimension of the unit rows; scale 1 for a constant one; weight: a column with the number of times that a row counts.
 
-    Each batch sends one row of partial sums to the aggregate (Chan's formula joins them), not its rows x dimensions.
+    Each stretch of a batch sends one row of partial sums to the aggregate (Chan's formula joins them), not its rows x dimensions.
     """
     def partial(batches):
         for batch in batches:
-            x = unit_rows(matrix(batch.column(0), width))
-            if len(x):
-                mean = x.mean(0)
-                yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(width, dtype=np.int32)), "n": pa.array(np.full(width, len(x))), "m": pa.array(mean), "q": pa.array(((x - mean) ** 2).sum(0))})
-
-    parts = encoded.select("sig").mapInArrow(partial, "dim int, n bigint, m double, q double")
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                x = unit_rows(matrix(part.column(0), width))
+                w = np.ones(len(x), np.int64) if weight is None else part.column(1).to_numpy()
+                mean = w @ x / w.sum()
+                yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(width, dtype=np.int32)), "n": pa.array(np.full(width, w.sum())), "m": pa.array(mean), "q": pa.array(w @ (x - mean) ** 2)})
+
+    parts = encoded.select("sig", *([] if weight is None else [F.col(weight).cast("bigint")])).mapInArrow(partial, "dim int, n bigint, m double, q double")
     total = parts.groupBy("dim").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("q")).alias("q"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("b"))
     mean = F.col("s") / F.col("n")
     variance = F.greatest((F.col("q") + F.col("b") - F.col("n") * mean * mean) / F.col("n"), F.lit(0.0))
@@ -49,8 +54,10 @@ def standardised(encoded: DataFrame, mean: np.ndarray, scale: np.ndarray) -> Dat
 
     def run(batches):
         for batch in batches:
-            z = (unit_rows(matrix(batch.column("sig"), width)) - mean) / scale
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"z": pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * width), pa.array(z.ravel()))})
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                z = (unit_rows(matrix(part.column("sig"), width)) - mean) / scale
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {"z": pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * width), pa.array(z.ravel()))})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kinds}, z array<double>")

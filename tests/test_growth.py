@@ -32,3 +32,12 @@ def test_shingles_are_hashed_once_for_all_permutations(spark):
     clean = spark.createDataFrame([("large ring",)], "c string").where("c <> ''")
     found = plan(clean.select(minhash.signature(F.col("c"), 50).alias("s")))
     assert found.index("transform(array(") < found.index("sha2")  # bound before the permutations
+
+
+def test_weights_stand_for_repeated_rows(spark):
+    names = [(i, f"{'abcdefg'[i % 7]} ring {'xyz'[i % 3] * 3}") for i in range(60)]
+    rows = minhash.batch_encode(spark.createDataFrame(names, "id bigint, name string"))
+    each = queries._weighted(spark.createDataFrame(names, "id bigint, name string"))
+    assert each.count() == 21 and each.agg(F.sum("n")).first()[0] == 60
+    for a, b in zip(scaler.collected(scaler.fit_scaler(rows)), scaler.collected(scaler.fit_scaler(each, weight="n")), strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
