@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.minhash import batch_encode, matrix
 from ..params import EL_MATCH, choose_k
-from ..sources.tables import written
+from ..sources.tables import small_batches, written
 from . import kmeans, scaler, threshold
 
 BUCKETS, MANIFEST = 64, "MANIFEST.json"
@@ -75,6 +75,7 @@ def size_summary(sizes: DataFrame) -> DataFrame:
 
 def build_index(names: DataFrame, k: int | str = "sqrt", seed: int = 42, id_col: str = "id", name: str = "name") -> Index:
     """Offline preparation: encode, standardise, cluster, lay out; ids may be any numbers, and are positions for parity."""
+    small_batches(names.sparkSession)
     base = names.select(F.col(id_col).cast("bigint").alias("id"), F.col(name).alias("name"))
     encoded = written(batch_encode(base))
     n = encoded.count()

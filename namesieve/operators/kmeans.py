@@ -16,6 +16,8 @@ those of multiplying everything.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,8 @@ from ..sources.tables import bottom_k, written
 
 #: Centroids are held by the driver and every task: 640 MB at this many, which the default choice reaches at 160 billion names.
 MOST_CLUSTERS = 400_000
-_BLOCK = 4096
+#: Centroids and rows of one product.
+_BLOCK, _ROWS = 4096, 1024
 #: Radians by which bounds are loosened: far above what rounding cosines to 12 decimals can make of an angle.
 _LOOSE = 1e-5
 GROUPS = 12
@@ -40,14 +43,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cluster of greatest cosine for each row, the lowest of equal ones, and that cosine."""
-    x = _unit(x)
     best, top = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
-    for a in range(0, len(centroids), _BLOCK):  # a bounded product at a time
-        sims = _cosines(x, centroids[a : a + _BLOCK])
-        at = sims.argmax(1)
-        value = sims[np.arange(len(x)), at]
-        better = value > top
-        best[better], top[better] = at[better] + a, value[better]
+    for r in range(0, len(x), _ROWS):  # a bounded product at a time
+        rows, found, most = _unit(x[r : r + _ROWS]), best[r : r + _ROWS], top[r : r + _ROWS]
+        for a in range(0, len(centroids), _BLOCK):
+            sims = _cosines(rows, centroids[a : a + _BLOCK])
+            at = sims.argmax(1)
+            value = sims[np.arange(len(rows)), at]
+            better = value > most
+            found[better], most[better] = at[better] + a, value[better]
     return best, top
 
 
@@ -76,10 +80,10 @@ def _renewed(x: np.ndarray, own: np.ndarray, bounds: np.ndarray, centroids: np.n
     loose = _angle(top)[:, None] + _LOOSE >= bounds - moved
     products = len(x)
     for g in range(bounds.shape[1]):
-        rows, members = np.flatnonzero(loose[:, g]), np.flatnonzero(groups == g)
-        products += len(rows) * len(members)
-        for a in range(0, len(members) if len(rows) else 0, _BLOCK):
-            some = members[a : a + _BLOCK]
+        every, members = np.flatnonzero(loose[:, g]), np.flatnonzero(groups == g)
+        products += len(every) * len(members)
+        for r, a in itertools.product(range(0, len(every), _ROWS), range(0, len(members), _BLOCK)):
+            rows, some = every[r : r + _ROWS], members[a : a + _BLOCK]
             sims = _cosines(x[rows], centroids[some])
             at = sims.argmax(1)
             value, found = sims[np.arange(len(rows)), at], some[at]
@@ -137,12 +141,19 @@ def lloyd_round(points: DataFrame, centroids: np.ndarray, vector: str = "z", id_
     return _round(points, centroids, vector, id_col)[0]
 
 
+def _stretches(batches):
+    """The batches in stretches of _ROWS rows at most."""
+    for batch in batches:
+        for r in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(r, _ROWS)
+
+
 def bounded(points: DataFrame, centroids: np.ndarray, groups: np.ndarray, vector: str = "z", id_col: str = "id") -> DataFrame:
     """A written table of the points with own, their cluster, and bounds, the angle to the nearest centroid of each group but their own."""
     width, many = centroids.shape[1], int(groups.max()) + 1
 
     def run(batches):
-        for batch in batches:
+        for batch in _stretches(batches):
             x = _unit(matrix(batch.column(1), width))
             best, _ = nearest(x, centroids)
             bounds = np.full((len(x), many), np.pi)
@@ -208,7 +219,7 @@ def assign(points: DataFrame, centroids: np.ndarray, vector: str = "z", nprobe:
     unit = _unit(centroids)
 
     def run(batches):
-        for batch in batches:
+        for batch in _stretches(batches):
             x = matrix(batch.column(vector), width)
             top = nearest(x, centroids)[0][:, None] if nprobe == 1 else np.argsort(-np.round(_unit(x) @ unit.T, 12), axis=1, kind="stable")[:, :nprobe]
             row = np.repeat(np.arange(len(x)), top.shape[1])

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from ..functions.minhash import matrix
 from ..params import EL_MATCH, EPS, SEED, TAU
-from ..sources.tables import bottom_k, written
+from ..sources.tables import bottom_k, small_batches, written
 
 PIVOTS, RING, HEAD = 64, 0.2, 12
 BLOCK, MOST_BLOCKS = 2048, 1 << 14
 #: Packed rows of queries that one copy of a block meets.
 MEETS = 64
+#: Angles between queries and blocks that are held at a time.
+REACH = 1 << 20
 #: Radians and cosines by which bounds are loosened.
 SLACK = 1e-6
 
@@ -75,7 +77,9 @@ class Bounds:
 
     def reached(self, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
         """(row of x, place of a block) wherever neither the ball nor a range of angles rules a hit out."""
-        q, b = np.nonzero(angles(x, self.centre) <= self.radius + limit)
+        step = max(1, REACH // max(len(self.block), 1))
+        near = [np.nonzero(angles(x[a : a + step], self.centre) <= self.radius + limit) for a in range(0, len(x), step)]  # a bounded product at a time
+        q, b = (np.concatenate([r + i * step * (side == 0) for i, r in enumerate(z)]) if near else np.zeros(0, np.int64) for side, z in enumerate(zip(*near) if near else ((), ())))
         theta = angles(x, self.pivots)
         for a in range(0, len(q), 1 << 14):
             part = slice(a, a + (1 << 14))
@@ -103,6 +107,7 @@ def _unpack(ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray]
 
 def build_blocks(rows: DataFrame, pivots: int = PIVOTS, block: int = BLOCK, seed: int = SEED) -> Blocks:
     """Blocks of rows (id, v), a written table; where there is a column cell, blocks are cut from equal cells instead of rings."""
+    small_batches(rows.sparkSession)  # blocks are wide rows
     n = rows.count()
     drawn = bottom_k(rows, pivots, "id", seed).select("v").toPandas()["v"]
     centres = unit(np.array([np.asarray(v, np.float64) for v in drawn]).reshape(-1, EL_MATCH))

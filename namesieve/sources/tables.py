@@ -33,6 +33,11 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold what goes to Python at once to a few MB, however wide the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def bottom_k(rows: DataFrame, k: int, key: str, seed: int) -> DataFrame:
     """k rows without replacement: those with the least keyed hashes of `key`, in that order.
 

@@ -3,12 +3,11 @@
 import math
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from namesieve.functions import minhash, text
-from namesieve.operators import kmeans, scaler, search
+from namesieve.operators import kmeans, scaler, search, threshold
 from namesieve.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +57,43 @@ def test_selectors_pick_their_cluster_without_an_aggregate_over_queries(spark):
     want = {(q, j, i): sum(s[c] * value(c, j, i) for c in cs) for q, s in asked.items() for j, cs in ((0, (0, 1, 2)), (1, (0,))) for i in range(3)}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
     assert "query_id" not in "".join(line for line in plan(out).splitlines() if "Aggregate" in line)
+
+
+def test_products_of_k_means_are_bounded_in_rows_and_centroids(monkeypatch):
+    sizes, cosines = [], kmeans._cosines
+    monkeypatch.setattr(kmeans, "_cosines", lambda x, c: sizes.append(len(x) * len(c)) or cosines(x, c))
+    rnd = np.random.RandomState(1)
+    x, c = rnd.randn(3000, 8), rnd.randn(50, 8)
+    best, top = kmeans.nearest(x, c)
+    groups = kmeans.groups_of(c)
+    again = kmeans._renewed(x, np.zeros(3000, np.int64), np.zeros((3000, groups.max() + 1)), c, groups, np.zeros(groups.max() + 1))
+    sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 12)
+    assert (best == sims.argmax(1)).all() and (again[0] == best).all() and np.allclose(top, sims.max(1)) and max(sizes) <= 1024 * 50
+
+
+def test_reached_blocks_are_those_of_one_product(monkeypatch):
+    rnd = np.random.RandomState(2)
+    centre, pivots, x = (threshold.unit(rnd.rand(n, 50)) for n in (40, 5, 100))
+    bounds = threshold.Bounds(pivots, np.arange(40), centre, rnd.rand(40), np.zeros((40, 5)), np.full((40, 5), 4.0))
+    want = bounds.reached(x, 0.1)
+    seen, angles = [], threshold.angles
+    monkeypatch.setattr(threshold, "angles", lambda z, c: seen.append(len(z) * len(c)) or angles(z, c))
+    monkeypatch.setattr(threshold, "REACH", 280)
+    got = bounds.reached(x, 0.1)
+    assert all((a == b).all() for a, b in zip(got, want)) and len(got[0]) > 100 and sorted(seen)[-2] <= 280
+
+
+@pytest.mark.parametrize("least", [True, False])
+def test_blocks_of_queries_are_multiplied_in_stretches(spark, monkeypatch, least):
+    monkeypatch.setattr(search, "STRETCH", 3)
+    names = spark.createDataFrame([(i, f"{'abcd'[i % 4] * 3} long ring") for i in range(40)], "id bigint, name string")
+    e = minhash.batch_encode(names).select("id", F.slice("sig", 1, 50).alias("v"), "n2_50")
+    members = e.select(F.lit(3).alias("cluster_id"), F.col("id").alias("column_index"), F.col("v").alias("sig50"), "n2_50")
+    asked = e.select(F.lit(3).alias("cluster_id"), F.col("id").alias("query_id"), F.col("v").alias("q50"), F.col("n2_50").alias("q2"))
+    got = {(r.query_id, r.column_index) for r in search.hits_clustered(asked, members, tau=0.999, least=least).collect()}
+    assert got == {(q, c) for q in range(40) for c in ([q % 4] if least else range(q % 4, 40, 4))}
+
+
+def test_wide_rows_go_to_python_in_small_batches(spark):
+    queries.pruned_catch(spark, SF).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
